@@ -50,6 +50,9 @@ code as (
          case l_returnflag when 'A' then 'INPAT' when 'R' then 'OUTPAT' else 'PURCH' end as source,
          case l_linestatus when 'F' then 'ICP1' else '1' end as category
   from lineitem join orders on o_orderkey = l_orderkey join part on p_partkey = l_partkey),
+labx as (
+  select * exclude (flag), case when rid % 23 = 0 then 'LL' when rid % 29 = 0 then 'HH' when rid % 31 = 0 then 'AA'
+         when rid % 37 = 0 then 'A' else flag end as flag from lab),
 register as (
   select rid, line, c.person_id,
          case line when 7 then 'DEATH' when 6 then 'REIMB' when 5 then 'PRIM_OUT'

@@ -71,6 +71,19 @@ class Tables:
             )
         )
 
+    @cached_property
+    def labx(self) -> DataFrame:
+        """The lab view with the rarer flags LL, HH, AA and A."""
+        rid = F.col("rid")
+        flag = (
+            F.when(rid % 23 == 0, "LL")
+            .when(rid % 29 == 0, "HH")
+            .when(rid % 31 == 0, "AA")
+            .when(rid % 37 == 0, "A")
+            .otherwise(F.col("flag"))
+        )
+        return self.lab.withColumn("flag", flag)
+
     @cached_property
     def code(self) -> DataFrame:
         letter = F.substring(F.lit("ABCDEFGHIJ"), (F.col("p_partkey") % 10 + 1).cast("int"), F.lit(1))
