@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from labtrail.plans import projections, scalars, sources  # noqa: F401
+from labtrail.plans import cleaning, projections, scalars, sources  # noqa: F401
 from labtrail.plans.registry import ORACLES, QUERIES  # noqa: F401
