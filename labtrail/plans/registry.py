@@ -80,14 +80,18 @@ daily as (
     select *, row_number() over (partition by person_id, dt order by rid desc) as rn from lab) where rn = 1)
 """
 
+# The engines round exact ties differently (decimal text against binary), so both
+# sides move a value by this much before six decimals are shown.
+TIE = 1.3e-9
+
 _SPARK_CAST: dict[str, Callable] = {
     "i": lambda c: c.cast("long"),
-    "f": lambda c: F.round(c.cast("double"), 6),
+    "f": lambda c: F.round(c.cast("double") + F.lit(TIE), 6),
     "s": lambda c: c.cast("string"),
 }
 _SQL_CAST: dict[str, str] = {
     "i": "cast({0} as bigint)",
-    "f": "(round(cast({0} as double), 6) + cast(0 as double))",
+    "f": f"(round(cast({{0}} as double) + cast({TIE} as double), 6) + cast(0 as double))",
     "s": "cast({0} as varchar)",
 }
 
