@@ -220,10 +220,9 @@ def round_min5(df: DataFrame, column: str, least: int = 5) -> DataFrame:
     seen = rounded.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
     often = seen.where(F.col("_n") >= least)
     ends = often.agg(F.struct(F.min("_r").alias("a"), F.max("_r").alias("b")).alias("e")).scalar()
-    nearer = F.when(
-        F.abs(ends["a"] - F.col("_r")) < F.abs(ends["b"] - F.col("_r")), ends["a"]
-    ).otherwise(ends["b"])
-    mapping = seen.select("_r", F.when(F.col("_n") < least, nearer).otherwise(F.col("_r")).alias("rounded"))
+    a, b = F.col("_e")["a"], F.col("_e")["b"]
+    nearer = F.when(F.abs(a - F.col("_r")) < F.abs(b - F.col("_r")), a).otherwise(b)
+    mapping = seen.withColumn("_e", ends).select("_r", F.when(F.col("_n") < least, nearer).otherwise(F.col("_r")).alias("rounded"))
     return rounded.join(mapping, "_r", "left").drop("_r")
 
 

@@ -209,13 +209,13 @@ def calibration_bins(
 ) -> DataFrame:
     """Predicted mean and observed rate per bin with at least `least` of each class."""
     if kind == "equal":
-        edges = [F.lit(e) for e in EQUAL_EDGES]
+        work, edges = df, [F.lit(e) for e in EQUAL_EDGES]
     else:
         points = {f"e{i}": min(e, 1.0) for i, e in enumerate(EQUAL_EDGES)}
         row = quantiles(df, [], score, points)
-        found = row.select(F.struct(*points).alias("edges")).scalar()
-        edges = [found[name] for name in points]
-    binned = df.withColumn("bin", _bin(F.col(score), edges)).where(F.col("bin").isNotNull())
+        work = df.withColumn("_e", row.select(F.struct(*points).alias("e")).scalar())
+        edges = [F.col("_e")[name] for name in points]
+    binned = work.withColumn("bin", _bin(F.col(score), edges)).where(F.col("bin").isNotNull())
     cases, controls = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
     return (
         binned.groupBy("bin")

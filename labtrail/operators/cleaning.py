@@ -112,7 +112,8 @@ def zscore_global(df: DataFrame, value: str = "value") -> DataFrame:
     stats = df.agg(
         F.struct(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd")).alias("s")
     ).scalar()
-    return df.withColumn("z", F.try_divide(F.col(value) - stats["mean"], stats["sd"]))
+    z = F.try_divide(F.col(value) - F.col("_s")["mean"], F.col("_s")["sd"])
+    return df.withColumn("_s", stats).withColumn("z", z).drop("_s")
 
 
 def severe_outliers(df: DataFrame, max_z: float) -> DataFrame:
@@ -274,8 +275,9 @@ def annotate(df: DataFrame, rules: CleanRules) -> DataFrame:
         .agg(F.struct(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")).alias("s"))
         .scalar()
     )
-    z = F.try_divide(value - stats["mean"], stats["sd"])
-    rows = _mark(rows, ~F.coalesce(F.abs(z) < rules.max_z, F.lit(False)), "Outliers")
+    z = F.try_divide(value - F.col("_s")["mean"], F.col("_s")["sd"])
+    rows = rows.withColumn("_s", stats)
+    rows = _mark(rows, ~F.coalesce(F.abs(z) < rules.max_z, F.lit(False)), "Outliers").drop("_s")
     if rules.lab in ("egfr", "tsh"):
         # at most a few rows per person and day remain, so this window is bounded
         person = Window.partitionBy("person_id")

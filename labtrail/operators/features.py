@@ -46,14 +46,11 @@ def variance_tertiles(series: DataFrame) -> DataFrame:
         F.var_samp("value").alias("variance"), F.count(F.lit(1)).alias("n")
     )
     points = {"low": 0.33, "high": 0.67}
-    cuts = {
-        c: quantiles(stats.withColumn(c, F.col(c).cast("double")), [], c, points)
-        .select(F.struct("low", "high").alias("c"))
-        .scalar()
-        for c in ("variance", "n")
-    }
+    for c in ("variance", "n"):
+        cuts = quantiles(stats.withColumn(c, F.col(c).cast("double")), [], c, points)
+        stats = stats.withColumn(f"_{c}", cuts.select(F.struct("low", "high").alias("c")).scalar())
     v, n = F.col("variance"), F.col("n")
-    vc, nc = cuts["variance"], cuts["n"]
+    vc, nc = F.col("_variance"), F.col("_n")
     return stats.withColumns(
         {
             "variance_group": F.when(v <= vc["low"], "Low var")
@@ -61,7 +58,7 @@ def variance_tertiles(series: DataFrame) -> DataFrame:
             .when(v.isNotNull(), "Mid var"),
             "n_group": F.when(n < nc["low"], "Low N").when(n > nc["high"], "High N").otherwise("Mid N"),
         }
-    )
+    ).drop("_variance", "_n")
 
 
 def subgroups(labels: DataFrame, history: DataFrame, last_before: Column) -> DataFrame:

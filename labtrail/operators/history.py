@@ -120,6 +120,7 @@ def mean_impute(stats: DataFrame, labels: DataFrame, mode: int = 1) -> DataFrame
         .scalar()
     )
     missing = labels.select(PERSON, "split_set").join(stats.select(PERSON), PERSON, "left_anti")
+    missing = missing.withColumn("_m", means)
     types = {f.name: f.dataType for f in stats.schema}
 
     def cell(name: str) -> Column:
@@ -128,7 +129,7 @@ def mean_impute(stats: DataFrame, labels: DataFrame, mode: int = 1) -> DataFrame
         if name == "NO_HISTORY":
             value = F.lit(1)
         elif name in filled:
-            value = means[name]
+            value = F.col("_m")[name]
         elif name in ZERO:
             value = F.lit(0)
         elif name == "LAST_VAL_DATE" and mode == 2:

@@ -122,9 +122,7 @@ def outliers_known(t):
 def outliers_severe(t):
     bounds = cleaning.severe_bounds(t.lab, 1.2)
     pair = bounds.select(F.struct("removed_from", "removed_to").alias("b")).scalar()
-    return cleaning.severe_outliers(t.lab, 1.2).withColumns(
-        {"removed_from": pair["removed_from"], "removed_to": pair["removed_to"]}
-    )
+    return cleaning.severe_outliers(t.lab, 1.2).withColumn("_b", pair).select("*", "_b.*")
 
 
 _SPIKED = "case when rid % 50 = 0 then value * 8 when rid % 50 = 1 then value / 20 else 100 + value / 100 end"

@@ -173,8 +173,8 @@ def confusion(t):
 
 def _bins_sql(edges: list[str]) -> str:
     case = " ".join(f"when p1 > {a} and p1 <= {b} then {i + 1}" for i, (a, b) in enumerate(zip(edges, edges[1:])))
-    return f"""select 'x' as kind, case {case} end as bin, avg(p1) as predicted, avg(y) as observed, count(*) as n, sum(y) as n_case, count(*) - sum(y) as n_control
-      from pred, q group by all having bin is not null and sum(y) >= 5 and count(*) - sum(y) >= 5"""
+    return f"""select 'x' as kind, bin, avg(p1) as predicted, avg(y) as observed, count(*) as n, sum(y) as n_case, count(*) - sum(y) as n_control
+      from (select p1, y, case {case} end as bin from pred, q) where bin is not null group by bin having sum(y) >= 5 and count(*) - sum(y) >= 5"""
 
 
 _EQUAL = [f"{i * 0.1!r}::double" for i in range(11)]
