@@ -23,12 +23,14 @@ def resample(
     """`columns` of the original rows and of all drawn rows, with `replicate`."""
     groups = list(groups)
     placed = random_position(df, groups, ids, "row", "_pos", "_size")
-    slots = placed.select(
-        *groups, "_pos", "_size", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
-    )
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # rows grow by the number of replicates here, which size estimates do not see:
+    # spread them first, and ask for a shuffled join instead of a broadcast
+    slots = placed.select(*groups, "_pos", "_size").repartition(tasks, *groups, "_pos")
+    slots = slots.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     draw = F.floor(uniform("_pos", "replicate", salt="boot") * F.col("_size"))
     drawn = slots.select(*groups, "replicate", draw.alias("_pos")).join(
-        placed.select(*groups, "_pos", *columns), [*groups, "_pos"]
+        placed.select(*groups, "_pos", *columns).hint("merge"), [*groups, "_pos"]
     )
     whole = df.select(*groups, F.lit(0).alias("replicate"), *columns)
     return whole.unionByName(drawn.select(*groups, "replicate", *columns))

@@ -11,6 +11,7 @@ from labtrail.functions import recode
 from labtrail.operators import schema
 from labtrail.operators.ranking import quantiles
 from labtrail.operators.series import PERSON
+from labtrail.session import stage
 
 
 def join_features(labels: DataFrame, parts: Sequence[DataFrame]) -> DataFrame:
@@ -36,22 +37,36 @@ def feature_matrix(
     if defaults:
         wide = wide.fillna(dict(defaults))
     text = dict(wide.dtypes)["sex"] == "string"
-    wide = wide.withColumn("sex", recode.sex_binary(F.col("sex"), text))
+    # the types are looked up in one job and the rows read in another: join once
+    wide = stage(wide.withColumn("sex", recode.sex_binary(F.col("sex"), text)))
     return schema.ensure_columns(schema.narrow_types(wide, list(features)), needed)
 
 
-def variance_tertiles(series: DataFrame) -> DataFrame:
-    """Variance and count per person with the cut points at 33 and 67 percent."""
-    stats = series.groupBy(PERSON).agg(
-        F.var_samp("value").alias("variance"), F.count(F.lit(1)).alias("n")
+def history_spread(series: DataFrame) -> DataFrame:
+    """Variance, count, last date and ever-abnormal flag per person."""
+    return series.groupBy(PERSON).agg(
+        F.var_samp("value").alias("variance"),
+        F.count(F.lit(1)).alias("n"),
+        F.max("dt").alias("last_dt"),
+        F.bool_or(F.col("abnorm_custom") == 1).alias("ever_abnormal"),
     )
+
+
+def variance_tertiles(spread: DataFrame) -> DataFrame:
+    """Low, middle and high groups of variance and count, cut at 33 and 67 percent.
+
+    `spread` has one row per person. It is read three times (two cut points and
+    the rows), so it is staged once.
+    """
     points = {"low": 0.33, "high": 0.67}
+    stats = stage(spread)
+    rows = stats
     for c in ("variance", "n"):
-        cuts = quantiles(stats.withColumn(c, F.col(c).cast("double")), [], c, points)
-        stats = stats.withColumn(f"_{c}", cuts.select(F.struct("low", "high").alias("c")).scalar())
+        cuts = quantiles(stats.select(F.col(c).cast("double").alias(c)), [], c, points)
+        rows = rows.withColumn(f"_{c}", cuts.select(F.struct("low", "high").alias("c")).scalar())
     v, n = F.col("variance"), F.col("n")
     vc, nc = F.col("_variance"), F.col("_n")
-    return stats.withColumns(
+    return rows.withColumns(
         {
             "variance_group": F.when(v <= vc["low"], "Low var")
             .when(v >= vc["high"], "High var")
@@ -66,12 +81,7 @@ def subgroups(labels: DataFrame, history: DataFrame, last_before: Column) -> Dat
 
     `labels` has the age at the base date, `history` the cleaned rows before it.
     """
-    tertiles = variance_tertiles(history).select(PERSON, "variance_group", "n_group")
-    seen = history.groupBy(PERSON).agg(
-        F.max("dt").alias("last_dt"),
-        F.bool_or(F.col("abnorm_custom") == 1).alias("ever_abnormal"),
-    )
-    rows = labels.join(seen, PERSON, "left").join(tertiles, PERSON, "left")
+    rows = labels.join(variance_tertiles(history_spread(history)), PERSON, "left")
     none = F.col("last_dt").isNull()
     late = F.coalesce(F.col("last_dt") < last_before, F.lit(False))
     normal = ~F.coalesce(F.col("ever_abnormal"), F.lit(False))

@@ -28,7 +28,8 @@ def radix(x: Column, bits: int = MANTISSA_BITS) -> Column:
     exponent = F.floor(F.log2(size))
     step = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * (1 << bits))
     cell = (exponent + 1100) * (1 << bits) + step
-    return F.when(x == 0, F.lit(0)).when(x > 0, cell).otherwise(-cell).cast("long")
+    signed = F.when(x > 0, cell).when(x < 0, -cell).cast("long")
+    return F.coalesce(signed, F.lit(0).cast("long"))
 
 
 def _before(column: str, keys: Sequence[str], order: Sequence[str]) -> Column:
@@ -38,6 +39,13 @@ def _before(column: str, keys: Sequence[str], order: Sequence[str]) -> Column:
     return F.coalesce(F.sum(column).over(frame), F.lit(0))
 
 
+def _known(columns: Sequence[str]) -> Column:
+    test = F.lit(True)
+    for c in columns:
+        test = test & F.col(c).isNotNull()
+    return test
+
+
 def score_table(
     df: DataFrame, groups: Sequence[str], score: str, sums: dict[str, Column]
 ) -> DataFrame:
@@ -45,10 +53,12 @@ def score_table(
 
     For each entry of `sums` the output has `<name>` (at this score),
     `<name>_below` (strictly smaller scores) and `<name>_total` (whole group).
-    Group columns must not be null; rows with a null score are left out.
+    Rows with a null score or group are left out.
     """
     groups = list(groups)
-    work = df.where(F.col(score).isNotNull())
+    # stating what is not null keeps both uses of `scores` alike, so that its
+    # exchange is computed once and reused
+    work = df.where(_known([*groups, score]))
     keys = groups
     if not groups:
         keys = ["_all"]
@@ -120,9 +130,9 @@ def random_position(
     `ORDER_CELLS` equal slices, so a group of any size is sorted by many tasks.
     """
     groups = list(groups)
-    work = df.withColumn("_u", uniform(*ids, salt=salt)).withColumn(
-        "_cell", F.floor(F.col("_u") * ORDER_CELLS)
-    )
+    cell = F.coalesce(F.floor(F.col("_u") * ORDER_CELLS), F.lit(0).cast("long"))
+    work = df.where(_known(groups)).withColumns({"_u": uniform(*ids, salt=salt)})
+    work = work.withColumn("_cell", cell)
     keys = groups
     if not groups:
         keys = ["_all"]

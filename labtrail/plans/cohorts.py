@@ -11,12 +11,18 @@ from labtrail.plans.cleaning import CLEAN_CTES, RULES
 from labtrail.plans.registry import BASE, END, START, query, u_sql
 from labtrail.plans.scalars import SMOKE_NAMES, SMOKE_SQL
 from labtrail.plans.windows import MONTHS_SQL, runs_sql
+from labtrail.session import stage
 
 
 def clean(t):
     return cleaning.clean_lab(t.labx, RULES)
 
 
+def stored(t):
+    """The cleaned series as later steps read it: written once."""
+    return stage(clean(t))
+
+
 def _lab(t, code, value, abnorm=None):
     """One derived series per lab code of the fixture."""
     rows = t.lab.where((F.col("lab") == code) & F.col("value").isNotNull())
@@ -60,10 +66,10 @@ reasons as (
   union all select person_id, 'albumin', min(dt) from lab where lab = '3-MEDIUM' and value - 125 >= 30 group by person_id)"""
 
 
-def kidney_reasons(t):
+def kidney_reasons(t, rows):
     rate = units.cystatin_2012(F.col("value") / 100, F.col("sex"), F.col("event_age"))
     return cohort.kidney_reasons(
-        clean(t),
+        rows,
         registry.matching(t.code, "^A0[1-5]"),
         t.code.where((F.col("source") == "PURCH") & F.col("code").startswith("B10")),
         t.code.where(F.col("code").startswith("C20")),
@@ -81,7 +87,8 @@ def _kept_sql(source: str, base: str = BASE) -> str:
 
 @query("exclude_egfr", _SERIES, f"with {_KIDNEY_CTES} {_kept_sql('clean')}")
 def exclude_egfr(t):
-    return cohort.exclude(clean(t), kidney_reasons(t), dates.day(BASE))
+    rows = stored(t)
+    return cohort.exclude(rows, kidney_reasons(t, rows), dates.day(BASE))
 
 
 @query(
@@ -97,7 +104,8 @@ def exclude_egfr(t):
       (select count(*) from p where no > step_no) as n_persons_left, (select coalesce(sum(n), 0) from p where no > step_no) as n_rows_left from s""",
 )
 def exclusion_counts(t):
-    return cohort.exclusion_counts(clean(t), kidney_reasons(t), KIDNEY_ORDER, dates.day(BASE))
+    rows = stored(t)
+    return cohort.exclusion_counts(rows, kidney_reasons(t, rows), KIDNEY_ORDER, dates.day(BASE))
 
 
 _AGE_SQL = f"cast(floor(date_diff('day', birth_date, date '{START}') / cast(365.25 as double)) as integer)"
@@ -111,7 +119,8 @@ _AGE_SQL = f"cast(floor(date_diff('day', birth_date, date '{START}') / cast(365.
         where {_AGE_SQL} between 30 and 60""",
 )
 def final_cohort(t):
-    kept = cohort.exclude(clean(t), kidney_reasons(t), dates.day(START))
+    rows = stored(t)
+    kept = cohort.exclude(rows, kidney_reasons(t, rows), dates.day(START))
     aged = cohort.with_age(kept.drop("event_age"), t.person, dates.day(START))
     inside = aged.where(F.col("event_age").between(30, 60))
     return inside.select("person_id", "sex", "event_age", F.lit(0).alias("y_mean_abnorm")).distinct()
@@ -211,8 +220,8 @@ LABEL_CTE = f"""labels as (select *, {_soft('y_mean')} as y_mean_abnorm, {_soft(
   where dt >= date '{START}' and dt <= date '{END}' group by person_id, sex))"""
 
 
-def label_table(t):
-    return cohort.labels(clean(t), dates.day(START), dates.day(END), "egfr", "KDIGO-soft")
+def label_table(t, rows=None):
+    return cohort.labels(clean(t) if rows is None else rows, dates.day(START), dates.day(END), "egfr", "KDIGO-soft")
 
 
 @query("labels", _LABEL, f"with {CLEAN_CTES}, {LABEL_CTE} select * from labels")
@@ -300,8 +309,9 @@ def stratified_split(t):
         union all select person_id, case when person_id in (select person_id from t) then 2 else 1 end from labels""",
 )
 def future_split(t):
-    earlier = cohort.labels(clean(t), dates.day("1999-01-01"), dates.day("1999-12-31"), "egfr")
-    later = label_table(t)
+    rows = stored(t)
+    earlier = cohort.labels(rows, dates.day("1999-01-01"), dates.day("1999-12-31"), "egfr")
+    later = stage(label_table(t, rows))
     members = cohort.cohort_members(t.person, ["HELSINKI BIOBANK"])
     return cohort.future_split(earlier, later, cohort.test_sample(later, members, n=60))
 
@@ -312,7 +322,8 @@ def future_split(t):
     f"with {CLEAN_CTES}, {LABEL_CTE} select * from clean where dt < date '{BASE}' and person_id in (select person_id from labels)",
 )
 def pre_base_history(t):
-    return cohort.pre_base_history(clean(t), label_table(t), dates.day(BASE))
+    rows = stored(t)
+    return cohort.pre_base_history(rows, label_table(t, rows), dates.day(BASE))
 
 
 # ------------------------------------------------------------------- history
@@ -368,12 +379,12 @@ def _impute_sql(mode: int) -> str:
 
 @query("mean_impute", _STAT_SPEC, _impute_sql(1))
 def mean_impute(t):
-    return history.mean_impute(sumstats(t), t.pred, 1)
+    return history.mean_impute(stage(sumstats(t)), t.pred, 1)
 
 
 @query("mean_impute_all", _STAT_SPEC, _impute_sql(2))
 def mean_impute_all(t):
-    return history.mean_impute(sumstats(t), t.pred, 2)
+    return history.mean_impute(stage(sumstats(t)), t.pred, 2)
 
 
 @query(
@@ -608,7 +619,10 @@ def join_left_features(t):
 )
 def value_variance_tertile(t):
     rows = cleaning.daily_last(t.lab).where(F.col("value").isNotNull() & (F.col("dt") < dates.day(BASE)))
-    return features.variance_tertiles(rows)
+    spread = rows.groupBy("person_id").agg(
+        F.var_samp("value").alias("variance"), F.count(F.lit(1)).alias("n")
+    )
+    return features.variance_tertiles(spread)
 
 
 SUBGROUP_CTES = f"""hist as (select * from clean where dt < date '{BASE}'),
