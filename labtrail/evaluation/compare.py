@@ -211,6 +211,10 @@ def prop_z(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     return F.try_divide(F.try_divide(k1, n1) - F.try_divide(k2, n2), error)
 
 
+def with_prop_p(tested: DataFrame) -> DataFrame:
+    return tested.withColumn("p", F.pow(F.lit(10.0), log10_p_of_z("z")))
+
+
 # ------------------------------------------------------------ result tables
 
 

@@ -197,7 +197,22 @@ def calibration_bins(t):
     return parts[0].unionByName(parts[1])
 
 
-@query("calibration_interval", "bin:i observed:f low:f high:f")
+_GRID_STEPS = 20000
+
+
+@query(
+    "calibration_interval",
+    "bin:i observed:f low:f high:f",
+    f"""with q as (select 1), bins as (select *, n_case + 0.1::double as a, n_control + 0.1::double as b from ({_bins_sql(_EQUAL)})),
+        x as (select bin, observed, i / {_GRID_STEPS}::double as x, case when i in (0, {_GRID_STEPS}) then 0 else
+                exp(lgamma(a + b) - lgamma(a) - lgamma(b) + (a - 1) * ln(i / {_GRID_STEPS}::double) + (b - 1) * ln(1 - i / {_GRID_STEPS}::double)) end as d
+              from bins, range(0, {_GRID_STEPS} + 1) r(i)),
+        c as (select *, sum(step) over (partition by bin order by x) as cdf from (
+                select *, coalesce(d + lag(d) over (partition by bin order by x), 0) / 2 / {_GRID_STEPS} as step from x)),
+        e as (select *, lead(cdf) over (partition by bin order by x) as nxt from c),
+        f as (select bin, observed, s, x + (s - cdf) / (nxt - cdf) / {_GRID_STEPS} as v from e, (values (0.025::double), (0.975::double)) t(s) where cdf <= s and nxt > s)
+        select bin, any_value(observed) as observed, min(v) as low, max(v) as high from f group by bin""",
+)
 def calibration_interval(t):
     return metrics.with_beta_interval(metrics.calibration_bins(t.pred, "p1", "y"))
 
@@ -298,7 +313,18 @@ def delong(t):
     return compare.delong(t.pred, ["split_set"], "p1", "p2", "y")
 
 
-@query("delong_pvalue", "split_set:f z:f log10_p:f p:f")
+def _normal_p(z: str) -> str:
+    """Two-sided normal p-value: the tail integrated by Simpson's rule."""
+    return f"""(2 * (select sum(case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end * exp(-pow({z} + 12 * i / 4000::double, 2) / 2)) * 12 / 12000 / sqrt(2 * pi())
+      from range(0, 4001) r(i)))"""
+
+
+@query(
+    "delong_pvalue",
+    "split_set:f z:f log10_p:f p:f",
+    f"""with d as (select split_set, abs(auc_1 - auc_2) / se_diff as z from {_delong_sql('pred', 'split_set')}), e as (select *, {_normal_p('z')} as p from d)
+        select *, log10(p) as log10_p from e""",
+)
 def delong_pvalue(t):
     return compare.with_delong_p(compare.delong(t.pred, ["split_set"], "p1", "p2", "y"))
 
@@ -434,18 +460,24 @@ def welch_t(t):
     return _welch(t)
 
 
-@query("welch_pvalue", "split_set:f t:f p:f")
+@query(
+    "welch_pvalue",
+    "split_set:f t:f p:f",
+    f"""with w as (select split_set, abs(m1 - m2) / sqrt(s1 * s1 / n1 + s2 * s2 / n2) as t,
+          pow(s1 * s1 / n1 + s2 * s2 / n2, 2) / (pow(s1 * s1 / n1, 2) / (n1 - 1) + pow(s2 * s2 / n2, 2) / (n2 - 1)) as v, m1 - m2 as gap from {_GROUPS})
+        select split_set, t * sign(gap) as t, 1 - 2 * (select sum(case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end * pow(1 + pow(t * i / 2000, 2) / v, -(v + 1) / 2))
+            * t / 6000 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) from range(0, 2001) r(i)) as p from w""",
+)
 def welch_pvalue(t):
     return compare.with_welch_p(_welch(t))
 
 
-@query(
-    "prop_ztest",
-    "split_set:f z:f",
-    """select split_set, (k1 / n1 - k2 / n2) / sqrt((k1 + k2) / (n1 + n2) * (1 - (k1 + k2) / (n1 + n2)) * (1 / n1 + 1 / n2)) as z from (
+_PROPORTIONS = """(select split_set, (k1 / n1 - k2 / n2) / sqrt((k1 + k2) / (n1 + n2) * (1 - (k1 + k2) / (n1 + n2)) * (1 / n1 + 1 / n2)) as z from (
          select split_set, cast(count(*) filter (y = 1 and p2 > 0.5) as double) as k1, cast(count(*) filter (y = 1) as double) as n1,
-           cast(count(*) filter (y = 0 and p2 > 0.5) as double) as k2, cast(count(*) filter (y = 0) as double) as n2 from pred group by split_set)""",
-)
+           cast(count(*) filter (y = 0 and p2 > 0.5) as double) as k2, cast(count(*) filter (y = 0) as double) as n2 from pred group by split_set))"""
+
+
+@query("prop_ztest", "split_set:f z:f p:f", f"select split_set, z, {_normal_p('abs(z)')} as p from {_PROPORTIONS}")
 def prop_ztest(t):
     high = F.col("p2") > 0.5
     counts = t.pred.groupBy("split_set").agg(
@@ -455,7 +487,7 @@ def prop_ztest(t):
         F.count_if(F.col("y") == 0).alias("n2"),
     )
     z = compare.prop_z(*[F.col(c).cast("double") for c in ("k1", "n1", "k2", "n2")])
-    return counts.select("split_set", z.alias("z"))
+    return compare.with_prop_p(counts.select("split_set", z.alias("z")))
 
 
 @query(

@@ -96,9 +96,32 @@ def bin_capacity(t):
     )
 
 
-@query("bin_merge", "group:i lower:f cut:f mid:f")
+FINE = recall.Bins(0.005, tuple(round(0.015 + 0.01 * i, 3) for i in range(99)))
+_FINE_CUTS = ", ".join(f"({k}, {c}::double)" for k, c in enumerate(FINE.cuts))
+
+
+@query(
+    "bin_merge",
+    "group:i lower:f cut:f mid:f",
+    f"""with recursive {SITED},
+        cuts as (select k, c, coalesce(lag(c) over (order by k), -1) as before from (values {_FINE_CUTS}) v(k, c)),
+        fine as (select k, c, count(*) filter (site = 'Tampere') as a, count(*) filter (site = 'Turku') as b
+                 from cuts left join sited on p2 >= before and p2 < c group by k, c),
+        walk as (
+          select -1 as k, cast(0 as bigint) as a, cast(0 as bigint) as b, cast(null as double) as kept, cast(0 as bigint) as last_size, cast(1 as double) as last_cut
+          union all
+          select f.k, case when least(w.a + f.a, w.b + f.b) >= 10 then 0 else w.a + f.a end, case when least(w.a + f.a, w.b + f.b) >= 10 then 0 else w.b + f.b end,
+            case when least(w.a + f.a, w.b + f.b) >= 10 then f.c end,
+            case when least(w.a + f.a, w.b + f.b) >= 10 then w.last_size else least(w.a + f.a, w.b + f.b) end,
+            case when least(w.a + f.a, w.b + f.b) < 10 and least(w.a + f.a, w.b + f.b) <> w.last_size then f.c else w.last_cut end
+          from walk w join fine f on f.k = w.k + 1),
+        kept as (select kept as cut, row_number() over (order by k) as g, count(*) over () as n, (select arg_max(last_cut, k) from walk) as last_cut from walk where kept is not null),
+        done as (select g as "group", case when g = n then last_cut else cut end as cut from kept),
+        low as (select *, coalesce(lag(cut) over (order by "group"), {FINE.lowest}::double) as lower from done)
+        select "group", lower, cut, round(lower + (cut - lower) / 2 + 1e-12, 3) as mid from low""",
+)
 def bin_merge(t):
-    fine = recall.Bins(0.005, tuple(round(0.015 + 0.01 * i, 3) for i in range(99)))
+    fine = FINE
     return recall.bin_merge(sited(t, "p2"), fine).table(t.spark)
 
 
