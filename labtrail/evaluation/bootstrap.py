@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from labtrail.evaluation import metrics
 from labtrail.functions.uniform import uniform
 from labtrail.operators.ranking import random_position
+from labtrail.session import spread
 
 
 def resample(
@@ -23,10 +24,9 @@ def resample(
     """`columns` of the original rows and of all drawn rows, with `replicate`."""
     groups = list(groups)
     placed = random_position(df, groups, ids, "row", "_pos", "_size")
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # rows grow by the number of replicates here, which size estimates do not see:
     # spread them first, and ask for a shuffled join instead of a broadcast
-    slots = placed.select(*groups, "_pos", "_size").repartition(tasks, *groups, "_pos")
+    slots = spread(placed.select(*groups, "_pos", "_size"), *groups, "_pos")
     slots = slots.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     draw = F.floor(uniform("_pos", "replicate", salt="boot") * F.col("_size"))
     drawn = slots.select(*groups, "replicate", draw.alias("_pos")).join(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # fixed values: raw column names and their canonical names
 RAW_NAMES = {
-    "FINNGENID": "person_id",
     "SEX": "sex",
     "EVENT_AGE": "event_age",
     "APPROX_EVENT_DATETIME": "dt",
@@ -17,10 +16,10 @@ RAW_NAMES = {
 VALUE_COLUMNS = ("MEASUREMENT_VALUE_MERGED", "MEASUREMENT_VALUE_HARMONIZED")
 
 
-def lab_extract(raw: DataFrame, ordered: bool = True) -> DataFrame:
+def lab_extract(raw: DataFrame, id_column: str = "person_id", ordered: bool = True) -> DataFrame:
     """Canonical columns; the merged value is used where the release has one."""
     value = next(c for c in VALUE_COLUMNS if c in raw.columns)
-    out = raw.withColumnsRenamed({**RAW_NAMES, value: "value"}).select(
+    out = raw.withColumnsRenamed({**RAW_NAMES, id_column: "person_id", value: "value"}).select(
         "person_id", "sex", "event_age", "dt", "value", "unit", "flag"
     )
     return out.orderBy(F.col("person_id").desc(), F.col("dt").desc()) if ordered else out

@@ -159,13 +159,11 @@ def monthly_interpolated(series: DataFrame, start: Column) -> DataFrame:
 def lab_features(labs: DataFrame, method: str = "nearest") -> DataFrame:
     """Mean and quartiles per person and lab, in long form.
 
-    Quartiles come from counts of distinct values, so raw rows of one person
-    and lab are combined before they meet in a task.
+    All come from counts of distinct values in one pass, so raw rows of one
+    person and lab are combined before they meet in a task.
     """
-    keys = [PERSON, "lab"]
-    means = labs.groupBy(*keys).agg(F.avg("value").alias("MEAN"))
-    points = quantiles(labs, keys, "value", {"QUANT25": 0.25, "QUANT75": 0.75}, method)
-    return means.join(points, keys, "left")
+    points = {"QUANT25": 0.25, "QUANT75": 0.75}
+    return quantiles(labs, [PERSON, "lab"], "value", points, method, mean="MEAN")
 
 
 def lab_matrix(features: DataFrame, labs: Sequence[str]) -> DataFrame:

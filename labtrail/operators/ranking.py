@@ -8,7 +8,7 @@ window runs inside each cell. The results are the exact ranks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,25 +95,36 @@ def quantiles(
     df: DataFrame,
     groups: Sequence[str],
     value: str,
-    points: dict[str, float],
+    points: Mapping[str, float],
     method: str = "linear",
+    nearest: Mapping[str, float] | None = None,
+    mean: str | None = None,
 ) -> DataFrame:
-    """Exact quantiles per group; `method` is "linear" or "nearest"."""
+    """Exact quantiles per group; `method` is "linear" or "nearest".
+
+    `nearest` adds nearest-rank points to linear ones, and `mean` names a column
+    for the mean, so that one pass over the data serves all of them.
+    """
     table = score_table(df, groups, value, {"_n": F.lit(1)})
 
     def at(index: Column) -> Column:
         here = (F.col("_n_below") <= index) & (index < F.col("_n_below") + F.col("_n"))
         return F.max(F.when(here, F.col(value)))
 
-    columns = []
+    def place(share: float) -> Column:
+        return (F.col("_n_total") - 1) * F.lit(float(share))
+
+    by_rank = dict(nearest or {}, **(points if method == "nearest" else {}))
+    columns = {}
     for name, share in points.items():
-        place = (F.col("_n_total") - 1) * F.lit(float(share))
-        if method == "nearest":
-            columns.append(at(F.floor(place + 0.5)).alias(name))
-        else:
-            low, high = at(F.floor(place)), at(F.ceil(place))
-            columns.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
-    return table.groupBy(*groups).agg(*columns)
+        if name not in by_rank:
+            low, high = at(F.floor(place(share))), at(F.ceil(place(share)))
+            columns[name] = low + (high - low) * F.max(place(share) - F.floor(place(share)))
+    for name, share in by_rank.items():
+        columns[name] = at(F.floor(place(share) + 0.5))
+    if mean:
+        columns[mean] = F.sum(F.col(value) * F.col("_n")) / F.sum("_n")
+    return table.groupBy(*groups).agg(*[c.alias(n) for n, c in columns.items()])
 
 
 def random_position(

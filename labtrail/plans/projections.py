@@ -19,10 +19,13 @@ _ROW = "rid:i person_id:i event_age:i dt:s value:f unit:s flag:s"
 )
 def lab_extract(t):
     back = {canonical: raw for raw, canonical in extract.RAW_NAMES.items()}
+    back["person_id"] = "SUBJECT"
     raw = t.lab.withColumn("MEASUREMENT_VALUE_HARMONIZED", F.col("value")).withColumnsRenamed(back)
     merged = raw.withColumn("MEASUREMENT_VALUE_MERGED", F.col("value") * 2).drop("value")
     plain = raw.drop("value").where("rid % 2 = 0")
-    return extract.lab_extract(merged).unionByName(extract.lab_extract(plain, ordered=False))
+    return extract.lab_extract(merged, "SUBJECT").unionByName(
+        extract.lab_extract(plain, "SUBJECT", ordered=False)
+    )
 
 
 @query(

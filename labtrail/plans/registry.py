@@ -91,7 +91,8 @@ _SPARK_CAST: dict[str, Callable] = {
 }
 _SQL_CAST: dict[str, str] = {
     "i": "cast({0} as bigint)",
-    "f": f"(round(cast({{0}} as double) + cast({TIE} as double), 6) + cast(0 as double))",
+    # a division 0/0 is NaN there and null here
+    "f": f"(round(nullif(cast({{0}} as double), cast('nan' as double)) + cast({TIE} as double), 6) + cast(0 as double))",
     "s": "cast({0} as varchar)",
 }
 

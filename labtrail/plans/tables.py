@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from labtrail.functions import dates, recode
 from labtrail.functions.texts import signed_bounds
 from labtrail.operators import cleaning, extract, registry, tables
+from labtrail.operators.ranking import quantiles
 from labtrail.plans.cleaning import CLEAN_CTES
 from labtrail.plans.cohorts import clean
 from labtrail.plans.evaluation import COMPARISON, comparison_rows
@@ -329,13 +330,10 @@ def first_code_date(t):
        from labx where value is not null and unit = 'umol/l' and flag is not null group by 1""",
 )
 def flag_mean_median(t):
-    from labtrail.operators.ranking import quantiles
-
     flag = recode.plain_flag(F.col("flag"), doubled=True)
     rows = t.labx.where(F.col("value").isNotNull() & (F.col("unit") == "umol/l")).withColumn("flag", flag)
     rows = rows.where(F.col("flag").isNotNull())
-    means = rows.groupBy("flag").agg(F.avg("value").alias("mean"))
-    return means.join(quantiles(rows, ["flag"], "value", {"median": 0.5}), "flag")
+    return quantiles(rows, ["flag"], "value", {"median": 0.5}, mean="mean")
 
 
 @query(
@@ -371,8 +369,6 @@ def rows_per_person(t):
        from (select cast(count(*) as double) as k from lab group by person_id)""",
 )
 def describe_counts(t):
-    from labtrail.operators.ranking import quantiles
-
     per = t.lab.groupBy("person_id").agg(F.count(F.lit(1)).cast("double").alias("k"))
     points = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     cuts = quantiles(per, [], "k", points).select(F.struct(*points).alias("c")).scalar()
@@ -525,8 +521,6 @@ def unpivot_register(t):
          median(value) as y50, quantile_cont(value, 0.75) as y75, max(value) as y100 from lab where flag is not null and value is not null group by all""",
 )
 def pivot_box_stats(t):
-    from labtrail.operators.ranking import quantiles
-
     rows = t.lab.where(F.col("flag").isNotNull() & F.col("value").isNotNull())
     points = {"y0": 0.0, "y25": 0.25, "y50": 0.5, "y75": 0.75, "y100": 1.0}
     found = quantiles(rows, ["lab", "flag"], "value", points)

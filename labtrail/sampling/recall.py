@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from labtrail.evaluation import bootstrap, metrics
 from labtrail.functions.uniform import uniform
 from labtrail.operators.ranking import quantiles, random_position
+from labtrail.session import spread
 
 PERSON = "person_id"
 # fixed values: recall sites and the biobank behind each
@@ -206,7 +207,7 @@ def repeated_draws(
     binned: DataFrame, sizes: Mapping[int, float], replicates: int, share: float
 ) -> tuple[DataFrame, DataFrame]:
     """All draws and the participating part of each, with `replicate`."""
-    many = binned.withColumn(
+    many = spread(binned, PERSON).withColumn(
         "replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))
     )
     drawn = stratified_draw(many, sizes, replicate="replicate").drop("n", "max_n")
@@ -293,5 +294,4 @@ BOX_POINTS = {"q1": 0.25, "q3": 0.75, "whisker_low": 0.025, "whisker_high": 0.97
 
 def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Median and nearest-rank quartiles and 2.5/97.5 percent points per group."""
-    middle = quantiles(df, keys, value, {"median": 0.5})
-    return middle.join(quantiles(df, keys, value, BOX_POINTS, "nearest"), list(keys))
+    return quantiles(df, keys, value, {"median": 0.5}, nearest=BOX_POINTS)

@@ -49,3 +49,12 @@ def stage(df: DataFrame) -> DataFrame:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="labtrail-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all shuffle partitions, before a step that multiplies them.
+
+    Adaptive execution merges small partitions by their size, which does not
+    foresee the growth; an explicit number of partitions is left alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

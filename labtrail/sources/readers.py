@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def read_file(
@@ -18,16 +17,13 @@ def read_file(
     if not path.endswith(".csv"):
         raise ValueError(f"file type not supported: {path}")
     options = {"header": True, "nullValue": "NA", "dateFormat": "yyyy-MM-dd"}
-    found = spark.read.options(**options, inferSchema=True).csv(path).schema
-    wanted = T.StructType(
-        [
-            T.StructField(f.name, T._parse_datatype_string(schema[f.name]))
-            if schema and f.name in schema
-            else f
-            for f in found.fields
-        ]
-    )
-    return spark.read.options(**options).schema(wanted).csv(path)
+    header = spark.read.options(**options).csv(path).schema
+    given = dict(schema or {})
+    if set(header.names) - set(given):
+        # a further pass over the file, only where some types are not given
+        header = spark.read.options(**options, inferSchema=True).csv(path).schema
+    types = ", ".join(f"`{f.name}` {given.get(f.name, f.dataType.simpleString())}" for f in header)
+    return spark.read.options(**options).schema(types).csv(path)
 
 
 def read_delimited(
