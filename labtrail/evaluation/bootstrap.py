@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labtrail.evaluation import metrics
-from labtrail.functions.uniform import uniform
+from labtrail.functions.uniform import with_mixed_uniform
 from labtrail.operators.ranking import random_position
 from labtrail.session import spread
 
@@ -28,7 +28,8 @@ def resample(
     # spread them first, and ask for a shuffled join instead of a broadcast
     slots = spread(placed.select(*groups, "_pos", "_size"), *groups, "_pos")
     slots = slots.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    draw = F.floor(uniform("_pos", "replicate", salt="boot") * F.col("_size"))
+    slots = with_mixed_uniform(slots, "_u", "_pos", "replicate")
+    draw = F.floor(F.col("_u") * F.col("_size"))
     drawn = slots.select(*groups, "replicate", draw.alias("_pos")).join(
         placed.select(*groups, "_pos", *columns).hint("merge"), [*groups, "_pos"]
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labtrail.evaluation import bootstrap, metrics
 from labtrail.functions import recode
 from labtrail.functions.special import log10_p_of_z, p_of_t
+from labtrail.session import stage
 
 # -------------------------------------------------------------------- DeLong
 
@@ -136,8 +137,9 @@ def compare_models(
 ) -> DataFrame:
     """AUC, average precision and reclassification differences of all pairs."""
     keys = ["model_1", "model_2", "set_name", "filter"]
-    rows = evaluation_grid(
-        join_pairs(predictions, pairs), membership, sets, least_cases, keys[:2]
+    # the grid is read by the draws, by their rows and by the test: build it once
+    rows = stage(
+        evaluation_grid(join_pairs(predictions, pairs), membership, sets, least_cases, keys[:2])
     )
     boot = bootstrap.bootstrap_diff(rows, keys, ["person_id"], "prob_1", "prob_2", "y", replicates)
     tested = delong(rows, keys, "prob_1", "prob_2", "y").select(*keys, "se_diff", "z")
@@ -154,7 +156,7 @@ def score_models(
     """AUC, average precision, Brier score and log loss with intervals per model."""
     keys = ["model", "set_name", "filter"]
     coded = predictions.withColumn("y", recode.any_risk(F.col(goal)))
-    rows = evaluation_grid(coded, membership, sets, 0, keys[:1])
+    rows = stage(evaluation_grid(coded, membership, sets, 0, keys[:1]))
     drawn = bootstrap.resample(rows, keys, ["person_id"], replicates, ["prob", "y"])
     cell = [*keys, "replicate"]
     ranked = metrics.ranked_metrics(drawn, cell, "prob", "y")

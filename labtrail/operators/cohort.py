@@ -24,6 +24,17 @@ def first_event(events: DataFrame, reason: str) -> DataFrame:
     )
 
 
+def first_events(events: DataFrame, tests: Mapping[str, Column]) -> DataFrame:
+    """(person, reason, first date) of several kinds of events in one scan."""
+    firsts = events.groupBy(PERSON).agg(
+        *[F.min(F.when(test, F.col("dt"))).alias(reason) for reason, test in tests.items()]
+    )
+    lines = [
+        F.struct(F.lit(r).alias("reason"), F.col(f"`{r}`").alias("first_dt")) for r in tests
+    ]
+    return firsts.select(PERSON, F.inline(F.array(*lines))).where(F.col("first_dt").isNotNull())
+
+
 def second_event(events: DataFrame, reason: str) -> DataFrame:
     """(person, reason, second distinct date)."""
     return second_dates(events).select(PERSON, F.lit(reason).alias("reason"), F.col("dt").alias("first_dt"))
@@ -44,24 +55,20 @@ def exclude(series: DataFrame, reasons: DataFrame, base: Column) -> DataFrame:
 
 
 def kidney_reasons(
-    series: DataFrame,
-    diagnoses: DataFrame,
-    drugs: DataFrame,
-    operations: DataFrame,
-    cystatin: DataFrame,
-    albumin: DataFrame,
-    days: int = 90,
+    series: DataFrame, coded: DataFrame, cystatin: DataFrame, albumin: DataFrame, days: int = 90
 ) -> DataFrame:
-    """Sustained low rate, diagnosis, SGLT2 drug, nephrectomy, cystatin rate, albumin ratio."""
+    """Sustained low rate, coded events, cystatin rate < 60, albumin ratio >= 30.
+
+    `coded` holds the reasons found in registries (diagnosis, SGLT2 drug,
+    nephrectomy), see `first_events`; so it does for the other labs.
+    """
     sustained = data_diagnosis(series.where(F.col("abnorm_custom") != 0.5), days)
     return reason_table(
         [
             sustained.select(
                 PERSON, F.lit("data").alias("reason"), F.col("diagnosis_dt").alias("first_dt")
             ),
-            first_event(diagnoses, "diagnosis"),
-            first_event(drugs, "drug"),
-            first_event(operations, "nephrectomy"),
+            coded,
             first_event(cystatin.where(F.col("value") < 60), "cystatin"),
             first_event(albumin.where(F.col("value") >= 30), "albumin"),
         ]
@@ -69,14 +76,13 @@ def kidney_reasons(
 
 
 def sugar_reasons(
-    series: DataFrame, diagnoses: DataFrame, drugs: DataFrame, fasting: DataFrame, glucose: DataFrame
+    series: DataFrame, coded: DataFrame, fasting: DataFrame, glucose: DataFrame
 ) -> DataFrame:
-    """Abnormal value, diagnosis, drug, fasting glucose >= 7 twice, glucose >= 11 twice."""
+    """Abnormal value, coded events, fasting glucose >= 7 twice, glucose >= 11 twice."""
     return reason_table(
         [
             first_event(series.where(F.col("abnorm_custom") == 1), "data"),
-            first_event(diagnoses, "diagnosis"),
-            first_event(drugs, "drug"),
+            coded,
             second_event(fasting.where(F.col("value") >= 7), "fasting glucose"),
             second_event(glucose.where(F.col("value") >= 11), "glucose"),
         ]
@@ -84,14 +90,13 @@ def sugar_reasons(
 
 
 def fat_reasons(
-    series: DataFrame, diagnoses: DataFrame, drugs: DataFrame, fasting: DataFrame, any_time: DataFrame
+    series: DataFrame, coded: DataFrame, fasting: DataFrame, any_time: DataFrame
 ) -> DataFrame:
-    """LDL >= 4, diagnosis, drug, fasting triglycerides >= 5.6 once, any >= 5.6 twice."""
+    """LDL >= 4, coded events, fasting triglycerides >= 5.6 once, any >= 5.6 twice."""
     return reason_table(
         [
             first_event(series.where(F.col("value") >= 4), "data"),
-            first_event(diagnoses, "diagnosis"),
-            first_event(drugs, "drug"),
+            coded,
             first_event(fasting.where(F.col("value") >= 5.6), "fasting triglycerides"),
             second_event(any_time.where(F.col("value") >= 5.6), "triglycerides"),
         ]
@@ -99,15 +104,14 @@ def fat_reasons(
 
 
 def thyroid_reasons(
-    series: DataFrame, diagnoses: DataFrame, drugs: DataFrame, t4: DataFrame, t3: DataFrame
+    series: DataFrame, coded: DataFrame, t4: DataFrame, t3: DataFrame
 ) -> DataFrame:
-    """Any abnormal value, diagnosis, drug, abnormal T4 or T3."""
+    """Any abnormal value, coded events, abnormal T4 or T3."""
     odd = F.col("abnorm_custom") != 0
     return reason_table(
         [
             first_event(series.where(odd), "data"),
-            first_event(diagnoses, "diagnosis"),
-            first_event(drugs, "drug"),
+            coded,
             first_event(t4.where(odd), "t4"),
             first_event(t3.where(odd), "t3"),
         ]

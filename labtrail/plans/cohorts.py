@@ -66,13 +66,16 @@ reasons as (
   union all select person_id, 'albumin', min(dt) from lab where lab = '3-MEDIUM' and value - 125 >= 30 group by person_id)"""
 
 
+def coded_tests():
+    drug = (F.col("source") == "PURCH") & F.col("code").startswith("B10")
+    return {"diagnosis": F.col("code").rlike("^A0[1-5]"), "drug": drug}
+
+
 def kidney_reasons(t, rows):
     rate = units.cystatin_2012(F.col("value") / 100, F.col("sex"), F.col("event_age"))
     return cohort.kidney_reasons(
         rows,
-        registry.matching(t.code, "^A0[1-5]"),
-        t.code.where((F.col("source") == "PURCH") & F.col("code").startswith("B10")),
-        t.code.where(F.col("code").startswith("C20")),
+        cohort.first_events(t.code, {**coded_tests(), "nephrectomy": F.col("code").startswith("C20")}),
         _lab(t, "2-HIGH", rate),
         _lab(t, "3-MEDIUM", F.col("value") - 125),
     )
@@ -136,10 +139,7 @@ def _second_sql(reason: str, lab: str, test: str) -> str:
 
 
 def _code_events(t):
-    return (
-        registry.matching(t.code, "^A0[1-5]"),
-        t.code.where((F.col("source") == "PURCH") & F.col("code").startswith("B10")),
-    )
+    return cohort.first_events(t.code, coded_tests())
 
 
 @query(
@@ -158,7 +158,7 @@ def exclude_hba1c(t):
     marked = rows.withColumn("abnorm_custom", F.when(F.col("value") > 150, 1.0).otherwise(0.0))
     reasons = cohort.sugar_reasons(
         marked,
-        *_code_events(t),
+        _code_events(t),
         _lab(t, "2-HIGH", F.col("value") / 10),
         _lab(t, "3-MEDIUM", F.col("value") / 10),
     )
@@ -179,7 +179,7 @@ def exclude_ldl(t):
     rows = _lab(t, "1-URGENT", F.col("value") / 35)
     reasons = cohort.fat_reasons(
         rows,
-        *_code_events(t),
+        _code_events(t),
         _lab(t, "4-NOT SPECIFIED", F.col("value") / 25),
         _lab(t, "5-LOW", F.col("value") / 20),
     )
@@ -201,7 +201,7 @@ def exclude_tsh(t):
     rows = _lab(t, "2-HIGH", F.col("value") / 35, thresholds.abnormal("tsh", "multi"))
     reasons = cohort.thyroid_reasons(
         rows,
-        *_code_events(t),
+        _code_events(t),
         _lab(t, "1-URGENT", F.col("value") / 6, thresholds.abnormal("t4")),
         _lab(t, "5-LOW", F.col("value") / 24, thresholds.abnormal("t3")),
     )

@@ -35,10 +35,13 @@ def resample_sql(source: str, groups: str, columns: str, replicates: int = REPLI
     cols = ", ".join(f"b.{c.strip()}" for c in columns.split(","))
     placed = f"""(select *, row_number() over (partition by {groups} order by {u_sql('person_id', salt='row')}, person_id) - 1 as pos,
         count(*) over (partition by {groups}) as size from {source})"""
+    mixed = f"""(select *, (pos % 2147483647 * 48271 + replicate * 69621 + 11) % 2147483647 as h
+        from {placed} p, range(1, {replicates + 1}) r(replicate))"""
+    for _ in range(3):
+        mixed = f"(select * replace ((xor(h, h >> 16) * 73244475) % 2147483647 as h) from {mixed})"
     return f"""(select {groups}, 0 as replicate, {columns} from {source}
       union all select {', '.join(f'a.{g}' for g in names)}, a.replicate, {cols} from (
-        select {groups}, replicate, cast(floor({u_sql('pos', 'replicate', salt='boot')} * size) as bigint) as pos
-        from {placed} p, range(1, {replicates + 1}) r(replicate)) a join {placed} b on {same} and a.pos = b.pos)"""
+        select {groups}, replicate, cast(floor(h / cast(2147483648 as double) * size) as bigint) as pos from {mixed}) a join {placed} b on {same} and a.pos = b.pos)"""
 
 
 def interval_sql(source: str, groups: str, names: list[str]) -> str:

@@ -154,3 +154,18 @@ def test_draws_never_exceed_plan_or_capacity(spark):
     drawn = recall.stratified_draw(binned, {1: 10.0, 2: 200.0, 3: 4.0, 4: 0.0})
     counts = {(r.group, r.site): r["count"] for r in drawn.groupBy("group", "site").count().collect()}
     assert counts == {(1, "Tampere"): 5, (2, "Turku"): 30, (3, "Tampere"): 2}
+
+
+def test_integer_mix_is_uniform(spark):
+    from labtrail.functions.uniform import with_mixed_uniform
+
+    df = spark.range(200).select(F.col("id").alias("a")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(500))))
+    u = with_mixed_uniform(df, "u", "a", "b").toPandas()
+    assert u.u.between(0, 1, inclusive="left").all()
+    counts = np.histogram(u.u, bins=50, range=(0, 1))[0]
+    assert ((counts - 2000) ** 2 / 2000).sum() < 90  # 49 degrees of freedom
+    grid = u.pivot(index="b", columns="a", values="u").to_numpy()
+    assert abs(np.corrcoef(grid[:-1].ravel(), grid[1:].ravel())[0, 1]) < 0.02
+    assert abs(np.corrcoef(grid[:, :-1].ravel(), grid[:, 1:].ravel())[0, 1]) < 0.02
+    distinct = [len(set(np.floor(row * 200))) / 200 for row in grid]
+    assert abs(np.mean(distinct) - (1 - math.exp(-1))) < 0.01
