@@ -56,7 +56,8 @@ def delong(df: DataFrame, groups: Sequence[str], first: str, second: str, label:
     out = per_class.groupBy(*groups).agg(
         F.max(F.when(case, F.col("_m1"))).alias("auc_1"),
         F.max(F.when(case, F.col("_m2"))).alias("auc_2"),
-        F.when(F.count(F.lit(1)) == 2, F.sqrt(F.greatest(F.sum(share), F.lit(0.0)))).alias("se_diff"),
+        # a class of one row has no variance
+        F.when(F.count(share) == 2, F.sqrt(F.greatest(F.sum(share), F.lit(0.0)))).alias("se_diff"),
     )
     return out.withColumn("z", F.try_divide(F.abs(F.col("auc_1") - F.col("auc_2")), F.col("se_diff")))
 

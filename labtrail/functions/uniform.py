@@ -21,8 +21,8 @@ MIX_FIRST, MIX_SECOND, MIX_FACTOR, MIX_ROUNDS = 48271, 69621, 73244475, 3
 def with_mixed_uniform(df: DataFrame, name: str, first: str, second: str) -> DataFrame:
     """Add a number in [0, 1) with 31 random bits from two non-negative integers.
 
-    Integer arithmetic only: about fifty times cheaper than md5, for steps that
-    need one number per drawn row.
+    Integer arithmetic only, for steps that need one number per drawn row, where
+    md5 text would dominate the cost.
     """
     start = F.col(first) % MIX_PRIME * MIX_FIRST + F.col(second) * MIX_SECOND + 11
     out = df.withColumn(name, start.cast("long") % MIX_PRIME)
