@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labtrail.llm import mixing, packing
 from labtrail.llm import quality as quality_rules
 from labtrail.llm.common import documents
 
@@ -55,3 +56,83 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             or len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) * 10 < n_words * 8) as kept
 from m
 """
+
+
+#: Domains of the test tables: sources dealt to five by number. Weights are per mille.
+MIX = mixing.Mix(
+    levels=("domain", "lang", "source"),
+    weights={
+        "domain": {"d0": 150, "d1": 250, "d2": 250, "d3": 200, "d4": 150},
+        "lang": {"en": 500, "de": 200, "fr": 200, "es": 100},
+    },
+    other=100,
+    share=0.8,
+    max_epochs=3,
+)
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    number = F.expr("try_cast(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) as long)")
+    return docs.withColumn("domain", F.concat(F.lit("d"), (F.coalesce(number, F.lit(0)) % 5).cast("string")))
+
+
+@query
+def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    picked = mixing.selection(with_domain(documents(spark, folder)), MIX)
+    return picked.select("doc_id", "domain", "lang", "source", "tokens", "epoch")
+
+
+def _level_sql(name: str, parent: str, keys: str, key: str, nodes: str) -> str:
+    """DuckDB text of water filling: `nodes` has keys, capacity, weight and budget."""
+    return f"""
+{name}_a as (
+  select *, capacity / cast(weight as double) as lvl,
+         coalesce(sum(capacity) over (partition by {parent} order by capacity / cast(weight as double), {key} rows between unbounded preceding and 1 preceding), 0) as used,
+         sum(weight) over (partition by {parent}) - coalesce(sum(weight) over (partition by {parent} order by capacity / cast(weight as double), {key} rows between unbounded preceding and 1 preceding), 0) as open
+  from ({nodes})),
+{name}_b as (select *, used + lvl * cast(open as double) <= budget as full_ from {name}_a),
+{name} as (
+  select {keys}, case when full_ then cast(capacity as double)
+         else coalesce((budget - cast(sum(case when full_ then capacity else 0 end) over (partition by {parent}) as double)) * weight
+              / nullif(cast(sum(case when full_ then 0 else weight end) over (partition by {parent}) as double), 0), 0.0) end as budget
+  from {name}_b),"""
+
+
+def _weight_sql(level: str) -> str:
+    arms = " ".join(f"when '{k}' then {v}" for k, v in MIX.weights.get(level, {}).items())
+    return f"case {level} {arms} else {MIX.other} end" if arms else str(MIX.other)
+
+
+ORACLES["op5_mix_sources"] = f"""
+with s as (
+  select doc_id, 'd' || coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) as bigint), 0) % 5 as domain,
+         coalesce(lang, '') as lang, coalesce(source, '') as source,
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as tokens
+  from documents),
+leaf as (select domain, lang, source, sum(tokens) as tokens, sum(tokens) * {MIX.max_epochs} as capacity from s group by all),
+{_level_sql("top", "1", "domain", "domain", f"select domain, sum(capacity) as capacity, {_weight_sql('domain')} as weight, cast((select sum(tokens) from s) as double) * cast({MIX.share} as double) as budget from leaf group by domain")}
+{_level_sql("mid", "domain", "domain, lang", "lang", f"select domain, lang, sum(capacity) as capacity, {_weight_sql('lang')} as weight, any_value(budget) as budget from leaf join top using (domain) group by domain, lang")}
+{_level_sql("low", "domain, lang", "domain, lang, source", "source", f"select domain, lang, source, capacity, {_weight_sql('source')} as weight, budget from leaf join mid using (domain, lang)")}
+p as (
+  select domain, lang, source, least(cast(floor(budget / tokens) as bigint), {MIX.max_epochs}) as whole, tokens as all_tokens, budget
+  from leaf join low using (domain, lang, source) where tokens > 0),
+q as (
+  select s.*, whole, floor(budget - whole * all_tokens) as rest,
+         sum(s.tokens) over (partition by domain, lang, source order by md5('{MIX.seed}|' || (whole + 1) || '|' || doc_id)
+                             range between unbounded preceding and current row) as upto
+  from s join p using (domain, lang, source) where s.tokens > 0)
+select doc_id, domain, lang, source, tokens, unnest(range(1, whole + 1 + case when upto <= rest and whole < {MIX.max_epochs} then 1 else 0 end)) as epoch
+from q
+"""
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack_documents(documents(spark, folder), tokenizer_path())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
