@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labtrail.llm import mixing, packing
+from labtrail.llm import mixing, packing, warc
 from labtrail.llm import quality as quality_rules
-from labtrail.llm.common import documents
+from labtrail.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +136,9 @@ def tokenizer_path() -> str:
 def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack_documents(documents(spark, folder), tokenizer_path())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.archived(table(spark, folder, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
