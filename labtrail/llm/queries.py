@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labtrail.llm import mixing, packing, warc
+from labtrail.llm import langid, mixing, packing, warc
 from labtrail.llm import quality as quality_rules
 from labtrail.llm.common import documents, table
 
@@ -142,3 +142,11 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     records = warc.archived(table(spark, folder, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = langid.fit(docs.where(~langid.held_out("doc_id")))
+    judged = langid.predict(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
