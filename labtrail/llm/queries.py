@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labtrail.llm import langid, mixing, packing, warc
+from labtrail.llm import langid, mixing, packing, substring_dedup, suffix_dedup, warc
 from labtrail.llm import quality as quality_rules
 from labtrail.llm.common import documents, table
 
@@ -150,3 +150,13 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.fit(docs.where(~langid.held_out("doc_id")))
     judged = langid.predict(docs.select("doc_id", "text"), model)
     return judged.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.dedup(documents(spark, folder))
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, folder))
