@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labtrail.llm import langid, mixing, packing, substring_dedup, suffix_dedup, warc
+from labtrail.llm import langid, minhash, mixing, packing, substring_dedup, suffix_dedup, warc
 from labtrail.llm import quality as quality_rules
 from labtrail.llm.common import documents, table
 
@@ -160,3 +160,8 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.dedup(documents(spark, folder))
+
+
+@query
+def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.classes(documents(spark, folder)).select("doc_id", "class_id", "n_links", "copies")
