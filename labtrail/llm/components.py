@@ -1,7 +1,9 @@
-"""Connected components of a table of links, by label passing in Spark joins."""
+"""Links inside buckets of candidates, and connected components of links, in Spark joins."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +33,34 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+
+
+def linked(members: DataFrame, measure: Callable[[DataFrame], DataFrame], limit: float, rounds: int) -> DataFrame:
+    """Links (`a`, `b`) that connect all members of a bucket that are connected within it.
+
+    `members` has rows (`bucket`, `node`); `measure` adds the `distance`, a metric, to pairs of nodes;
+    it may stand for all distances above twice the limit by one of them. Members are compared with
+    one leader of their bucket, not with each other. One within the limit stays only while it
+    could be within the limit of one that is not. What `rounds` rounds leave is compared in pairs.
+    """
+    found = []
+    for number in range(rounds + 1):
+        leaders = members.groupBy("bucket").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n"))
+        active = members.join(leaders.where("n > 1"), "bucket").where("node <> b")
+        if number == rounds:
+            other = members.select("bucket", F.col("node").alias("b"))
+            pairs = members.withColumnRenamed("node", "a").join(other, "bucket").where("a < b").select("a", "b")
+            found.append(measure(pairs.distinct()).where(F.col("distance") <= limit).select("a", "b"))
+            break
+        measured = cut(measure(active.select(F.col("node").alias("a"), "b").distinct()))
+        found.append(measured.where(F.col("distance") <= limit).select("a", "b"))
+        judged = active.withColumnRenamed("node", "a").join(measured, ["a", "b"])
+        failed = judged.where(F.col("distance") > limit).groupBy("bucket").agg((F.min("distance") - limit).alias("reach"))
+        left = judged.join(failed, "bucket").where(F.col("distance") >= F.col("reach") - 1e-9)
+        members = cut(left.select("bucket", F.col("a").alias("node")))
+        if members.isEmpty():
+            break
+    links = found[0]
+    for part in found[1:]:
+        links = links.unionByName(part)
+    return links.distinct()

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from labtrail.llm import spans
 from labtrail.llm.common import cut
-from labtrail.llm.components import components
+from labtrail.llm.components import components, linked
 from labtrail.llm.substring_dedup import bounds
 
 WORDS = 5
@@ -207,41 +207,10 @@ def verified(pairs: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.nd
 
     left = texts.select(F.col("node").alias("a"), F.col("_text").alias("x"))
     right = texts.select(F.col("node").alias("b"), F.col("_text").alias("y"))
-    rows = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return rows.mapInArrow(measure, "a long, b long, distance double")
 
 
-def linked(members: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.ndarray], similar: float, rounds: int) -> DataFrame:
-    """Links (`a`, `b`) that join all texts of a bucket that are connected within it.
-
-    `members` has rows (`bucket`, `node`). A member that lies within the limit of the leader stays only
-    while it could lie within the limit of one that does not.
-    """
-    limit = 1.0 - similar + 1e-9
-    found = []
-    for number in range(rounds + 1):
-        leaders = members.groupBy("bucket").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n"))
-        active = members.join(leaders.where("n > 1"), "bucket").where("node <> b")
-        if number == rounds:
-            # what no round has settled: each member with each larger one of its bucket
-            other = members.select("bucket", F.col("node").alias("b"))
-            pairs = members.withColumnRenamed("node", "a").join(other, "bucket").where("a < b").select("a", "b")
-            found.append(verified(pairs, texts, common).where(F.col("distance") <= limit).select("a", "b"))
-            break
-        measured = cut(verified(active.select(F.col("node").alias("a"), "b"), texts, common))
-        found.append(measured.where(F.col("distance") <= limit).select("a", "b"))
-        judged = active.withColumnRenamed("node", "a").join(measured, ["a", "b"])
-        failed = judged.where(F.col("distance") > limit).groupBy("bucket").agg((F.min("distance") - limit).alias("reach"))
-        left = judged.join(failed, "bucket").where(F.col("distance") >= F.col("reach") - 1e-9)
-        members = cut(left.select("bucket", F.col("a").alias("node")))
-        if members.isEmpty():
-            break
-    links = found[0]
-    for part in found[1:]:
-        links = links.unionByName(part)
-    return links.distinct()
-
-
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of `docs`: key, `class_id`, `n_links` of its text, `copies` of its text,
     `_same`, and `keeps`, true on the rows of the text that stands for the class."""
@@ -257,7 +226,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
     members = spans.written(keys.join(shared, "bucket"), "members")
     wanted = nodes.join(members.select("node").distinct(), "node").select("_same", "owner", "node")
     texts = spans.fetched(docs, key, text, wanted, "candidates")
-    links = spans.written(linked(members, texts, common, similar, rounds), "links")
+    links = linked(members, lambda pairs: verified(pairs, texts, common), 1.0 - similar + 1e-9, rounds)
+    links = spans.written(links, "links")
     labels = components(links)
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     degrees = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
