@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labtrail.llm import langid, line_dedup, minhash, mixing, packing, substring_dedup, suffix_dedup, warc
+from labtrail.llm import langid, line_dedup, minhash, mixing, neighbours, packing, substring_dedup, suffix_dedup, warc
 from labtrail.llm import quality as quality_rules
 from labtrail.llm.common import documents, table
 
@@ -171,3 +171,8 @@ def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup.dedup(documents(spark, folder).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op1_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(table(spark, folder, "embeddings"), lambda vec_id: vec_id % 20 == 0)
