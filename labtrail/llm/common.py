@@ -31,6 +31,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/labtrail-{name}-{uuid.uuid4().hex}"
 
 
+def whole_row(df: DataFrame, *names: str) -> DataFrame:
+    """Columns `names` next to `_row`, a struct of all columns, so that no name can clash."""
+    return df.select(F.struct("*").alias("_row"), *names)
+
+
+def restored(df: DataFrame, *added: str) -> list[Column]:
+    """The columns of `_row`, but for those that `added` columns replace, and these."""
+    names = [x for x in df.schema["_row"].dataType.names if x not in added]
+    return [F.col("_row").getField(x).alias(x) for x in names] + [F.col(x) for x in added]
+
+
 def words(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text; null has none."""
     plain = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labtrail.llm import spans
-from labtrail.llm.common import parts
+from labtrail.llm.common import parts, restored, whole_row
 from labtrail.llm.components import components, linked
 
 EDITS = 2
@@ -300,14 +300,13 @@ def _kept_text() -> Column:
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of `docs`, with the text that is left, and `n_lines` and `n_removed`."""
     gone = removals(docs, key, text).withColumnRenamed("gone", "_gone")
-    rows = docs.withColumns({"_key": spans.keyed(key), "_same": spans.digest(text), "_lines": F.split(F.col(text), "\n")})
+    rows = whole_row(docs, F.col(text).alias("_text"), spans.keyed(key), spans.digest(text).alias("_same"), F.split(F.col(text), "\n").alias("_lines"))
     rows = rows.join(gone, ["_key", "_same"], "left")
     rows = rows.withColumns(
         {
-            text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(_kept_text()),
+            text: F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(_kept_text()),
             "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
             "n_removed": F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long"),
         }
     )
-    names = [*docs.columns, *[x for x in ("n_lines", "n_removed") if x not in docs.columns]]
-    return rows.select(*names)
+    return rows.select(*restored(rows, text, "n_lines", "n_removed"))

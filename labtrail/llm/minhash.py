@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labtrail.llm import spans
-from labtrail.llm.common import cut
+from labtrail.llm.common import cut, whole_row
 from labtrail.llm.components import components, linked
 from labtrail.llm.substring_dedup import bounds
 
@@ -256,7 +256,7 @@ def _numbered(nodes: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """The rows of `docs` that stay: one of each class, and every row without a word."""
     found = spans.written(classes(docs, key, text, similar).where("keeps").select(spans.keyed(key), "_same").distinct(), "keeps")
-    marked = docs.withColumns({"_key": spans.keyed(key), "_same": spans.digest(text)})
-    worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    marked = whole_row(docs, F.col(text).alias("_text"), spans.keyed(key), spans.digest(text).alias("_same"))
+    worded = F.coalesce(F.col("_text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     kept = marked.where(worded).join(found, ["_same", "_key"], "left_semi").dropDuplicates(["_same", "_key"])
-    return kept.unionByName(marked.where(~worded)).select(*docs.columns)
+    return kept.unionByName(marked.where(~worded)).select("_row.*")

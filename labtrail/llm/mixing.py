@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from labtrail.llm.common import cut, words
+from labtrail.llm.common import cut, restored, whole_row, words
 
 #: Leading hexadecimal digits of the drawn order that make a cell: 4,096 cells a leaf.
 CELL_DIGITS = 3
@@ -110,8 +110,8 @@ def budgets(sized: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _sized(docs: DataFrame, mix: Mix, key: str, text: str) -> DataFrame:
-    keys = {name: F.coalesce(F.col(name).cast("string"), F.lit("")) for name in mix.levels}
-    return docs.withColumns(keys).select(F.col(key), *mix.levels, n_tokens(text).alias("tokens"))
+    keys = [F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name) for name in mix.levels]
+    return docs.select(F.col(key), *keys, n_tokens(text).alias("tokens"))
 
 
 def plan(sized: DataFrame, mix: Mix, key: str = "doc_id") -> DataFrame:
@@ -140,16 +140,15 @@ def plan(sized: DataFrame, mix: Mix, key: str = "doc_id") -> DataFrame:
 
 
 def select(docs: DataFrame, mix: Mix, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of `docs` as often as they are selected, with the leaf's keys, `tokens` and `epoch`.
+    """Rows of `docs` as often as they are selected, with all their columns, `tokens` and `epoch`.
 
     `docs` needs the columns of all levels, the key and the text.
     """
     # the plan reads every row's leaf and tokens several times; texts are read once for it
-    rows = cut(_sized(docs, mix, key, text))
-    leaves = plan(rows, mix, key).select(*mix.levels, "whole", "last")
-    keys = {name: F.coalesce(F.col(name).cast("string"), F.lit("")) for name in mix.levels}
-    out = docs.withColumns(keys) if text in docs.columns else docs
-    return _emit(out.withColumn("tokens", n_tokens(text)), leaves, mix, key)
+    leaves = plan(cut(_sized(docs, mix, key, text)), mix, key).select(*mix.levels, "whole", "last")
+    keys = [F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name) for name in mix.levels]
+    out = _emit(whole_row(docs, key, *keys, n_tokens(text).alias("tokens")), leaves, mix, key)
+    return out.select(*restored(out, "tokens", "epoch"))
 
 
 def _emit(rows: DataFrame, leaves: DataFrame, mix: Mix, key: str) -> DataFrame:

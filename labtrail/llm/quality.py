@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labtrail.llm.common import words
+from labtrail.llm.common import restored, whole_row, words
 
 # fixed values: the symbols that count and the limits of the base
 SYMBOLS = "[#*$%&|<>]"
@@ -140,11 +140,13 @@ def quality(
     cascade that rejected the row (`base` for the base); it is null for kept rows.
     """
     rules = standard_rules() if rules is None else rules
-    taken = sample_of(docs, key, rows)
+    taken = sample_of(docs, key, rows).select(text)
     names = order_rules(measured(taken, text).withColumn("base_failed", base_failed()), rules)
     by_name = {r.name: r for r in rules}
     chain = F.when(base_failed(), F.lit("base"))
     for name in names:
         chain = chain.when(by_name[name].rejects, F.lit(name))
-    out = measured(docs, text).withColumn("base_failed", base_failed()).withColumn("failed_rule", chain)
-    return out.withColumn("kept", F.col("failed_rule").isNull()).drop("_words", "_lines")
+    out = measured(whole_row(docs, text), text).withColumn("base_failed", base_failed()).withColumn("failed_rule", chain)
+    out = out.withColumn("kept", F.col("failed_rule").isNull())
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return out.select(*restored(out, *counts, "base_failed", "failed_rule", "kept"))

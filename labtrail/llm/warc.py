@@ -124,8 +124,8 @@ def write_archives(
                 done = [packer.compress(record(i, u, (b or "").encode(), r, date)) for i, u, b, r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], names=["frame"])
 
-    rows = with_references(pages, key, body)
-    rows = rows.select(F.col(key).cast("long").alias("id"), F.col(url).alias("url"), F.col(body).alias("body"), F.col("_refers").cast("long").alias("refers"))
+    plain = pages.select(F.col(key).cast("long").alias("id"), F.col(url).alias("url"), F.col(body).alias("body"))
+    rows = with_references(plain, "id", "body").select("id", "url", "body", F.col("_refers").alias("refers"))
     framed = rows.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
     framed.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 0).text(folder)
 
