@@ -16,11 +16,12 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labtrail.llm.common import scratch
+from labtrail.llm.common import parts, scratch
 
 MASK = (1 << 64) - 1
 #: Odd factor of the polynomial fingerprints modulo 2**64, and its inverse.
@@ -156,15 +157,42 @@ def owners(rows: DataFrame) -> DataFrame:
 def repeated(rows: DataFrame, apart: bool) -> DataFrame:
     """Places of the items whose minimiser occurs again, per distinct text: `_same`, `places`.
 
-    With `apart`, only minimisers that occur in two different texts count.
+    With `apart`, only minimisers that occur in two different texts count. Minimisers travel as
+    packed arrays and are sorted in their bucket.
     """
-    one = rows.where(F.size("prints") > 0).dropDuplicates(["_same"])
-    items = one.select("_same", F.explode(F.arrays_zip("prints", "places")).alias("x")).select("_same", "x.prints", "x.places")
-    items = items.withColumn("_text", F.xxhash64("_same"))
-    groups = items.groupBy("prints").agg(F.min("_text").alias("a"), F.max("_text").alias("z"), F.count(F.lit(1)).alias("n"))
-    often = groups.where((F.col("a") < F.col("z")) if apart else (F.col("n") > 1)).select("prints")
-    # a minimiser in a third of all texts is a hot key of this join, which adaptive execution splits
-    return items.join(often, "prints").groupBy("_same").agg(F.collect_list("places").alias("places"))
+    buckets = parts(rows.sparkSession, 16)
+    one = rows.where(F.size("prints") > 0).select("_same", "prints", "places", F.xxhash64("_same").alias("_text"))
+    one = one.dropDuplicates(["_same"])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, places = batch.column(0), batch.column(1)
+            numbers = np.diff(prints.offsets.to_numpy())
+            found = np.empty((int(numbers.sum()), 3), np.int64)
+            found[:, 0] = prints.flatten().to_numpy()
+            found[:, 1] = np.repeat(batch.column(2).to_numpy(), numbers)
+            found[:, 2] = places.flatten().to_numpy()
+            to = (found[:, 0].astype(np.uint64) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            edges = np.searchsorted(to[order], np.arange(buckets + 1))
+            full = [k for k in range(buckets) if edges[k] < edges[k + 1]]
+            blobs = [found[order[edges[k] : edges[k + 1]]].tobytes() for k in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "items"])
+
+    def meet(blobs: pd.DataFrame) -> pd.DataFrame:
+        found = np.frombuffer(b"".join(blobs["items"]), "<i8").reshape(-1, 3)
+        found = found[np.lexsort((found[:, 1], found[:, 0]))]
+        new = np.concatenate([[True], found[1:, 0] != found[:-1, 0]])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(found)) - 1
+        often = found[first, 1] != found[last, 1] if apart else last > first
+        kept = often[np.cumsum(new) - 1]
+        return pd.DataFrame({"_text": found[kept, 1], "place": found[kept, 2].astype(np.int32)})
+
+    items = one.select("prints", "places", "_text").mapInArrow(make, "bucket int, items binary")
+    found = items.groupBy("bucket").applyInPandas(meet, "_text long, place int")
+    found = found.groupBy("_text").agg(F.collect_list("place").alias("places"))
+    return found.join(one.select("_same", "_text"), "_text").select("_same", "places")
 
 
 def fetched(docs: DataFrame, key: str, text: str, found: DataFrame, name: str) -> DataFrame:
@@ -173,10 +201,8 @@ def fetched(docs: DataFrame, key: str, text: str, found: DataFrame, name: str) -
     Texts travel by md5 and key, so the copies of a frequent text do not meet in one task.
     """
     texts = docs.where(F.col(text).isNotNull()).select(keyed(key), digest(text).alias("_same"), F.col(text).alias("_text"))
-    wanted = found.withColumnRenamed("owner", "_key")
-    texts = texts.join(wanted.select("_same", "_key"), ["_same", "_key"], "left_semi")
-    texts = texts.groupBy("_same", "_key").agg(F.first("_text").alias("_text"))
-    return written(texts.join(wanted, ["_same", "_key"]).withColumnRenamed("_key", "owner"), name)
+    texts = texts.join(found.withColumnRenamed("owner", "_key"), ["_same", "_key"]).dropDuplicates(["_same", "_key"])
+    return written(texts.withColumnRenamed("_key", "owner"), name)
 
 
 def merged(intervals: list[tuple[int, int]]) -> list[list[int]]:

@@ -19,7 +19,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -31,6 +30,8 @@ from labtrail.llm.common import parts
 WINDOW = 50
 #: Words of a minimiser; a window holds 35 of them.
 MINIMISER = 16
+#: Buckets for each partition of a shuffle: a task holds one at a time.
+BUCKETS = 16
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -132,7 +133,7 @@ def smallest(prints: np.ndarray, owner: np.ndarray, equal) -> np.ndarray:
     return out
 
 
-def judge_bucket(blobs: list[bytes]) -> pd.DataFrame:
+def judge_bucket(blobs: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Runs of windows (start, end in words) of a bucket's items that occur under a smaller owner."""
     same, owners, firsts, strings = [], [], [], []
     for blob in blobs:
@@ -161,21 +162,23 @@ def judge_bucket(blobs: list[bytes]) -> pd.DataFrame:
     hit = smallest(prints, own, equal) < own
     at = window[hit]
     if not len(at):
-        return pd.DataFrame({"_same": [], "start": [], "end": []})
+        return [], at, at
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (item[at[1:]] != item[at[:-1]])]))
     last = np.append(new[1:], len(at)) - 1
     which = item[at[new]]
     start = at[new] - first_word[which] + np.array(firsts)[which]
-    return pd.DataFrame({"_same": np.array(same, object)[which], "start": start, "end": start + at[last] - at[new] + WINDOW})
+    return [same[k] for k in which.tolist()], start, start + at[last] - at[new] + WINDOW
 
 
 def removed_runs(items: DataFrame) -> DataFrame:
     """`_same`, `start`, `end`: runs of words to remove, per distinct text; they may overlap."""
 
-    def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        return judge_bucket([bytes(x) for x in rows["blob"]])
+    def judge(rows: pa.Table) -> pa.Table:
+        same, start, end = judge_bucket(rows.column("blob").to_pylist())
+        columns = [pa.array(same, pa.string()), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
+        return pa.Table.from_arrays(columns, names=["_same", "start", "end"])
 
-    return items.groupBy("bucket").applyInPandas(judge, "_same string, start int, end int")
+    return items.groupBy("bucket").applyInArrow(judge, "_same string, start int, end int")
 
 
 def kept_words(texts: DataFrame, runs: DataFrame) -> DataFrame:
@@ -204,7 +207,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: b
     groups = spans.owners(rows)
     found = spans.repeated(rows, apart=True).join(groups.select("_same", "owner"), "_same")
     texts = spans.fetched(docs, key, text, found, "texts")
-    changed = kept_words(texts, removed_runs(packed(texts, parts(docs.sparkSession, 16))))
+    changed = kept_words(texts, removed_runs(packed(texts, BUCKETS * parts(docs.sparkSession, 16))))
     columns = ["_same", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")]
     changed = spans.written(changed.select(*columns, *(["kept"] if with_text else [])), "kept")
     out = rows.select("_key", "_same", "size", "whole").join(groups, "_same").join(changed, "_same", "left")

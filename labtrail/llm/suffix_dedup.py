@@ -26,7 +26,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -38,6 +37,8 @@ from labtrail.llm.common import parts
 WINDOW = 400
 #: Bytes of an anchor's fingerprint; a window holds 201 of them.
 ANCHOR = 200
+#: Buckets for each partition of a shuffle: a task holds one at a time.
+BUCKETS = 8
 EMPTY = hashlib.sha256(b"").hexdigest()
 #: Cells (records x offsets) of a cluster that are looked at together.
 CELLS = 1 << 22
@@ -251,10 +252,10 @@ def runs_of(texts: DataFrame, buckets: int) -> DataFrame:
 def removed_runs(runs: DataFrame) -> DataFrame:
     """`_same`, `start`, `end`: runs of bytes to remove, per distinct text; they may overlap."""
 
-    def judge(rows: pd.DataFrame) -> pd.DataFrame:
+    def judge(rows: pa.Table) -> pa.Table:
         found: list[tuple[str, int, int]] = []
         suffixes, shared, payloads = [], [], []
-        for suffix, length, payload in merge([decoded(bytes(x)) for x in rows["run"]]):
+        for suffix, length, payload in merge([decoded(x) for x in rows.column("run").to_pylist()]):
             if length < ANCHOR and suffixes:
                 if len(suffixes) > 1:
                     found += covered(suffixes, shared, payloads)
@@ -264,9 +265,11 @@ def removed_runs(runs: DataFrame) -> DataFrame:
             payloads.append(payload)
         if len(suffixes) > 1:
             found += covered(suffixes, shared, payloads)
-        return pd.DataFrame(found, columns=["_same", "start", "end"])
+        columns = list(zip(*found, strict=True)) or [(), (), ()]
+        kinds = (pa.string(), pa.int32(), pa.int32())
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["_same", "start", "end"])
 
-    return runs.groupBy("bucket").applyInPandas(judge, "_same string, start int, end int")
+    return runs.groupBy("bucket").applyInArrow(judge, "_same string, start int, end int")
 
 
 def kept_bytes(texts: DataFrame, runs: DataFrame) -> DataFrame:
@@ -300,7 +303,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", with_bytes:
     groups = spans.owners(rows)
     found = spans.repeated(rows, apart=False).join(groups.select("_same", "owner"), "_same")
     texts = spans.fetched(docs, key, text, found, "texts")
-    changed = kept_bytes(texts, removed_runs(runs_of(texts, parts(docs.sparkSession, 16))))
+    changed = kept_bytes(texts, removed_runs(runs_of(texts, BUCKETS * parts(docs.sparkSession, 16))))
     changed = changed.withColumn("kept_sha256", F.sha2("kept", 256))
     changed = spans.written(changed if with_bytes else changed.drop("kept"), "kept")
     out = rows.select("_key", "_same", "size", "whole").join(groups, "_same").join(changed, "_same", "left")
