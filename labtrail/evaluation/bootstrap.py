@@ -1,8 +1,11 @@
 """Resampling with replacement as one grouped job.
 
-Replicate 0 is the data itself. Replicate r draws exactly n rows: slot j takes
-the row at place floor(u(j, r) * n) of a fixed random order. Drawn slots meet
-their rows through one join on (group, place), which no group can skew.
+Replicate 0 is the data itself. With the method "exact", replicate r draws exactly n rows: slot j
+takes the row at place draw(j, r) modulo n of a fixed random order, a 62-bit number that is keyed by
+the replicate. Drawn slots meet their rows through one join on (group, place), which no group can
+skew. With "poisson" each row gets a weight from a Poisson distribution with mean 1, drawn from its
+id and the replicate, and is repeated in place: no order, no join, and sums combine before
+the first shuffle. The size of a replicate then varies around n.
 """
 
 from __future__ import annotations
@@ -13,23 +16,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labtrail.evaluation import metrics
-from labtrail.functions.uniform import with_mixed_uniform
+from labtrail.functions.uniform import poisson_limits, row_number_of, with_draw
 from labtrail.operators.ranking import random_position
 from labtrail.session import spread
 
 
+METHODS = ("exact", "poisson")
+
+
+def _weighted(df: DataFrame, groups: list[str], ids: Sequence[str], replicates: int, columns: Sequence[str]) -> DataFrame:
+    """Rows repeated by their weights; replicate 0 has every row once."""
+    rows = df.select(*groups, *columns, row_number_of(*ids, salt="weight").alias("_row"))
+    # rows grow by the number of replicates here, which size estimates do not see
+    rows = spread(rows).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    rows = with_draw(rows, "_row", "replicate")
+    limits = F.array(*[F.lit(x) for x in poisson_limits()])
+    # a lambda's variable is computed once; a column named in each comparison would be pasted into all
+    weight = F.transform(F.array("_draw"), lambda d: F.size(F.filter(limits, lambda x: x <= d)))[0]
+    weight = F.when(F.col("replicate") == 0, 1).otherwise(weight)
+    rows = rows.withColumn("_times", weight).where(F.col("_times") > 0)
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return rows.select(*groups, "replicate", *columns)
+
+
 def resample(
-    df: DataFrame, groups: Sequence[str], ids: Sequence[str], replicates: int, columns: Sequence[str]
+    df: DataFrame,
+    groups: Sequence[str],
+    ids: Sequence[str],
+    replicates: int,
+    columns: Sequence[str],
+    method: str = "exact",
 ) -> DataFrame:
     """`columns` of the original rows and of all drawn rows, with `replicate`."""
+    if method not in METHODS:
+        raise ValueError(f"method is one of {METHODS}")
     groups = list(groups)
+    if method == "poisson":
+        return _weighted(df, groups, ids, replicates, columns)
     placed = random_position(df, groups, ids, "row", "_pos", "_size")
     # rows grow by the number of replicates here, which size estimates do not see:
     # spread them first, and ask for a shuffled join instead of a broadcast
     slots = spread(placed.select(*groups, "_pos", "_size"), *groups, "_pos")
     slots = slots.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    slots = with_mixed_uniform(slots, "_u", "_pos", "replicate")
-    draw = F.floor(F.col("_u") * F.col("_size"))
+    slots = with_draw(slots, "_pos", "replicate")
+    draw = F.col("_draw") % F.col("_size")
     drawn = slots.select(*groups, "replicate", draw.alias("_pos")).join(
         placed.select(*groups, "_pos", *columns).hint("merge"), [*groups, "_pos"]
     )
@@ -143,8 +173,9 @@ def bootstrap_diff(
     second: str,
     label: str,
     replicates: int = 500,
+    method: str = "exact",
 ) -> DataFrame:
-    rows = resample(df, groups, ids, replicates, [first, second, label])
+    rows = resample(df, groups, ids, replicates, [first, second, label], method)
     return paired_interval(paired_metrics(rows, [*groups, "replicate"], first, second, label), groups)
 
 

@@ -105,7 +105,7 @@ def join_pairs(
 def named_sets(column: str = "split_set") -> dict[str, Column]:
     """Evaluation sets; the last one is everything but the test set."""
     s = F.col(column)
-    return {"Train": s == 0, "Valid": s == 1, "Test": s == 2, "TrainValid": s != 2}
+    return {"Train": s == 0, "Tuning": s == 1, "Test": s == 2, "TrainTuning": s != 2}
 
 
 def evaluation_grid(
@@ -135,6 +135,7 @@ def compare_models(
     sets: Mapping[str, Column],
     replicates: int = 100,
     least_cases: int = 10,
+    method: str = "poisson",
 ) -> DataFrame:
     """AUC, average precision and reclassification differences of all pairs."""
     keys = ["model_1", "model_2", "set_name", "filter"]
@@ -142,7 +143,7 @@ def compare_models(
     rows = stage(
         evaluation_grid(join_pairs(predictions, pairs), membership, sets, least_cases, keys[:2])
     )
-    boot = bootstrap.bootstrap_diff(rows, keys, ["person_id"], "prob_1", "prob_2", "y", replicates)
+    boot = bootstrap.bootstrap_diff(rows, keys, ["person_id"], "prob_1", "prob_2", "y", replicates, method)
     tested = delong(rows, keys, "prob_1", "prob_2", "y").select(*keys, "se_diff", "z")
     return boot.join(tested, keys)
 
@@ -153,12 +154,13 @@ def score_models(
     sets: Mapping[str, Column],
     replicates: int = 100,
     goal: str = "y",
+    method: str = "poisson",
 ) -> DataFrame:
     """AUC, average precision, Brier score and log loss with intervals per model."""
     keys = ["model", "set_name", "filter"]
     coded = predictions.withColumn("y", recode.any_risk(F.col(goal)))
     rows = stage(evaluation_grid(coded, membership, sets, 0, keys[:1]))
-    drawn = bootstrap.resample(rows, keys, ["person_id"], replicates, ["prob", "y"])
+    drawn = bootstrap.resample(rows, keys, ["person_id"], replicates, ["prob", "y"], method)
     cell = [*keys, "replicate"]
     ranked = metrics.ranked_metrics(drawn, cell, "prob", "y")
     y, p, w = F.col("y").cast("double"), F.col("prob"), F.lit(1)

@@ -82,7 +82,7 @@ def percent_number(text: Column) -> Column:
 
 
 def _capital(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1000)))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))
 
 
 def feature_labels(
@@ -98,7 +98,7 @@ def feature_labels(
     second = F.col("feature").startswith("S_")
     named = features.withColumns(
         {
-            "_bare": F.when(second, F.substring("feature", 3, 1000)).otherwise(F.col("feature")),
+            "_bare": F.when(second, F.substr("feature", F.lit(3))).otherwise(F.col("feature")),
             "_lab": F.when(second, second_name).otherwise(first_name),
         }
     )

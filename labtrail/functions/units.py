@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 def egfr_2021(creatinine: Column, sex: Column, age: Column, female_max_k: float = 0.9) -> Column:
     """CKD-EPI 2021 rate from creatinine in umol/l.
 
-    `female_max_k` is the constant in the female maximum term: 0.9 keeps the
-    reference's results, 0.7 is the published formula. Any other sex than "male"
+    `female_max_k` is the constant in the female maximum term: 0.9 keeps
+    earlier results comparable, 0.7 is the published formula. Any other sex than "male"
     uses the female branch.
     """
     mg = creatinine / 88.4

@@ -90,7 +90,7 @@ def random_settings(n: int, seed: int = 429) -> list[dict]:
     return out
 
 
-def _estimator(kind: str, settings: Mapping, metric: str, rounds: int, rate: float, valid: str | None):
+def _estimator(kind: str, settings: Mapping, metric: str, rounds: int, rate: float, held: str | None):
     common = {
         "featuresCol": "features",
         "labelCol": "label",
@@ -99,8 +99,8 @@ def _estimator(kind: str, settings: Mapping, metric: str, rounds: int, rate: flo
         "seed": 1239,
         **settings,
     }
-    if valid:
-        common["validationIndicatorCol"] = valid
+    if held:
+        common["validationIndicatorCol"] = held
     if kind == "cont":
         loss = "absolute" if metric in ("mae", "q50") else "squared"
         return GBTRegressor(lossType=loss, **common)
@@ -150,8 +150,8 @@ def best_rounds(
     placed = stage(fold_assign(train, folds))
     counts = []
     for k in range(folds):
-        part = placed.withColumn("_valid", F.col("fold") == k)
-        model = _estimator(objective(metric), settings, metric, most, rate, "_valid").fit(part)
+        part = placed.withColumn("_held", F.col("fold") == k)
+        model = _estimator(objective(metric), settings, metric, most, rate, "_held").fit(part)
         counts.append(model.getNumTrees)
     return max(1, int(sum(counts) / len(counts)))
 

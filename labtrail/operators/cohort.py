@@ -284,22 +284,22 @@ def _count_of(share: float, size: Column) -> Column:
 def stratified_split(
     frame: DataFrame,
     strata: Sequence[str],
-    valid: float = 0.1,
+    tuning: float = 0.1,
     fine_tune: float = 0.1,
     salt: str = "split",
 ) -> DataFrame:
-    """Add split_set: 0 train, 1 valid, 0.5 fine-tuning, with equal shares per stratum."""
+    """Add split_set: 0 train, 1 tuning, 0.5 fine-tuning, with equal shares per stratum."""
     stratum = F.concat_ws("|", *[F.coalesce(F.col(s).cast("string"), F.lit("none")) for s in strata])
     placed = random_position(frame.withColumn("_stratum", stratum), ["_stratum"], [PERSON], salt)
-    total = valid + fine_tune
+    total = tuning + fine_tune
     held = _count_of(total, F.col("n_group"))
     code = F.when(F.col("pos") >= held, 0.0)
-    code = code.when(F.col("pos") < _count_of(valid / total, held), 1.0).otherwise(0.5)
+    code = code.when(F.col("pos") < _count_of(tuning / total, held), 1.0).otherwise(0.5)
     return placed.withColumn("split_set", code).drop("pos", "n_group", "_stratum")
 
 
 def future_split(earlier: DataFrame, later: DataFrame, test_ids: DataFrame) -> DataFrame:
-    """The earlier period is training; the later one is validation and test."""
+    """The earlier period is training; the later one is tuning and test."""
     chosen = test_ids.select(PERSON).distinct()
     return (
         earlier.withColumn("split_set", F.lit(0.0))

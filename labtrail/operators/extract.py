@@ -48,13 +48,13 @@ def main_unit(df: DataFrame, unit: str) -> DataFrame:
 
 
 def split_rows(df: DataFrame, which: str, column: str = "split_set") -> DataFrame:
-    """Rows of one set: all, train, valid or test."""
-    codes = {"train": 0.0, "valid": 1.0, "test": 2.0}
+    """Rows of one set: all, train, tuning or test."""
+    codes = {"train": 0.0, "tuning": 1.0, "test": 2.0}
     return df if which == "all" else df.where(F.col(column) == codes[which])
 
 
 def final_training_rows(df: DataFrame, column: str = "split_set") -> DataFrame:
-    """Validation and test rows become the training rows of the final fit."""
+    """Tuning and test rows become the training rows of the final fit."""
     return df.where(F.col(column).isin(1.0, 2.0)).withColumn(column, F.lit(0.0))
 
 

@@ -297,7 +297,7 @@ def test_sample(t):
 )
 def stratified_split(t):
     return cohort.stratified_split(
-        label_table(t), ["y_mean_abnorm", "y_next_abnorm", "y_min_abnorm"], valid=0.2, fine_tune=0.1
+        label_table(t), ["y_mean_abnorm", "y_next_abnorm", "y_min_abnorm"], tuning=0.2, fine_tune=0.1
     )
 
 
@@ -496,10 +496,10 @@ def alcohol_latest(t):
     "edu_max",
     "person_id:i edu:i",
     """select person_id, case when max(cast(floor(value) as bigint) % 9) <= 4 then 0 else 1 end as edu from covariate
-       where kind = 'signup' and rid % 11 = 0 and year(dt) <= 2024 group by person_id""",
+       where kind = 'signup' and year(dt) <= 2024 group by person_id""",
 )
 def edu_max(t):
-    rows = t.covariate.where((F.col("kind") == "signup") & (F.col("rid") % 11 == 0))
+    rows = t.covariate.where(F.col("kind") == "signup")
     code = F.concat((F.floor("value") % 9).cast("string"), F.lit("01"))
     return covariates.edu_max(rows.withColumn("code", code), 2024)
 

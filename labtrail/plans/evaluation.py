@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from labtrail.evaluation import bootstrap, compare, metrics
 from labtrail.functions import recode
-from labtrail.functions.uniform import uniform
+from labtrail.functions.uniform import LOW_BITS, MIX_PRIME, MIX_ROUNDS, poisson_limits, uniform
 from labtrail.operators.tables import case_control_continuous
 from labtrail.plans.cleaning import CLEAN_CTES
 from labtrail.plans.cohorts import SUBGROUP_CTES, membership
@@ -28,6 +28,28 @@ def ranked_sql(source: str, groups: str, score: str, label: str = "y") -> str:
       group by {groups})"""
 
 
+def draw_sql(source: str, place: str) -> str:
+    """`source` with `draw`, the 62-bit number of a place and a replicate."""
+    low, high = (1 << LOW_BITS) - 1, LOW_BITS
+    out = f"(select *, cast({place} & {low} as bigint) % {MIX_PRIME} as ha, cast({place} & {low} as bigint) % {MIX_PRIME} as hb from {source})"
+    for k, both in enumerate(zip(MIX_ROUNDS["a"], MIX_ROUNDS["b"], strict=True)):
+        steps = [
+            f"(xor({h}, {h} >> 15) * (({f} + replicate * {r}) % {MIX_PRIME}) % {MIX_PRIME} + replicate * {s} + ({place} >> {high}) * {t} + {11 * (k + 1)}) % {MIX_PRIME} as {h}"
+            for h, (f, r, s, t) in zip(("ha", "hb"), both, strict=True)
+        ]
+        out = f"(select * replace ({', '.join(steps)}) from {out})"
+    return f"(select *, ha * {1 << 31} + hb as draw from {out})"
+
+
+def poisson_sql(source: str, groups: str, columns: str, replicates: int = REPLICATES) -> str:
+    """Replicate 0 and rows repeated by Poisson weights, plain SQL."""
+    row = "cast(cast('0x' || substr(md5(concat_ws('|', cast(person_id as varchar), 'weight')), 1, 15) as bigint) as bigint)"
+    rows = f"(select {groups}, {columns}, {row} as number, replicate from {source}, range(0, {replicates + 1}) r(replicate))"
+    weight = " + ".join(f"cast(draw >= {x} as integer)" for x in poisson_limits())
+    return f"""(select {groups}, replicate, {columns} from (
+        select *, unnest(range(case when replicate = 0 then 1 else {weight} end)) from {draw_sql(rows, 'number')}))"""
+
+
 def resample_sql(source: str, groups: str, columns: str, replicates: int = REPLICATES) -> str:
     """Replicate 0 and all drawn rows, plain SQL."""
     names = [g.strip() for g in groups.split(",")]
@@ -35,13 +57,10 @@ def resample_sql(source: str, groups: str, columns: str, replicates: int = REPLI
     cols = ", ".join(f"b.{c.strip()}" for c in columns.split(","))
     placed = f"""(select *, row_number() over (partition by {groups} order by {u_sql('person_id', salt='row')}, person_id) - 1 as pos,
         count(*) over (partition by {groups}) as size from {source})"""
-    mixed = f"""(select *, (pos % 2147483647 * 48271 + replicate * 69621 + 11) % 2147483647 as h
-        from {placed} p, range(1, {replicates + 1}) r(replicate))"""
-    for _ in range(3):
-        mixed = f"(select * replace ((xor(h, h >> 16) * 73244475) % 2147483647 as h) from {mixed})"
+    mixed = draw_sql(f"(select * from {placed} p, range(1, {replicates + 1}) r(replicate))", "pos")
     return f"""(select {groups}, 0 as replicate, {columns} from {source}
       union all select {', '.join(f'a.{g}' for g in names)}, a.replicate, {cols} from (
-        select {groups}, replicate, cast(floor(h / cast(2147483648 as double) * size) as bigint) as pos from {mixed}) a join {placed} b on {same} and a.pos = b.pos)"""
+        select {groups}, replicate, draw % size as pos from {mixed}) a join {placed} b on {same} and a.pos = b.pos)"""
 
 
 def interval_sql(source: str, groups: str, names: list[str]) -> str:
@@ -350,17 +369,19 @@ PAIRS = [("m1", "m2"), ("m1", "m3"), ("m2", "m3")]
 @query(
     "join_pairs",
     "person_id:i split_set:f y:i model_1:s model_2:s prob_1:f prob_2:f",
-    f"""with {_LONG}, part as (select * from long where not (model = 'm3' and person_id % 4 = 0))
+    f"""with {_LONG}, part as (select * replace (case when not (model = 'm3' and person_id % 4 = 0) then prob end as prob) from long)
         select a.person_id, a.split_set, a.y, a.model as model_1, b.model as model_2, a.prob as prob_1, b.prob as prob_2
-        from part a join part b on a.person_id = b.person_id and a.model < b.model""",
+        from part a join part b on a.person_id = b.person_id and a.model < b.model where a.prob is not null and b.prob is not null""",
 )
 def join_pairs(t):
-    some = long_predictions(t).where("not (model = 'm3' and person_id % 4 = 0)")
+    # a quarter of one model's predictions is missing
+    known = F.expr("not (model = 'm3' and person_id % 4 = 0)")
+    some = long_predictions(t).withColumn("prob", F.when(known, F.col("prob")))
     return compare.join_pairs(some, PAIRS)
 
 
-_SETS_SQL = """sets as (select person_id, 'Train' as set_name from pred where split_set = 0 union all select person_id, 'Valid' from pred where split_set = 1
-  union all select person_id, 'Test' from pred where split_set = 2 union all select person_id, 'TrainValid' from pred where split_set <> 2)"""
+_SETS_SQL = """sets as (select person_id, 'Train' as set_name from pred where split_set = 0 union all select person_id, 'Tuning' from pred where split_set = 1
+  union all select person_id, 'Test' from pred where split_set = 2 union all select person_id, 'TrainTuning' from pred where split_set <> 2)"""
 
 
 @query(
@@ -383,36 +404,35 @@ def cross_eval_grid(t):
     )
 
 
-def bands(t):
-    """Filters that need no history: everybody, and sex."""
-    names = F.array(F.lit("All"), F.col("sex"))
-    return t.person.select("person_id", F.explode(names).alias("filter"))
 
 
-_BANDS = "bands as (select person_id, 'All' as filter from person union all select person_id, sex from person)"
-_GRID = f"""{_BANDS}, {_SETS_SQL}, g0 as (select set_name, filter, person_id, y, p1, p2 from pred join sets using (person_id) join bands using (person_id) where set_name <> 'TrainValid'),
-  g as (select * from g0 where (set_name, filter) in (select (set_name, filter) from g0 group by set_name, filter having sum(y) >= 10))"""
+_GRID = f"""{CLEAN_CTES}, {SUBGROUP_CTES}, {_LONG}, {_SETS_SQL},
+  g0 as (select a.model as model_1, b.model as model_2, set_name, filter, a.person_id, a.y, a.prob as p1, b.prob as p2
+         from long a join long b on a.person_id = b.person_id and a.model < b.model
+         join sets on sets.person_id = a.person_id join members on members.person_id = a.person_id),
+  g as (select * from g0 where (model_1, model_2, set_name, filter) in (
+          select (model_1, model_2, set_name, filter) from g0 group by model_1, model_2, set_name, filter having sum(y) >= 10))"""
+_CELL = "model_1, model_2, set_name, filter"
 
 
 @query(
     "compare_models",
     "model_1:s model_2:s set_name:s filter:s " + _PAIRED + " se_diff:f z:f",
-    f"""with {_GRID}, b as {resample_sql('g', 'set_name, filter', 'p1, p2, y')}, {_paired_sql('b', 'set_name, filter')}
-        select 'm1' as model_1, 'm2' as model_2, *, abs(d.auc_1 - d.auc_2) / se_diff as z
-        from paired join (select * from {_delong_sql('g', 'set_name, filter')}) d using (set_name, filter)""",
+    f"""with {_GRID}, b as {poisson_sql('g', _CELL, 'p1, p2, y')}, {_paired_sql('b', _CELL)}
+        select *, abs(d.auc_1 - d.auc_2) / se_diff as z
+        from paired join (select * from {_delong_sql('g', _CELL)}) d using ({_CELL})""",
 )
 def compare_models(t):
-    sets = {k: v for k, v in compare.named_sets().items() if k != "TrainValid"}
-    return compare.compare_models(long_predictions(t), [("m1", "m2")], bands(t), sets, REPLICATES)
+    return compare.compare_models(long_predictions(t), PAIRS, membership(t), compare.named_sets(), REPLICATES)
 
 
 @query(
     "score_models",
     "model:s set_name:s filter:s n:i n_case:i auc:f auc_low:f auc_high:f avg_prec:f avg_prec_low:f avg_prec_high:f "
     "brier:f brier_low:f brier_high:f logloss:f logloss_low:f logloss_high:f",
-    f"""with {_LONG}, {_BANDS}, {_SETS_SQL},
-        g as (select model, set_name, filter, person_id, y, prob from long join sets using (person_id) join bands using (person_id) where set_name in ('Valid', 'Test')),
-        b as {resample_sql('g', 'model, set_name, filter', 'prob, y', 50)},
+    f"""with {CLEAN_CTES}, {SUBGROUP_CTES}, {_LONG}, {_SETS_SQL},
+        g as (select model, set_name, filter, person_id, y, prob from long join sets using (person_id) join members using (person_id)),
+        b as {poisson_sql('g', 'model, set_name, filter', 'prob, y')},
         r as (select * from {ranked_sql('b', 'model, set_name, filter, replicate', 'prob')} join
           (select model, set_name, filter, replicate, avg((prob - y) * (prob - y)) as brier,
              avg(case when y = 1 then -ln({_P.replace('p1', 'prob')}) else -ln(1 - {_P.replace('p1', 'prob')}) end) as logloss from b group by all)
@@ -421,8 +441,7 @@ def compare_models(t):
         select * from e join {interval_sql('r', 'model, set_name, filter', ['auc', 'avg_prec', 'brier', 'logloss'])} using (model, set_name, filter)""",
 )
 def score_models(t):
-    sets = {k: v for k, v in compare.named_sets().items() if k in ("Valid", "Test")}
-    return compare.score_models(long_predictions(t), bands(t), sets, 50)
+    return compare.score_models(long_predictions(t), membership(t), compare.named_sets(), REPLICATES)
 
 
 @query(

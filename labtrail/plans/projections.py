@@ -322,7 +322,7 @@ def prefix_second(t):
             r as (select person_id, split_set, case when l0 = -1 then 2 else l0 end as label from k)
        select 'all' as which, person_id, label from r
        union all select 'train', person_id, label from r where split_set = 0
-       union all select 'valid', person_id, label from r where split_set = 1
+       union all select 'tuning', person_id, label from r where split_set = 1
        union all select 'test', person_id, label from r where split_set = 2""",
 )
 def split_select(t):
@@ -330,7 +330,7 @@ def split_select(t):
     rows = t.pred.select("person_id", "split_set", recode.class_code(label).alias("label"))
     parts = [
         extract.split_rows(rows, which).withColumn("which", F.lit(which))
-        for which in ("all", "train", "valid", "test")
+        for which in ("all", "train", "tuning", "test")
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 

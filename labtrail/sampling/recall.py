@@ -21,8 +21,8 @@ from labtrail.session import spread
 PERSON = "person_id"
 # fixed values: recall sites and the biobank behind each
 SITES = {"TAMPERE BIOBANK": "Tampere", "AURIA BIOBANK": "Turku"}
-# below this a ranked filter is cut per group before the exchange
-GROUP_LIMIT = 1000
+# slices of a cell's random order that are ranked apart
+SLICES = 64
 
 
 def site_label(predictions: DataFrame, persons: DataFrame) -> DataFrame:
@@ -168,13 +168,13 @@ def stratified_draw(
     ids = [PERSON] if replicate is None else [PERSON, replicate]
     planned = binned.join(plan, ["group", "site"])
     most = _most(sizes)
-    if most < GROUP_LIMIT:
-        # every task keeps at most `most` rows per cell before the exchange
-        order = Window.partitionBy(*cell).orderBy(uniform(*ids, salt=salt), PERSON)
-        ranked = planned.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most)
-        return ranked.where(F.col("_k") <= F.floor("n")).drop("_k")
-    placed = random_position(planned, cell, ids, salt, "_k", "_size")
-    return placed.where(F.col("_k") < F.floor("n")).drop("_k", "_size")
+    # first per slice of the random order, so that a large cell is ranked by many tasks
+    work = planned.withColumn("_u", uniform(*ids, salt=salt)).withColumn("_slice", F.floor(F.col("_u") * SLICES))
+    inner = Window.partitionBy(*cell, "_slice").orderBy("_u", PERSON)
+    work = work.withColumn("_k", F.row_number().over(inner)).where(F.col("_k") <= most)
+    order = Window.partitionBy(*cell).orderBy("_u", PERSON)
+    ranked = work.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most)
+    return ranked.where(F.col("_k") <= F.floor("n")).drop("_k", "_u", "_slice")
 
 
 def draw_excluding(

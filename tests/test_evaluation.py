@@ -157,10 +157,10 @@ def test_draws_never_exceed_plan_or_capacity(spark):
 
 
 def test_integer_mix_is_uniform(spark):
-    from labtrail.functions.uniform import with_mixed_uniform
+    from labtrail.functions.uniform import DRAW_BITS, with_draw
 
     df = spark.range(200).select(F.col("id").alias("a")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(500))))
-    u = with_mixed_uniform(df, "u", "a", "b").toPandas()
+    u = with_draw(df, "a", "b").withColumn("u", F.col("_draw") / F.lit(float(1 << DRAW_BITS))).toPandas()
     assert u.u.between(0, 1, inclusive="left").all()
     counts = np.histogram(u.u, bins=50, range=(0, 1))[0]
     assert ((counts - 2000) ** 2 / 2000).sum() < 90  # 49 degrees of freedom
@@ -169,3 +169,18 @@ def test_integer_mix_is_uniform(spark):
     assert abs(np.corrcoef(grid[:, :-1].ravel(), grid[:, 1:].ravel())[0, 1]) < 0.02
     distinct = [len(set(np.floor(row * 200))) / 200 for row in grid]
     assert abs(np.mean(distinct) - (1 - math.exp(-1))) < 0.01
+
+
+def test_poisson_weights(spark):
+    """Replicates have about n rows each, rows about one copy; replicate 0 is the data."""
+    from labtrail.evaluation.bootstrap import resample
+
+    df = spark.range(400).select(F.col("id").alias("person_id"), (F.col("id") % 2).alias("g"), F.col("id").alias("v"))
+    drawn = resample(df, ["g"], ["person_id"], 60, ["v"], method="poisson").toPandas()
+    assert sorted(drawn[drawn.replicate == 0].v) == list(range(400))
+    sizes = drawn[drawn.replicate > 0].groupby("replicate").size()
+    assert abs(sizes.mean() - 400) < 10
+    assert 10 < sizes.std() < 30
+    counts = drawn[drawn.replicate > 0].groupby(["replicate", "v"]).size()
+    zero = 1 - len(counts) / (60 * 400)
+    assert abs(zero - math.exp(-1)) < 0.02

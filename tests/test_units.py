@@ -199,3 +199,47 @@ def test_objectives_and_search():
     with pytest.raises(ValueError):
         boosting.objective("q10")
     assert boosting.random_settings(3) == boosting.random_settings(3)
+
+
+def test_replicates_of_the_bootstrap_are_independent():
+    """Draws of two replicates over 10**7 places agree no more often than chance, at any shift."""
+    import numpy as np
+
+    from labtrail.functions.uniform import LOW_BITS, MIX_PRIME, MIX_ROUNDS
+
+    def draws(pos, replicate):
+        low, high, found = pos & ((1 << LOW_BITS) - 1), pos >> LOW_BITS, []
+        for rounds in MIX_ROUNDS.values():
+            h = low % MIX_PRIME
+            for k, (factor, by_factor, by_sum, by_high) in enumerate(rounds):
+                h = h ^ (h >> 15)
+                h = (h * ((factor + replicate * by_factor) % MIX_PRIME) % MIX_PRIME + replicate * by_sum + high * by_high + 11 * (k + 1)) % MIX_PRIME
+            found.append(h)
+        return found[0] * (1 << 31) + found[1]
+
+    n = 10**7
+    pos = np.arange(n, dtype=np.int64)
+    assert (draws(pos, 1) % n == draws(pos, 68) % n).sum() < 15
+    n, pos = 10**6, pos[: 10**6]
+    whole = {r: draws(pos, r) for r in (1, 2, 68)}
+    for r in (2, 68):
+        assert (whole[1] % n == whole[r] % n).sum() < 15
+        # no run of one replicate is a run of another, as it would be after a shift
+        assert len(np.intersect1d(whole[1], whole[r])) < 5
+    assert len(np.unique(whole[1])) > n - 5
+    share = np.unique(whole[1] % n).size / n
+    assert abs(share - (1 - np.exp(-1))) < 0.002
+    far = draws(pos[:1000] + (1 << 33), 1)
+    assert not np.intersect1d(far, whole[1]).size
+
+
+def test_names_of_any_length(spark):
+    from labtrail.functions.texts import feature_labels
+
+    long = "X" * 1500
+    found = feature_labels(
+        spark.createDataFrame([(f"S_{long}",), (long,)], "feature string"),
+        spark.createDataFrame([("c", "d")], "concept_id string, concept_name string"),
+        "egfr",
+    )
+    assert {r.label for r in found.collect()} == {long}
