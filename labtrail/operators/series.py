@@ -16,16 +16,19 @@ from pyspark.sql import functions as F
 PERSON = "person_id"
 
 
-def _by_date(keys: Sequence[str] = (PERSON,)):
-    return Window.partitionBy(*keys).orderBy("dt")
+def _by_date(*ties: str):
+    """A person's rows by date; `ties`, what the window reads, order the rows of one day."""
+    return Window.partitionBy(PERSON).orderBy("dt", *ties)
 
 
-def _until_now(keys: Sequence[str] = (PERSON,)):
-    return _by_date(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _until_now(*ties: str):
+    return _by_date(*ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _from_now(keys: Sequence[str] = (PERSON,)):
-    return _by_date(keys).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+def _back_to_now():
+    """The rows from the last one back to this one: a running frame, read in one pass."""
+    backwards = Window.partitionBy(PERSON).orderBy(F.desc("dt"))
+    return backwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def several_rows(df: DataFrame, least: int = 2) -> DataFrame:
@@ -37,7 +40,7 @@ def several_rows(df: DataFrame, least: int = 2) -> DataFrame:
 def previous_flag(df: DataFrame, flag: str = "abnorm") -> DataFrame:
     """Previous flag by date, -1 where there is none."""
     return df.withColumn(
-        "prev_abnorm", F.coalesce(F.lag(flag).over(_by_date()), F.lit(-1.0))
+        "prev_abnorm", F.coalesce(F.lag(flag).over(_by_date(flag)), F.lit(-1.0))
     )
 
 
@@ -49,11 +52,11 @@ def abnormal_runs(series: DataFrame, flag: str = "abnorm_custom") -> DataFrame:
     """
     rows = series.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(PERSON)))
     rows = rows.where((F.col("_n") > 1) & F.col(flag).isNotNull()).select(PERSON, "dt", flag)
-    previous = F.lag(flag).over(_by_date())
+    previous = F.lag(flag).over(_by_date(flag))
     starts = previous.isNull() | (F.col(flag) != previous)
     marked = rows.withColumn("_start", F.when(starts, F.col("dt")))
     return (
-        marked.withColumn("start_dt", F.last("_start", ignorenulls=True).over(_until_now()))
+        marked.withColumn("start_dt", F.last("_start", ignorenulls=True).over(_until_now(flag)))
         .withColumn("diff", F.datediff("dt", "start_dt"))
         .drop("_start")
     )
@@ -111,7 +114,7 @@ def without_any(df: DataFrame, bad: Column) -> DataFrame:
 
 def change_from_previous(df: DataFrame, value: str = "value") -> DataFrame:
     """Sum and mean of the changes between consecutive values."""
-    step = F.col(value) - F.lag(value).over(_by_date())
+    step = F.col(value) - F.lag(value).over(_by_date(value))
     return (
         df.where(F.col(value).isNotNull())
         .withColumn("_step", step)
@@ -144,7 +147,7 @@ def interpolate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for c in columns:
         known = F.when(F.col(c).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(c).alias("v")))
         before = F.last(known, ignorenulls=True).over(_until_now())
-        after = F.first(known, ignorenulls=True).over(_from_now())
+        after = F.last(known, ignorenulls=True).over(_back_to_now())
         out = out.withColumns({f"_{c}_a": before, f"_{c}_b": after})
         a, b = F.col(f"_{c}_a"), F.col(f"_{c}_b")
         share = F.try_divide(F.col("_i") - a["i"], b["i"] - a["i"])

@@ -243,3 +243,15 @@ def test_names_of_any_length(spark):
         "egfr",
     )
     assert {r.label for r in found.collect()} == {long}
+
+
+def test_several_flags_on_one_day(spark):
+    """The order within a day does not depend on how rows are dealt."""
+    from labtrail.operators import series
+
+    rows = [(1, f"2020-01-0{d}", float(f), float(v)) for d, f, v in ((1, 0, 5), (2, 1, 4), (2, 0, 9), (2, 1, 4), (3, 1, 2), (4, 1, 7))]
+    table = spark.createDataFrame(rows, "person_id long, dt string, abnorm_custom double, value double").withColumn("dt", F.to_date("dt"))
+    for operator in (series.abnormal_runs, series.change_from_previous, lambda x: series.previous_flag(x, "abnorm_custom")):
+        results = {tuple(sorted(map(repr, operator(table.repartition(n, "value")).collect()))) for n in (1, 3, 7)}
+        results.add(tuple(sorted(map(repr, operator(table.orderBy(F.desc("value"))).collect()))))
+        assert len(results) == 1
