@@ -16,7 +16,7 @@ RAW_NAMES = {
 VALUE_COLUMNS = ("MEASUREMENT_VALUE_MERGED", "MEASUREMENT_VALUE_HARMONIZED")
 
 
-def lab_extract(raw: DataFrame, id_column: str = "person_id", ordered: bool = True) -> DataFrame:
+def lab_extract(raw: DataFrame, id_column: str = "person_id", ordered: bool = False) -> DataFrame:
     """Canonical columns; the merged value is used where the release has one."""
     value = next(c for c in VALUE_COLUMNS if c in raw.columns)
     out = raw.withColumnsRenamed({**RAW_NAMES, id_column: "person_id", value: "value"}).select(

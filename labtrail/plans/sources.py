@@ -208,7 +208,12 @@ def latest_run(t):
     return readers.latest_run(t.spark.read.parquet(path))
 
 
-@query("sink_tables", "table_name:s n:i")
+@query(
+    "sink_tables",
+    "table_name:s n:i",
+    """select 'data' as table_name, count(*) as n from lab
+       union all select 'counts', count(*) from (select unit from lab group by unit)""",
+)
 def sink_tables(t):
     counts = t.lab.groupBy("unit").count()
     data_path, count_path = writers.write_tables(

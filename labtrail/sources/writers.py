@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labtrail.session import shared_folder
+
 
 def work_folder(spark: SparkSession) -> str:
     """Fresh folder below the cluster's shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared or tempfile.mkdtemp(prefix="labtrail-")
-    return f"{root.rstrip('/')}/labtrail-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/labtrail-{uuid.uuid4().hex}"
 
 
 def text_to_parquet(
