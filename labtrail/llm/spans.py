@@ -16,7 +16,6 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,24 +153,33 @@ def owners(rows: DataFrame) -> DataFrame:
     return rows.groupBy("_same").agg(F.min("_key").alias("owner"), F.count(F.lit(1)).alias("copies"))
 
 
-def repeated(rows: DataFrame, apart: bool) -> DataFrame:
-    """Places of the items whose minimiser occurs again, per distinct text: `_same`, `places`.
+def repeated(rows: DataFrame, apart: bool, hot: int = 1 << 62) -> DataFrame:
+    """Places of the items whose minimiser occurs again, per distinct text: `_same`, `places`, `hot`.
 
-    With `apart`, only minimisers that occur in two different texts count. Minimisers travel as
-    packed arrays and are sorted in their bucket.
+    With `apart`, only minimisers that occur in two different texts count. `hot` lists the places of
+    minimisers that occur more than `hot` times, `places` the others. Minimisers are counted as
+    packed arrays, combined before the shuffle; a frequent one is then a hot key of a join only, which
+    adaptive execution splits.
     """
     buckets = parts(rows.sparkSession, 16)
     one = rows.where(F.size("prints") > 0).select("_same", "prints", "places", F.xxhash64("_same").alias("_text"))
     one = one.dropDuplicates(["_same"])
 
+    def combined(found: np.ndarray) -> np.ndarray:
+        """Rows (minimiser, smallest text, largest text, number), one per minimiser."""
+        found = found[np.argsort(found[:, 0], kind="stable")]
+        first = np.flatnonzero(np.concatenate([[True], found[1:, 0] != found[:-1, 0]]))
+        columns = [found[first, 0], np.minimum.reduceat(found[:, 1], first), np.maximum.reduceat(found[:, 2], first)]
+        return np.stack([*columns, np.add.reduceat(found[:, 3], first)], axis=1)
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, places = batch.column(0), batch.column(1)
+            prints = batch.column(0)
             numbers = np.diff(prints.offsets.to_numpy())
-            found = np.empty((int(numbers.sum()), 3), np.int64)
-            found[:, 0] = prints.flatten().to_numpy()
-            found[:, 1] = np.repeat(batch.column(2).to_numpy(), numbers)
-            found[:, 2] = places.flatten().to_numpy()
+            text = np.repeat(batch.column(1).to_numpy(), numbers)
+            if not len(text):
+                continue
+            found = combined(np.stack([prints.flatten().to_numpy(), text, text, np.ones(len(text), np.int64)], axis=1))
             to = (found[:, 0].astype(np.uint64) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             edges = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -179,20 +187,18 @@ def repeated(rows: DataFrame, apart: bool) -> DataFrame:
             blobs = [found[order[edges[k] : edges[k + 1]]].tobytes() for k in full]
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "items"])
 
-    def meet(blobs: pd.DataFrame) -> pd.DataFrame:
-        found = np.frombuffer(b"".join(blobs["items"]), "<i8").reshape(-1, 3)
-        found = found[np.lexsort((found[:, 1], found[:, 0]))]
-        new = np.concatenate([[True], found[1:, 0] != found[:-1, 0]])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(found)) - 1
-        often = found[first, 1] != found[last, 1] if apart else last > first
-        kept = often[np.cumsum(new) - 1]
-        return pd.DataFrame({"_text": found[kept, 1], "place": found[kept, 2].astype(np.int32)})
-
-    items = one.select("prints", "places", "_text").mapInArrow(make, "bucket int, items binary")
-    found = items.groupBy("bucket").applyInPandas(meet, "_text long, place int")
-    found = found.groupBy("_text").agg(F.collect_list("place").alias("places"))
-    return found.join(one.select("_same", "_text"), "_text").select("_same", "places")
+    def meet(blobs: pa.Table) -> pa.Table:
+        found = combined(np.frombuffer(b"".join(blobs.column("items").to_pylist()), "<i8").reshape(-1, 4))
+        often = found[found[:, 1] != found[:, 2] if apart else found[:, 3] > 1]
+        return pa.Table.from_arrays([pa.array(often[:, 0]), pa.array(often[:, 3] > hot)], names=["print", "hot"])
+
+    counted = one.select("prints", "_text").mapInArrow(make, "bucket int, items binary").groupBy("bucket")
+    often = counted.applyInArrow(meet, "print long, hot boolean")
+    items = one.select("_text", F.explode(F.arrays_zip("prints", "places")).alias("x"))
+    items = items.select("_text", F.col("x.prints").alias("print"), F.col("x.places").alias("place")).join(often, "print")
+    # an array leaves null out
+    lists = [F.collect_list(F.when(F.col("hot") == is_hot, F.col("place"))).alias(name) for name, is_hot in (("places", False), ("hot", True))]
+    return items.groupBy("_text").agg(*lists).join(one.select("_same", "_text"), "_text").select("_same", "places", "hot")
 
 
 def fetched(docs: DataFrame, key: str, text: str, found: DataFrame, name: str) -> DataFrame:

@@ -5,6 +5,10 @@ smaller id is removed. Consecutive windows with one minimiser travel as one pack
 bucket of the minimiser; there the windows are sorted by fingerprint, equal neighbours are compared
 word by word, and each window gets the smallest id it occurs under.
 
+A minimiser in more than `HOT` items would bring them all into one bucket. Such items go as 128-bit
+fingerprints: equal items are settled whole, and of each kind one is taken apart into windows. The
+smallest id of a fingerprint is found by an aggregation that combines before the shuffle.
+
 Equal texts are represented by the one with the smallest id; the others lose every word if they have
 a window at all. Only items whose minimiser occurs in two different texts travel (see `spans`).
 
@@ -30,6 +34,8 @@ from labtrail.llm.common import parts
 WINDOW = 50
 #: Words of a minimiser; a window holds 35 of them.
 MINIMISER = 16
+#: Items of one minimiser that share a bucket at most.
+HOT = 500
 #: Buckets for each partition of a shuffle: a task holds one at a time.
 BUCKETS = 16
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -74,6 +80,14 @@ def scan(texts: list[str]) -> list[tuple]:
     return out
 
 
+def items_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, places: list[int]) -> list[tuple[int, int, int]]:
+    """First window, number of windows and minimiser of the items of a text that begin at `places`."""
+    prints = spans.Fingerprints(data).of(starts[: len(starts) - MINIMISER + 1], ends[MINIMISER - 1 :])
+    first, number, at = spans.items_of(prints, WINDOW - MINIMISER + 1, np.ones(len(starts) - WINDOW + 1, bool))
+    own = np.unique(np.searchsorted(first, np.array(places, np.int64), side="right") - 1)
+    return list(zip(first[own].tolist(), number[own].tolist(), prints[at[own]].tolist(), strict=True))
+
+
 def packed(rows: DataFrame, buckets: int) -> DataFrame:
     """Items that travel: rows (`bucket`, `blob`), each with many items as packed strings.
 
@@ -88,15 +102,9 @@ def packed(rows: DataFrame, buckets: int) -> DataFrame:
                 body = plain(text)
                 data = np.frombuffer(body, np.uint8)
                 starts, ends = bounds(data)
-                # the item of each place again: the same text gives the same items
-                prints = spans.Fingerprints(data).of(starts[: len(starts) - MINIMISER + 1], ends[MINIMISER - 1 :])
-                first, number, at = spans.items_of(prints, WINDOW - MINIMISER + 1, np.ones(len(starts) - WINDOW + 1, bool))
-                # a long text may have been cut between two runs of windows of one minimiser
-                own = np.unique(np.searchsorted(first, np.array(sorted(places)), side="right") - 1)
-                for k in own.tolist():
-                    f, m = int(first[k]), int(number[k])
+                for f, m, p in items_at(data, starts, ends, places):
                     words = body[starts[f] : ends[f + m + WINDOW - 2]]
-                    held[int(prints[at[k]]) % buckets].append((same, owner, f, words))
+                    held[p % buckets].append((same, owner, f, words))
             keys = sorted(held)
             blobs = [squeeze.compress(b"\n".join(b"%s %d %d %s" % (s.encode(), o, f, w) for s, o, f, w in held[k])) for k in keys]
             for at_ in range(0, len(keys), 64):
@@ -181,6 +189,41 @@ def removed_runs(items: DataFrame) -> DataFrame:
     return items.groupBy("bucket").applyInArrow(judge, "_same string, start int, end int")
 
 
+def hot_runs(texts: DataFrame) -> DataFrame:
+    """As `removed_runs`, for the items of frequent minimisers.
+
+    Equal items are settled whole: all but those of the smallest owner go. Only one of each kind is
+    then taken apart into windows.
+    """
+    schema = "ia long, ib long, owner long, _same string, start int, a array<long>, b array<long>"
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for same, owner, places, text in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                data = np.frombuffer(plain(text), np.uint8)
+                starts, ends = bounds(data)
+                one, two = spans.Fingerprints(data, 1), spans.Fingerprints(data, 2)
+                for f, m, _ in items_at(data, starts, ends, places):
+                    low, high = starts[f : f + m], ends[f + WINDOW - 1 : f + m + WINDOW - 1]
+                    whole = [int(x.of(low[:1], high[-1:]).astype(np.int64)[0]) for x in (one, two)]
+                    rows.append((*whole, owner, same, f, *[x.of(low, high).astype(np.int64) for x in (one, two)]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            names = ["ia", "ib", "owner", "_same", "start", "a", "b"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    hot = texts.where(F.size("hot") > 0).select("_same", "owner", "hot", "_text")
+    rows = spans.written(hot.mapInArrow(items, schema), "hot-items")
+    rows = rows.join(rows.groupBy("ia", "ib").agg(F.min("owner").alias("first")), ["ia", "ib"])
+    whole = rows.where("first < owner").select("_same", "start", (F.col("start") + F.size("a") + WINDOW - 1).alias("end"))
+    windows = rows.where("first = owner").select("_same", "owner", "start", F.posexplode(F.arrays_zip("a", "b")).alias("at", "x"))
+    windows = windows.select("_same", "owner", (F.col("start") + F.col("at")).alias("start"), "x.a", "x.b")
+    least = windows.groupBy("a", "b").agg(F.min("owner").alias("least"), F.max("owner").alias("most"))
+    found = windows.join(least.where("least < most").drop("most"), ["a", "b"]).where("least < owner")
+    return whole.unionByName(found.select("_same", "start", (F.col("start") + WINDOW).alias("end")))
+
+
 def kept_words(texts: DataFrame, runs: DataFrame) -> DataFrame:
     """`_same`, `n_removed`, `kept` (text that is left) of the distinct texts that lose words."""
     found = runs.groupBy("_same").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
@@ -205,12 +248,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: b
     """One row per row of `docs`: key, n_words, n_removed, kept_sha256, and the kept text if asked for."""
     rows = spans.listed(docs, key, text, scan, "words")
     groups = spans.owners(rows)
-    found = spans.repeated(rows, apart=True).join(groups.select("_same", "owner"), "_same")
+    found = spans.repeated(rows, apart=True, hot=HOT).join(groups.select("_same", "owner"), "_same")
     texts = spans.fetched(docs, key, text, found, "texts")
-    changed = kept_words(texts, removed_runs(packed(texts, BUCKETS * parts(docs.sparkSession, 16))))
+    runs = removed_runs(packed(texts, BUCKETS * parts(docs.sparkSession, 16)))
+    changed = kept_words(texts, runs.unionByName(hot_runs(texts)))
     columns = ["_same", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")]
-    changed = spans.written(changed.select(*columns, *(["kept"] if with_text else [])), "kept")
-    out = rows.select("_key", "_same", "size", "whole").join(groups, "_same").join(changed, "_same", "left")
+    changed = changed.select(*columns, *(["kept"] if with_text else []))
+    # written, so that the join's sides are both plain shuffles, of which a frequent text can be split
+    judged = spans.written(groups.join(changed, "_same", "left"), "kept")
+    out = rows.select("_key", "_same", "size", "whole").join(judged, "_same")
     copy = (F.col("_key") > F.col("owner")) & (F.col("size") >= WINDOW)
     result = out.select(
         F.nullif(F.col("_key"), F.lit(spans.NO_KEY)).alias(key),

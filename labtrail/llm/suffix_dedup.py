@@ -305,8 +305,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", with_bytes:
     texts = spans.fetched(docs, key, text, found, "texts")
     changed = kept_bytes(texts, removed_runs(runs_of(texts, BUCKETS * parts(docs.sparkSession, 16))))
     changed = changed.withColumn("kept_sha256", F.sha2("kept", 256))
-    changed = spans.written(changed if with_bytes else changed.drop("kept"), "kept")
-    out = rows.select("_key", "_same", "size", "whole").join(groups, "_same").join(changed, "_same", "left")
+    changed = changed if with_bytes else changed.drop("kept")
+    # written, so that the join's sides are both plain shuffles, of which a frequent text can be split
+    judged = spans.written(groups.join(changed, "_same", "left"), "kept")
+    out = rows.select("_key", "_same", "size", "whole").join(judged, "_same")
     copy = (F.col("copies") > 1) & (F.col("size") >= WINDOW)
     return out.select(
         F.nullif(F.col("_key"), F.lit(spans.NO_KEY)).alias(key),
