@@ -35,32 +35,50 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 
-def linked(members: DataFrame, measure: Callable[[DataFrame], DataFrame], limit: float, rounds: int) -> DataFrame:
+def linked(members: DataFrame, measure: Callable[[DataFrame], DataFrame], limit: float, possible: str, rounds: int = 2) -> DataFrame:
     """Links (`a`, `b`) that connect all members of a bucket that are connected within it.
 
-    `members` has rows (`bucket`, `node`); `measure` adds the `distance`, a metric, to pairs of nodes;
-    it may stand for all distances above twice the limit by one of them. Members are compared with
-    one leader of their bucket, not with each other. One within the limit stays only while it
-    could be within the limit of one that is not. What `rounds` rounds leave is compared in pairs.
+    `members` has rows (`bucket`, `node`, `order`) and further columns; `measure` adds the `distance` to
+    pairs of nodes. A bucket is not expanded into pairs: its members are compared with a leader, the
+    one with the smallest `order`, and those within the limit are connected through it. The others
+    are compared with a second leader out of the connected ones, and so on. Only what is left after the
+    last round is compared with all members of its bucket for which `possible` holds, an SQL condition
+    on the rows `x` and `y` that no link can fail. It may use `led`, a row's distance to the bucket's first
+    leader, and `lead`, that leader's row.
     """
     found = []
-    for number in range(rounds + 1):
-        leaders = members.groupBy("bucket").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n"))
-        active = members.join(leaders.where("n > 1"), "bucket").where("node <> b")
-        if number == rounds:
-            other = members.select("bucket", F.col("node").alias("b"))
-            pairs = members.withColumnRenamed("node", "a").join(other, "bucket").where("a < b").select("a", "b")
-            found.append(measure(pairs.distinct()).where(F.col("distance") <= limit).select("a", "b"))
-            break
-        measured = cut(measure(active.select(F.col("node").alias("a"), "b").distinct()))
+    rest = members
+    connected = members
+    used = places = None
+    rest_of = [c for c in members.columns if c not in ("bucket", "node", "order")]
+    for _ in range(rounds):
+        heads = connected.groupBy("bucket").agg(F.min(F.struct("order", "node", *rest_of)).alias("lead"))
+        heads = cut(heads.select("bucket", F.col("lead.node").alias("b"), "lead"))
+        placed = rest.join(heads, "bucket", "left")
+        pairs = placed.where("node <> b")
+        measured = cut(measure(pairs.select(F.col("node").alias("a"), "b").distinct()))
         found.append(measured.where(F.col("distance") <= limit).select("a", "b"))
-        judged = active.withColumnRenamed("node", "a").join(measured, ["a", "b"])
-        failed = judged.where(F.col("distance") > limit).groupBy("bucket").agg((F.min("distance") - limit).alias("reach"))
-        left = judged.join(failed, "bucket").where(F.col("distance") >= F.col("reach") - 1e-9)
-        members = cut(left.select("bucket", F.col("a").alias("node")))
-        if members.isEmpty():
+        judged = cut(pairs.withColumnRenamed("node", "a").join(measured, ["a", "b"]).withColumnRenamed("a", "node"))
+        near = judged.where(F.col("distance") <= limit).select(*members.columns)
+        # a bucket may have no leader any more
+        rest = judged.where(F.col("distance") > limit).select(*members.columns)
+        rest = rest.unionByName(placed.where("b is null").select(*members.columns))
+        if places is None:
+            own = heads.select("bucket", F.col("b").alias("node"), F.lit(0.0).alias("led"), "lead")
+            places = judged.select("bucket", "node", F.col("distance").alias("led"), "lead").unionByName(own)
+        heads = heads.select("bucket", F.col("b").alias("node"))
+        used = heads if used is None else used.unionByName(heads)
+        # the next leader is connected, and new
+        connected = near if connected is members else connected.unionByName(near)
+        connected = connected.join(used, ["bucket", "node"], "left_anti")
+        if rest.isEmpty():
             break
+    members = cut(members.join(places, ["bucket", "node"]))
+    x, y = members.join(rest.select("bucket", "node"), ["bucket", "node"], "left_semi").alias("x"), members.alias("y")
+    pairs = x.join(y, F.expr(f"x.bucket = y.bucket and x.node <> y.node and ({possible})"))
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    found.append(measure(pairs).where(F.col("distance") <= limit).select("a", "b"))
     links = found[0]
     for part in found[1:]:
         links = links.unionByName(part)
-    return links.distinct()
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

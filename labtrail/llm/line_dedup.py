@@ -31,7 +31,9 @@ from labtrail.llm.components import components, linked
 
 EDITS = 2
 MIN_CHARS = 30
-ROUNDS = 3
+ROUNDS = 2
+#: Classes that characters and pairs of neighbours are counted in; lines within `EDITS` edits have like counts.
+CLASSES, PAIRS = 12, 40
 
 
 def segments(length: np.ndarray, count: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -244,11 +246,11 @@ def _banded(pattern: list[str], text: list[str], most: int) -> np.ndarray:
 
 
 def measured(texts: DataFrame, edits: int):
-    """Function that adds the edit `distance`, exact up to twice the limit, to pairs of nodes."""
+    """Function that adds the edit `distance`, exact up to the limit, to pairs of nodes."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = edit_distances(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)), 2 * edits)
+            found = edit_distances(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)), edits)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.astype(float))], names=["a", "b", "distance"])
 
     def measure(pairs: DataFrame) -> DataFrame:
@@ -269,6 +271,24 @@ def line_texts(docs: DataFrame, key: str, text: str, places: DataFrame) -> DataF
     return spans.written(lines.dropDuplicates(["node"]), "line-texts")
 
 
+def profiles(texts: DataFrame) -> DataFrame:
+    """`node`, `length` and the number of characters, and of pairs of neighbours, of each class."""
+    names = [*[f"c{k}" for k in range(CLASSES)], *[f"p{k}" for k in range(PAIRS)]]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") for x in batch.column(1).to_pylist()]
+            pairs = [(x[:-1] * np.uint32(31) + x[1:]) % PAIRS for x in lines]
+            counts = [np.concatenate([np.bincount(x % CLASSES, minlength=CLASSES), np.bincount(p, minlength=PAIRS)]) for x, p in zip(lines, pairs, strict=True)]
+            grid = np.array(counts, np.int32).reshape(-1, len(names))
+            columns = [batch.column(0), pa.array([len(x) for x in lines], pa.int32())]
+            columns += [pa.array(np.ascontiguousarray(grid[:, k])) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "length", *names])
+
+    schema = "node long, length int, " + ", ".join(f"{x} int" for x in names)
+    return texts.select("node", "line").mapInArrow(count, schema)
+
+
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, rounds: int = ROUNDS) -> DataFrame:
     """`_key`, `_same`, `gone` (numbers of the lines to remove), for the texts that lose lines."""
     rows = occurrences(docs, key, text)
@@ -279,7 +299,11 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: in
     nodes = members.select(F.col("node").alias("hi")).distinct()
     places = firsts.join(nodes, "hi").groupBy("hi").agg(F.min("first").alias("first")).select("first.*", F.col("hi").alias("node"))
     texts = line_texts(docs, key, text, places)
-    links = linked(members, measured(texts, edits), float(edits), rounds)
+    members = spans.written(members.join(profiles(texts), "node").withColumn("order", F.col("node")), "profiled")
+    # an edit changes the length by one at most, the counts of characters by two, those of pairs by four
+    apart, pairs = (" + ".join(f"abs(x.{c}{k} - y.{c}{k})" for k in range(n)) for c, n in (("c", CLASSES), ("p", PAIRS)))
+    possible = f"abs(x.length - y.length) <= {edits} and {apart} <= {2 * edits} and {pairs} <= {4 * edits}"
+    links = linked(members, measured(texts, edits), float(edits), possible, rounds)
     labels = components(links).withColumnRenamed("node", "hi")
     # the place of the line that stays, for lines that occur again or have a near twin
     near = firsts.join(labels, "hi")

@@ -9,10 +9,10 @@ counted exactly. At most `COMMON` times the mean number of shingles of a text ca
 number of texts, so their table fits every task.
 
 Consistent samples are cut into bands. Texts that agree in a band are candidates and are verified by
-their weighted Jaccard similarity. No bucket is expanded into pairs: its members are compared with one
-leader. Members that fail, and those that could still resemble one of them (the distance is a
-metric), form the next round's bucket with a new leader, until nothing is left. What is left after
-`ROUNDS` rounds is compared in pairs. Classes are the connected components of the verified links.
+their weighted Jaccard similarity. No bucket is expanded into pairs: see `components.linked`. The
+weight of the shingles that no other candidate has bounds a text's similarity to any other, and that
+of a pair: a text or pair whose bound is too small needs no comparison, and the texts with
+the smallest share lead their buckets. Classes are the connected components of the verified links.
 
 Equal texts are collapsed to one before. Defined cases: a text without a word is in a class of its
 own row by row; a text of fewer than five words has one shingle of all of them; a null id counts as
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labtrail.llm import spans
-from labtrail.llm.common import cut, whole_row
+from labtrail.llm.common import cut, parts, whole_row
 from labtrail.llm.components import components, linked
 from labtrail.llm.substring_dedup import bounds
 
@@ -42,7 +42,7 @@ COMMON = 1000
 FLOOR = 0.8
 CELL_BITS = 22
 RANGES = 64
-ROUNDS = 5
+ROUNDS = 2
 #: Triples of random numbers that shingles are dealt to, as a power of two.
 TABLE_BITS = 16
 
@@ -211,6 +211,78 @@ def verified(pairs: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.nd
     return rows.mapInArrow(measure, "a long, b long, distance double")
 
 
+def novelty(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """`node`, `weight` of the text, and `own`, the weight of its shingles that no other text has.
+
+    Shingles travel as packed arrays; one that several texts of a task hold travels once, unnamed.
+    """
+    buckets = parts(texts.sparkSession, 16)
+    kind = np.dtype([("print", "<u8"), ("node", "<i8"), ("weight", "<f4")])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy()
+            for at, part in zip(range(0, batch.num_rows, 1000), _texts(batch, 1), strict=True):
+                sets = [(f, weights(f, c, common)) for f, c in shingles(part)]
+                some = nodes[at : at + len(part)]
+                sizes = [len(f) for f, _ in sets]
+                rows = np.empty(sum(sizes), kind)
+                rows["print"] = np.concatenate([f for f, _ in sets])
+                rows["weight"] = np.concatenate([w for _, w in sets])
+                rows["node"] = np.repeat(some, sizes)
+                rows = rows[np.argsort(rows["print"], kind="stable")]
+                first = np.concatenate([[True], rows["print"][1:] != rows["print"][:-1]])
+                again = np.append(~first[1:], False)
+                rows["node"][again] = -1
+                rows = rows[first]
+                to = (rows["print"] % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(to, kind="stable")
+                edges = np.searchsorted(to[order], np.arange(buckets + 1))
+                whole = np.zeros(len(part), kind)
+                whole["node"], whole["weight"] = some, [w.sum() for _, w in sets]
+                blobs = [rows[order[edges[k] : edges[k + 1]]].tobytes() for k in range(buckets)]
+                totals = [whole[some % buckets == k].tobytes() for k in range(buckets)]
+                columns = [pa.array(range(buckets), pa.int32()), pa.array(blobs, pa.binary()), pa.array(totals, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "rows", "totals"])
+
+    def meet(blobs: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(blobs.column("rows").to_pylist()), kind)
+        rows = rows[np.argsort(rows["print"], kind="stable")]
+        new = np.concatenate([[True], rows["print"][1:] != rows["print"][:-1], [True]]) if len(rows) else np.zeros(1, bool)
+        alone = rows[new[:-1] & new[1:] & (rows["node"] >= 0)]
+        node, index = np.unique(alone["node"], return_inverse=True)
+        own = np.bincount(index, weights=alone["weight"], minlength=len(node))
+        whole = np.frombuffer(b"".join(blobs.column("totals").to_pylist()), kind)
+        return pa.Table.from_arrays(
+            [
+                pa.array(np.concatenate([whole["node"], node])),
+                pa.array(np.concatenate([whole["weight"].astype(np.float64), np.zeros(len(node))])),
+                pa.array(np.concatenate([np.zeros(len(whole)), own])),
+            ],
+            names=["node", "weight", "own"],
+        )
+
+    packed = texts.select("node", "_text").mapInArrow(make, "bucket int, rows binary, totals binary")
+    met = packed.groupBy("bucket").applyInArrow(meet, "node long, weight double, own double")
+    return met.groupBy("node").agg(F.sum("weight").alias("weight"), F.sum("own").alias("own"))
+
+
+def _possible(similar: float) -> str:
+    """SQL condition on two members of a bucket that similar texts cannot fail.
+
+    They share nothing of what is their own. And of what the bucket's leader holds, a text shares with any
+    other at most what it shares with the leader; of the rest, at most what is not its own.
+    """
+    shares = {r: f"((1 - {r}.led) * ({r}.weight + {r}.lead.weight) / (2 - {r}.led))" for r in "xy"}
+    beyond = {r: f"greatest({r}.weight - {shares[r]} - {r}.own, 0)" for r in "xy"}
+    bounds_ = [
+        "least(x.weight - x.own, y.weight - y.own)",
+        f"(least({shares['x']}, {shares['y']}) + least({beyond['x']}, {beyond['y']}))",
+    ]
+    # sums of single-precision weights: a margin of a thousandth
+    return " and ".join(f"({b} + 0.001) * {1 + similar} >= {similar} * (x.weight + y.weight)" for b in bounds_)
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of `docs`: key, `class_id`, `n_links` of its text, `copies` of its text,
     `_same`, and `keeps`, true on the rows of the text that stands for the class."""
@@ -223,10 +295,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
     nodes = spans.written(_numbered(nodes), "nodes")
     keys = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = spans.written(keys.join(shared, "bucket"), "members")
+    members = spans.written(keys.join(shared, "bucket"), "shared")
     wanted = nodes.join(members.select("node").distinct(), "node").select("_same", "owner", "node")
     texts = spans.fetched(docs, key, text, wanted, "candidates")
-    links = linked(members, lambda pairs: verified(pairs, texts, common), 1.0 - similar + 1e-9, rounds)
+    weight = novelty(texts, common).withColumn("order", F.col("own") / F.col("weight"))
+    # a text that shares too little with all others has no link
+    weight = weight.where(F.col("weight") - F.col("own") >= similar * F.col("weight") - 1e-6)
+    members = spans.written(members.join(weight, "node"), "members")
+    possible = _possible(similar)
+    links = linked(members, lambda pairs: verified(pairs, texts, common), 1.0 - similar + 1e-9, possible, rounds)
     links = spans.written(links, "links")
     labels = components(links)
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
@@ -235,7 +312,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
     placed = nodes.select("_same", "node").join(labels, "node", "left").join(degrees, "node", "left")
     placed = placed.withColumn("label", F.coalesce("label", "node")).join(heads, "label")
     placed = placed.select("_same", "class_key", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("label") == F.col("node")).alias("head"))
-    out = rows.select("_key", "_same").join(groups, "_same").join(placed, "_same", "left")
+    # written, so that the join's sides are both plain shuffles, of which a frequent text can be split
+    judged = spans.written(groups.join(placed, "_same", "left"), "judged")
+    out = rows.select("_key", "_same").join(judged, "_same")
     alone = F.col("class_key").isNull()  # no word
     return out.select(
         F.nullif(F.col("_key"), F.lit(spans.NO_KEY)).alias(key),

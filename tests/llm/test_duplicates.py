@@ -103,10 +103,11 @@ def test_components(spark):
 def test_links_connect_a_bucket(spark):
     """Numbers on a line, linked when two apart or less: one bucket, leaders in rounds."""
     values = [0, 1, 3, 4, 10, 11, 20, 22, 24, 26, 50]
-    members = spark.createDataFrame([(1, v) for v in values], "bucket long, node long")
+    members = spark.createDataFrame([(1, v, v) for v in values], "bucket long, node long, order long")
     measure = lambda pairs: pairs.selectExpr("a", "b", "least(abs(a - b), 5.0D) as distance")
-    for rounds in (0, 2, 20):
-        found = {r.node: r.label for r in components(linked(members, measure, 2.0, rounds)).collect()}
+    for rounds in (1, 2, 4):
+        links = linked(members, measure, 2.0, "abs(x.node - y.node) <= 2", rounds)
+        found = {r.node: r.label for r in components(links).collect()}
         assert found == {0: 0, 1: 0, 3: 0, 4: 0, 10: 10, 11: 10, 20: 20, 22: 20, 24: 20, 26: 20}, rounds
 
 
