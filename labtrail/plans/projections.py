@@ -15,17 +15,16 @@ _ROW = "rid:i person_id:i event_age:i dt:s value:f unit:s flag:s"
     "lab_extract",
     "person_id:i sex:s event_age:i dt:s value:f unit:s flag:s",
     """select person_id, sex, event_age, dt, value * 2 as value, unit, flag from lab
-       union all select person_id, sex, event_age, dt, value, unit, flag from lab where rid % 2 = 0""",
+       union all select person_id, sex, event_age, dt, value, unit, flag from lab""",
 )
 def lab_extract(t):
     back = {canonical: raw for raw, canonical in extract.RAW_NAMES.items()}
     back["person_id"] = "SUBJECT"
     raw = t.lab.withColumn("MEASUREMENT_VALUE_HARMONIZED", F.col("value")).withColumnsRenamed(back)
     merged = raw.withColumn("MEASUREMENT_VALUE_MERGED", F.col("value") * 2).drop("value")
-    plain = raw.drop("value").where("rid % 2 = 0")
-    return extract.lab_extract(merged, "SUBJECT").unionByName(
-        extract.lab_extract(plain, "SUBJECT", ordered=False)
-    )
+    # two releases: one has a merged value, the other has none
+    plain = raw.drop("value")
+    return extract.lab_extract(merged, "SUBJECT").unionByName(extract.lab_extract(plain, "SUBJECT"))
 
 
 @query(

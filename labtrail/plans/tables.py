@@ -53,20 +53,28 @@ def join_right_labels(t):
     return old.join(t.pred, "person_id", "right")
 
 
-@query(
-    "join_full_coalesce",
-    "person_id:i L1:f L2:f L3:f",
-    """select coalesce(a.person_id, b.person_id, c.person_id) as person_id, a.v as "L1", b.v as "L2", c.v as "L3"
-       from (select person_id, avg(value) as v from lab where lab = '1-URGENT' group by person_id) a
-       full join (select person_id, avg(value) as v from lab where lab = '2-HIGH' group by person_id) b on a.person_id = b.person_id
-       full join (select person_id, avg(value) as v from lab where lab = '3-MEDIUM' group by person_id) c on c.person_id = coalesce(a.person_id, b.person_id)""",
-)
+FIVE_LABS = {"1-URGENT": "L1", "2-HIGH": "L2", "3-MEDIUM": "L3", "4-NOT SPECIFIED": "L4", "5-LOW": "L5"}
+
+
+def _full_join_sql() -> str:
+    """Full joins of the mean per person, one lab after the other."""
+    parts = [f"(select person_id, avg(value) as v from lab where lab = '{x}' group by person_id) {n}" for x, n in FIVE_LABS.items()]
+    names = list(FIVE_LABS.values())
+    text = parts[0]
+    for k in range(1, len(names)):
+        known = ", ".join(f"{n}.person_id" for n in names[:k])
+        text += f" full join {parts[k]} on {names[k]}.person_id = coalesce({known}, null)"
+    everyone = ", ".join(f"{n}.person_id" for n in names)
+    values = ", ".join(f'{n}.v as "{n}"' for n in names)
+    return f"select coalesce({everyone}) as person_id, {values} from {text}"
+
+
+@query("join_full_coalesce", "person_id:i L1:f L2:f L3:f L4:f L5:f", _full_join_sql())
 def join_full_coalesce(t):
     # one pivot replaces the fold of full joins
-    names = {"1-URGENT": "L1", "2-HIGH": "L2", "3-MEDIUM": "L3"}
-    short = t.lab.withColumn("short", recode.lookup(F.col("lab"), names))
+    short = t.lab.withColumn("short", recode.lookup(F.col("lab"), FIVE_LABS))
     kept = short.where(F.col("short").isNotNull())
-    return kept.groupBy("person_id").pivot("short", list(names.values())).agg(F.avg("value"))
+    return kept.groupBy("person_id").pivot("short", list(FIVE_LABS.values())).agg(F.avg("value"))
 
 
 @query("join_semi", "rid:i person_id:i", "select rid, person_id from lab where person_id in (select person_id from pred where split_set = 2)")
@@ -146,7 +154,7 @@ def code_years(t):
 
 def joined_years(t):
     counts = year_counts(t)
-    strict = counts.select("year", "n_case_90", "n_control_90").where("year < 2001")
+    strict = counts.select("year", "n_case_90", "n_control_90")
     loose = counts.drop("n_case_90", "n_control_90")
     return strict.join(loose, "year", "right").join(code_years(t), "year", "left")
 
@@ -157,7 +165,7 @@ counts as (select year, count(*) filter (k >= 1) as n_case, count(*) filter (k <
   from per group by year),
 icd as (select year(dt) as year, count(distinct person_id) as n_case_icd from code where year(dt) > 1995 and starts_with(code, 'A0') group by 1),
 years as (select a.* exclude (n_case_90, n_control_90), b.n_case_90, b.n_control_90, n_case_icd from counts a
-  left join (select year, n_case_90, n_control_90 from counts where year < 2001) b on b.year = a.year left join icd on icd.year = a.year),
+  left join (select year, n_case_90, n_control_90 from counts) b on b.year = a.year left join icd on icd.year = a.year),
 status as (
   select year, 'Diagnosis (30 days)' as type, n_case, n_control from years union all select year, 'Diagnosis (90 days)', n_case_90, n_control_90 from years
   union all select year, 'Diagnosis (ICD)', n_case_icd, null from years union all select year, 'Mean abnormal', n_mean_abnormal, n_mean_normal from years
