@@ -17,8 +17,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     neighbours are linked to its smallest neighbour, then its smaller ones. The links become stars;
     the number of rounds grows with the logarithm of the longest path. Links stay in tables.
     """
+    def mark(table: DataFrame) -> tuple:
+        """Number of links and two fingerprints of their set."""
+        return tuple(table.agg(F.count(F.lit(1)), *[F.bit_xor(F.xxhash64("u", "v", F.lit(k))) for k in (1, 2)]).first())
+
     edges = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
-    while True:
+    before = mark(edges)
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -26,11 +31,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # every link now goes from a node to a smaller one
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        fresh = cut(low.select("u", F.col("m").alias("v")).unionByName(small).distinct())
-        changed = fresh.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(fresh, ["u", "v"], "left_anti").limit(1).count()
-        edges = fresh
-        if not changed:
+        edges = cut(low.select("u", F.col("m").alias("v")).unionByName(small).distinct())
+        now = mark(edges)
+        if now == before:
             break
+        before = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
