@@ -31,7 +31,7 @@ from labtrail.llm.components import components, linked
 
 EDITS = 2
 MIN_CHARS = 30
-ROUNDS = 2
+ROUNDS = 1
 #: Classes that characters and pairs of neighbours are counted in; lines within `EDITS` edits have like counts.
 CLASSES, PAIRS = 12, 40
 
