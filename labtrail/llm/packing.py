@@ -8,7 +8,8 @@ pieces of their unfilled sequences into a common pool, every group adds its empt
 the pool is dealt anew and packed again, as long as that saves sequences.
 
 The ids come from the ranks of the same vocabulary file through `tiktoken`, several times faster than
-`tokenizers`; texts with characters beyond those on which both are known to agree go to `tokenizers`.
+`tokenizers`; texts with characters beyond those on which both are known to agree, and texts that hold the
+content of an added token (`<|endoftext|>` is one id there, not split), go to `tokenizers`.
 
 Defined cases: a null text is an empty one, a piece of the closing id alone; repeated rows are packed
 each on its own; null keys are kept; an empty table gives an empty result.
@@ -59,16 +60,15 @@ class Encoder:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        special = {x["content"] for x in spec.get("added_tokens", [])}
+        self.added = [x["content"] for x in spec.get("added_tokens", [])]
         letters = byte_letters()
         vocabulary = spec["model"]["vocab"]
-        ranks = {bytes(letters[c] for c in x): i for x, i in vocabulary.items() if x not in special}
+        ranks = {bytes(letters[c] for c in x): i for x, i in vocabulary.items() if x not in self.added}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
 
     def __call__(self, text: str) -> np.ndarray:
-        if OTHER.search(text):
+        if OTHER.search(text) or any(x in text for x in self.added):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text, disallowed_special=())
 

@@ -215,6 +215,26 @@ def test_tokenizers_agree():
     assert encode(other).tolist() == encode.exact.encode(other, add_special_tokens=False).ids
 
 
+def test_added_tokens(spark):
+    """The ids are those of the file as it is: an added token's content is one id, wherever it stands."""
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(queries.tokenizer_path())
+    encode = packing.encoder(queries.tokenizer_path())
+    literal = "<|endoftext|>"
+    texts = [f"a {literal} b", literal, f"{literal}{literal}x", f"日本{literal}", f"{prose(9, 900)} {literal}", "<|endoftext|", "a <|b|> c"]
+    for text in texts:
+        assert encode(text).tolist() == fresh.encode(text, add_special_tokens=False).ids, repr(text)
+    assert encode(texts[0]).tolist() == [64, 220, 50256, 275]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in packing.pieces(table, queries.tokenizer_path(), 256).collect())
+    want = []
+    for k, text in enumerate(texts):
+        ids = np.array([*fresh.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        want += [(k, at, n, zlib.crc32(ids[at : at + n].tobytes())) for at, n in packing.cuts(len(ids), 256)]
+    assert found == sorted(want)
+
+
 def check_packed(found, texts, capacity):
     encode = packing.encoder(queries.tokenizer_path())
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
