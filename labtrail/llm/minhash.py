@@ -284,8 +284,11 @@ def _possible(similar: float) -> str:
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
-    """One row per row of `docs`: key, `class_id`, `n_links` of its text, `copies` of its text,
-    `_same`, and `keeps`, true on the rows of the text that stands for the class."""
+    """One row per row of `docs`: key, `class_id`, `n_leader_links` of its text, `copies` of its text,
+    `_same`, and `keeps`, true on the rows of the text that stands for the class.
+
+    `n_leader_links` counts the links that `components.linked` keeps to connect the class, not all texts that
+    are as alike: members of a bucket that its leader connects are not compared with each other."""
     common = common_shingles(docs, text)
     rows = spans.written(signed(docs, key, text, common), "bands")
     groups = spans.owners(rows)
@@ -307,11 +310,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
     links = spans.written(links, "links")
     labels = components(links)
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-    degrees = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    degrees = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_leader_links"))
     heads = nodes.select(F.col("node").alias("label"), F.col("owner").alias("class_key"))
     placed = nodes.select("_same", "node").join(labels, "node", "left").join(degrees, "node", "left")
     placed = placed.withColumn("label", F.coalesce("label", "node")).join(heads, "label")
-    placed = placed.select("_same", "class_key", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("label") == F.col("node")).alias("head"))
+    placed = placed.select("_same", "class_key", F.coalesce("n_leader_links", F.lit(0)).alias("n_leader_links"), (F.col("label") == F.col("node")).alias("head"))
     # written, so that the join's sides are both plain shuffles, of which a frequent text can be split
     judged = spans.written(groups.join(placed, "_same", "left"), "judged")
     out = rows.select("_key", "_same").join(judged, "_same")
@@ -319,7 +322,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
     return out.select(
         F.nullif(F.col("_key"), F.lit(spans.NO_KEY)).alias(key),
         F.nullif(F.when(alone, F.col("_key")).otherwise(F.col("class_key")), F.lit(spans.NO_KEY)).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_leader_links", F.lit(0)).cast("long").alias("n_leader_links"),
         F.when(alone, F.lit(1)).otherwise(F.col("copies")).cast("long").alias("copies"),
         "_same",
         (alone | (F.col("head") & (F.col("_key") == F.col("owner")))).alias("keeps"),

@@ -164,7 +164,7 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash.classes(documents(spark, folder)).select("doc_id", "class_id", "n_links", "copies")
+    return minhash.classes(documents(spark, folder)).select("doc_id", "class_id", "n_leader_links", "copies")
 
 
 @query

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from labtrail.llm import line_dedup, minhash
+from labtrail.llm import line_dedup, minhash, queries
 from labtrail.llm.components import components, linked
 from tests.llm.common import FOLDER, docs, empty, prose, rows, words
 
@@ -70,6 +70,25 @@ def test_near_large_group(spark):
     check(spark, data)
 
 
+def test_leader_links(spark):
+    """Links are true ones and connect the classes; a hot group has links to leaders, not all of its links."""
+    base = prose(50, 120).split()
+    data = [(k, " ".join(base[:k] + [f"other{k}"] + base[k + 1 :])) for k in range(30)]
+    data += [(1000 + k, prose(k + 500, 100)) for k in range(20)]
+    sets = weighted_sets([t for _, t in data])
+    near = Counter()
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets):
+            shared = sum(min(v, y[s]) for s, v in x.items() if s in y)
+            near[data[a][0]] += a != b and shared / (sum(x.values()) + sum(y.values()) - shared) >= 0.8
+    found = minhash.classes(spark.createDataFrame(data, "doc_id long, text string"))
+    assert "n_links" not in found.columns
+    assert queries.QUERIES["op9_minhash_near_dedup"](spark, FOLDER).columns == ["doc_id", "class_id", "n_leader_links", "copies"]
+    links = {r.doc_id: r.n_leader_links for r in found.collect()}
+    assert all((links[i] > 0) == (near[i] > 0) and links[i] <= near[i] for i, _ in data)
+    assert sum(links.values()) < sum(near.values())
+
+
 def test_representatives(spark):
     kept = minhash.representatives(docs(spark))
     assert kept.columns == docs(spark).columns
