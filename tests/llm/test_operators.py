@@ -57,6 +57,24 @@ def test_neighbours_recall(spark, monkeypatch):
     assert len(found & wanted) >= 0.95 * len(wanted)
 
 
+@pytest.mark.parametrize("factor", [1e4, 1e100])
+def test_neighbours_with_long_vectors(spark, monkeypatch, factor):
+    """A few vectors that are much longer spoil neither the graph nor the search."""
+    monkeypatch.setattr(neighbours, "BLOCK_NODES", 300)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 24))
+    vectors = centres[rng.integers(0, 40, 2400)] + 0.4 * rng.normal(size=(2400, 24))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[[7, 300, 1111, 2001, 2222]] *= factor
+    vectors[2000] *= 30.0
+    data = [(k, v.tolist()) for k, v in enumerate(vectors)]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in neighbours.search(table, lambda i: i % 20 == 0).collect()}
+    wanted = {(q, i) for q, _, i, _ in nearest(data)}
+    print("recall", factor, len(found & wanted) / len(wanted))
+    assert len(found & wanted) >= 0.97 * len(wanted)
+
+
 # language
 
 
