@@ -228,6 +228,16 @@ def with_age(df: DataFrame, persons: DataFrame, date: Column) -> DataFrame:
     )
 
 
+def final_cohort(
+    series: DataFrame, reasons: DataFrame, persons: DataFrame, date: Column, min_age: float = 30, max_age: float = 70
+) -> DataFrame:
+    """Persons without a reason before `date` whose age then is within the bounds, with label 0; an
+    unknown age goes."""
+    aged = with_age(exclude(series, reasons, date).drop("event_age"), persons, date)
+    inside = aged.where(F.col("event_age").between(min_age, max_age))
+    return inside.select(PERSON, "sex", "event_age", F.lit(0).alias("y_mean_abnorm")).distinct()
+
+
 def age_restrict(
     df: DataFrame, persons: DataFrame, date: Column, low: float, high: float
 ) -> DataFrame:

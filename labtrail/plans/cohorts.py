@@ -123,10 +123,19 @@ _AGE_SQL = f"cast(floor(date_diff('day', birth_date, date '{START}') / cast(365.
 )
 def final_cohort(t):
     rows = stored(t)
-    kept = cohort.exclude(rows, kidney_reasons(t, rows), dates.day(START))
-    aged = cohort.with_age(kept.drop("event_age"), t.person, dates.day(START))
-    inside = aged.where(F.col("event_age").between(30, 60))
-    return inside.select("person_id", "sex", "event_age", F.lit(0).alias("y_mean_abnorm")).distinct()
+    return cohort.final_cohort(rows, kidney_reasons(t, rows), t.person, dates.day(START), 30, 60)
+
+
+@query(
+    "final_cohort_30_70",
+    "person_id:i sex:s event_age:i y_mean_abnorm:i",
+    f"""with {_KIDNEY_CTES}, k as ({_kept_sql('clean', START)})
+        select distinct k.person_id, k.sex, {_AGE_SQL} as event_age, 0 as y_mean_abnorm from k join person p on p.person_id = k.person_id
+        where {_AGE_SQL} between 30 and 70""",
+)
+def final_cohort_30_70(t):
+    rows = stored(t)
+    return cohort.final_cohort(rows, kidney_reasons(t, rows), t.person, dates.day(START))
 
 
 _CODE_REASONS = """select person_id, 'diagnosis' as reason, min(dt) as first_dt from code where regexp_matches(code, '^A0[1-5]') group by person_id

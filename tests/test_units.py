@@ -255,3 +255,15 @@ def test_several_flags_on_one_day(spark):
         results = {tuple(sorted(map(repr, operator(table.repartition(n, "value")).collect()))) for n in (1, 3, 7)}
         results.add(tuple(sorted(map(repr, operator(table.orderBy(F.desc("value"))).collect()))))
         assert len(results) == 1
+
+
+def test_final_cohort_ages(spark):
+    """Persons of 30 to 70 stay, both ends included; unknown ages and persons with an earlier reason go."""
+    births = {1: 1994, 2: 1993, 3: 1962, 4: 1953, 5: 1951, 6: None, 7: 1970}
+    date = F.lit(day("2023-12-31"))
+    persons = spark.createDataFrame([(k, y and day(f"{y}-01-01")) for k, y in births.items()], "person_id long, birth_date date")
+    rows = spark.createDataFrame([(k, "male", 50) for k in births for _ in range(2)], "person_id long, sex string, event_age int")
+    reasons = spark.createDataFrame([(7, "data", day("2020-01-01")), (3, "data", day("2024-01-01"))], "person_id long, reason string, first_dt date")
+    found = sorted((r.person_id, r.event_age) for r in cohort.final_cohort(rows, reasons, persons, date).collect())
+    assert found == [(2, 30), (3, 61), (4, 70)]
+    assert cohort.final_cohort(rows, reasons, persons, date, 30, 60).count() == 1
