@@ -132,6 +132,19 @@ def code_matrix(
     return spine.join(wide, "person_id", "full").fillna(0, subset=list(codes))
 
 
+def frequent_code_matrix(
+    events: DataFrame, history: DataFrame, persons: DataFrame, column: str, min_share: float, min_age: int = 18, max_age: int = 70
+) -> tuple[DataFrame, list[str]]:
+    """The code matrix of `history` over the codes that at least `min_share` of all persons have in `events`,
+    and these codes in order: a list of at most a schema's size."""
+    found = prevalence(events, persons, column, min_age, max_age).where(F.col("share") >= min_share)
+    codes = sorted(r[0] for r in found.where(F.col(column).isNotNull()).select(column).collect())
+    if not codes:
+        return persons.select("person_id").distinct(), codes
+    counts = code_counts(history.where(F.col(column).isin(codes)), column)
+    return code_matrix(counts, persons, column, codes), codes
+
+
 def person_code_totals(counts: DataFrame, persons: DataFrame) -> DataFrame:
     """Number of code entries per person; none is null."""
     total = counts.groupBy("person_id").agg(F.sum("n").alias("n_codes"))

@@ -6,6 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from labtrail.session import stage
 
 
 def person_row_count(df: DataFrame) -> DataFrame:
@@ -180,6 +183,20 @@ def top_rows(df: DataFrame, order: Sequence[Column], n: int = 10) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def ranked_rows(df: DataFrame, order: Sequence[Column], place: str = "place") -> DataFrame:
+    """Add each row's place, from 1, in the order of the whole table, which must be a total one.
+
+    Rows are sorted by ranges; only the ranges' sizes meet in one task.
+    """
+    by_range = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stage(by_range.withColumn("_id", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_id", 33))
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(starts), "_range").withColumn(place, F.col("_start") + inside + 1).drop("_id", "_range", "_start")
+
+
 def last_per_code(df: DataFrame, code: str, n: str, keep: str) -> DataFrame:
     """The entry with most rows per code; the later name if counts tie."""
     best = F.max(F.struct(n, keep))

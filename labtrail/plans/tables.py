@@ -240,6 +240,21 @@ def code_prevalence(t):
     return registry.prevalence(aged_codes(t), t.person, "three", 30, 60)
 
 
+@query(
+    "code_matrix_three",
+    "person_id:i three:s n:i",
+    f"""with {_AGED_CODES}, {_PREVALENCE.replace('30 and 60', '18 and 70')}, k as (select three from prev where share >= 0.01),
+        c as (select person_id, three, count(*) as n from {_CODES3} where dt < date '{BASE}' group by all)
+        select p.person_id, k.three, coalesce(n, 0) as n from person p cross join k left join c on c.person_id = p.person_id and c.three = k.three""",
+)
+def code_matrix_three(t):
+    """The matrix of all codes that a hundredth of the persons have, as rows: its columns depend on the data."""
+    codes = aged_codes(t)
+    wide, chosen = registry.frequent_code_matrix(codes, registry.history_window(codes, dates.day(BASE)), t.person, "three", 0.01)
+    entries = F.array(*[F.struct(F.lit(c).alias("three"), F.col(f"`{c}`").alias("n")) for c in chosen])
+    return wide.select("person_id", F.inline(entries)) if chosen else wide.select("person_id", F.lit("").alias("three"), F.lit(0).alias("n")).limit(0)
+
+
 @query(
     "code_min_pct",
     "part:s rid:i line:i three:s",
@@ -287,14 +302,21 @@ def value_counts(t):
     """select code, n, row_number() over (order by n desc, code) as place from (select substr(code, 1, 1) as code, count(*) as n from code group by 1)""",
 )
 def sorted_counts(t):
-    counts = (
-        t.code.groupBy(registry.code_prefix(F.col("code"), 1).alias("code"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "code")
-    )
-    # one row per code chapter: the sorted list fits one array
-    listed = counts.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "code", "n"))).alias("l"))
-    return listed.select(F.posexplode("l").alias("i", "r")).select("r.code", "r.n", (F.col("i") + 1).alias("place"))
+    return ranked_codes(t, 1)
+
+
+def ranked_codes(t, letters):
+    counts = t.code.groupBy(registry.code_prefix(F.col("code"), letters).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    return tables.ranked_rows(counts, [F.desc("n"), F.asc_nulls_last("code")])
+
+
+@query(
+    "sorted_counts_three",
+    "code:s n:i place:i",
+    """select code, n, row_number() over (order by n desc, code) as place from (select substr(code, 1, 3) as code, count(*) as n from code group by 1)""",
+)
+def sorted_counts_three(t):
+    return ranked_codes(t, 3)
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labtrail.functions import recode, texts, thresholds, units
 from labtrail.models import boosting
-from labtrail.operators import cleaning, cohort, history, schema, series
+from labtrail.operators import cleaning, cohort, history, registry, schema, series, tables
 from labtrail.sources import readers
 
 
@@ -267,3 +267,24 @@ def test_final_cohort_ages(spark):
     found = sorted((r.person_id, r.event_age) for r in cohort.final_cohort(rows, reasons, persons, date).collect())
     assert found == [(2, 30), (3, 61), (4, 70)]
     assert cohort.final_cohort(rows, reasons, persons, date, 30, 60).count() == 1
+
+
+def test_frequent_code_matrix(spark):
+    """Codes of one letter stay apart, letters beyond J count, and rare codes have no column."""
+    rows = [(k, "Z10", 40) for k in range(8)] + [(0, "Z10", 40), (1, "Z11", 40), (2, "Z11", 40), (3, "A01", 40), (4, "A01", 90)]
+    events = spark.createDataFrame(rows, "person_id long, three string, event_age int")
+    persons = spark.range(10).withColumnRenamed("id", "person_id")
+    wide, codes = registry.frequent_code_matrix(events, events, persons, "three", 0.2)
+    assert codes == ["Z10", "Z11"]
+    found = {r.person_id: (r.Z10, r.Z11) for r in wide.collect()}
+    assert found == {0: (2, 0), 1: (1, 1), 2: (1, 1), 8: (0, 0), 9: (0, 0)} | {k: (1, 0) for k in range(3, 8)}
+
+
+def test_ranked_rows(spark):
+    """Places over many ranges, with ties of the first column."""
+    rows = [(f"c{k}", k % 7) for k in range(3000)]
+    counts = spark.createDataFrame(rows, "code string, n long").repartition(5)
+    found = tables.ranked_rows(counts, [F.desc("n"), F.asc_nulls_last("code")])
+    ordered = [r.code for r in sorted(found.collect(), key=lambda r: r.place)]
+    assert ordered == [c for c, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    assert sorted(r.place for r in found.collect()) == list(range(1, 3001))
