@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labtrail.llm import langid, line_dedup, minhash, mixing, neighbours, packing, substring_dedup, suffix_dedup, warc
+from labtrail.llm import infill, langid, line_dedup, merkle, minhash, mixing, neighbours, packing, substring_dedup, suffix_dedup, warc
 from labtrail.llm import quality as quality_rules
 from labtrail.llm.common import documents, table
 
@@ -176,3 +176,121 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(table(spark, folder, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+#: Fields of a document's leaf, in order.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    found = merkle.verified(docs, LEAF, "source", "doc_id", seen=merkle.leaf(*LEAF[:-1], text))
+    proof = merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+def _field_sql(column: str) -> str:
+    return f"coalesce(strlen(cast({column} as varchar)) || ':' || cast({column} as varchar), '-')"
+
+
+#: Checksum of a number's decimal digits, as DuckDB has none: the polynomial's table and a fold over the bytes.
+_CRC32 = """
+crc_table as (
+  select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, i) order by i) as t
+  from range(256) r(i)),
+crc as (
+  select doc_id, xor(list_reduce(list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint)),
+         lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), cast(4294967295 as bigint)), 4294967295) as crc
+  from (select distinct doc_id from documents where doc_id is not null), crc_table)"""
+
+ORACLES["op11_merkle_manifest"] = f"""
+with recursive {_CRC32},
+d as (
+  select documents.*, case when crc % 2 = 0 then replace(text, chr(10), '') else text end as seen
+  from documents left join crc using (doc_id)),
+leaf as (
+  select doc_id, source, sha256({" || ".join(map(_field_sql, LEAF))}) as h,
+         sha256({" || ".join(map(_field_sql, (*LEAF[:-1], "seen")))}) as seen
+  from d),
+placed as (
+  select *, row_number() over (partition by source order by doc_id nulls first, h) - 1 as place,
+         count(*) over (partition by source) as n from leaf),
+tree as (
+  select source, 0 as level, place, h, n from placed
+  union all
+  select source, level + 1, place // 3, sha256(string_agg(h, '' order by place)), any_value((n + 2) // 3)
+  from tree where n > 1 group by source, level, place // 3),
+sub as (
+  select source, h as subroot, row_number() over (order by encode(source) nulls first) - 1 as place, count(*) over () as n
+  from tree where n = 1),
+top as (
+  select 0 as level, place, subroot as h, n from sub
+  union all
+  select level + 1, place // 3, sha256(string_agg(h, '' order by place)), any_value((n + 2) // 3)
+  from top where n > 1 group by level, place // 3),
+heights as (select source, max(level) as height from tree group by source),
+up as (
+  select doc_id, p.source, p.place as row_place, level, p.place // cast(pow(3, level) as bigint) as own, t.place as other, t.h
+  from placed p join tree t on t.source is not distinct from p.source and t.n > 1
+   and t.place // 3 = p.place // cast(pow(3, level + 1) as bigint) and t.place <> p.place // cast(pow(3, level) as bigint)
+  union all
+  select doc_id, p.source, p.place, height + level, s.place // cast(pow(3, level) as bigint), t.place, t.h
+  from placed p join heights g on g.source is not distinct from p.source
+  join sub s on s.source is not distinct from p.source
+  join top t on t.n > 1 and t.place // 3 = s.place // cast(pow(3, level + 1) as bigint)
+   and t.place <> s.place // cast(pow(3, level) as bigint)),
+step as (
+  select source, row_place, level, coalesce(string_agg(h, '' order by other) filter (other < own), '') as l,
+         coalesce(string_agg(h, '' order by other) filter (other > own), '') as r
+  from up group by source, row_place, level),
+whole as (
+  select p.source, p.place, height + (select max(level) from top) as levels
+  from placed p join heights g on g.source is not distinct from p.source),
+fold as (
+  select source, place, 0 as level, seen as h from placed
+  union all
+  select f.source, f.place, f.level + 1, sha256(coalesce(l, '') || f.h || coalesce(r, ''))
+  from fold f join whole w on w.source is not distinct from f.source and w.place = f.place and f.level < levels
+  left join step s on s.source is not distinct from f.source and s.row_place = f.place and s.level = f.level),
+proof as (select source, row_place, string_agg(l || r, '' order by level) as p from step group by source, row_place)
+select doc_id, p.h as leaf, subroot, (select h from top where n = 1) as root, sha256(coalesce(o.p, '')) as proof_sha256,
+       f.h as folded_root, f.h = (select h from top where n = 1) as verified
+from placed p
+join sub s on s.source is not distinct from p.source
+join whole w on w.source is not distinct from p.source and w.place = p.place
+join fold f on f.source is not distinct from p.source and f.place = p.place and f.level = w.levels
+left join proof o on o.source is not distinct from p.source and o.row_place = p.place
+"""
+
+
+@query
+def op13_infill(spark: SparkSession, folder: str) -> DataFrame:
+    made = infill.transformed(documents(spark, folder).select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+ORACLES["op13_infill"] = """
+with d as (
+  select doc_id, coalesce(text, '') as t, cast(length(coalesce(text, '')) as bigint) as n,
+         sha256('1:' || coalesce(cast(doc_id as varchar), 'null')) as h from documents),
+c as (
+  select *, cast('0x' || substr(h, 1, 8) as bigint) % (n + 1) as x, cast('0x' || substr(h, 9, 8) as bigint) % (n + 1) as y,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>')
+                or cast('0x' || substr(h, 17, 8) as bigint) % 100 >= 90 then 'plain'
+              when cast('0x' || substr(h, 25, 8) as bigint) % 100 < 20 then 'spm' else 'psm' end as form from d),
+p as (
+  select *, substr(t, 1, least(x, y)) as a, substr(t, least(x, y) + 1, abs(x - y)) as m, substr(t, greatest(x, y) + 1) as z from c)
+select doc_id, n, form, case when form <> 'plain' then least(x, y) end as prefix_chars,
+       case when form <> 'plain' then abs(x - y) end as middle_chars,
+       sha256(case form when 'psm' then '<P>' || a || '<S>' || z || '<M>' || m
+                        when 'spm' then '<S>' || z || '<P>' || a || '<M>' || m else t end) as output_sha256,
+       sha256(t) as restored_sha256
+from p
+"""
