@@ -2,10 +2,12 @@
 
 Replicate 0 is the data itself. With the method "exact", replicate r draws exactly n rows: slot j
 takes the row at place draw(j, r) modulo n of a fixed random order, a 62-bit number that is keyed by
-the replicate. Drawn slots meet their rows through one join on (group, place), which no group can
-skew. With "poisson" each row gets a weight from a Poisson distribution with mean 1, drawn from its
-id and the replicate, and is repeated in place: no order, no join, and sums combine before
-the first shuffle. The size of a replicate then varies around n.
+the replicate. With "poisson" each row gets a weight from a Poisson distribution with mean 1, drawn from its
+id and the replicate; the size of a replicate then varies around n.
+
+Ranked metrics and reclassification come from `replicates`: rows carry their weights as vectors and are shuffled once,
+whatever the number of replicates. Other metrics are sums per replicate, which combine before their shuffle.
+`resample` gives the drawn rows themselves.
 """
 
 from __future__ import annotations
@@ -16,14 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labtrail.evaluation import metrics
+from labtrail.evaluation.replicates import METHODS, exploded, replicate_metrics, weighed
 from labtrail.functions.uniform import poisson_limits, row_number_of, with_draw
 from labtrail.operators.ranking import random_position
 from labtrail.session import spread
 
 
-METHODS = ("exact", "poisson")
-
-
 def _weighted(df: DataFrame, groups: list[str], ids: Sequence[str], replicates: int, columns: Sequence[str]) -> DataFrame:
     """Rows repeated by their weights; replicate 0 has every row once."""
     rows = df.select(*groups, *columns, row_number_of(*ids, salt="weight").alias("_row"))
@@ -101,11 +101,15 @@ def bootstrap_ci(
     prediction: str,
     label: str,
     replicates: int = 500,
+    method: str = "exact",
 ) -> DataFrame:
-    rows = resample(df, groups, ids, replicates, [prediction, label])
-    return interval(
-        metrics.metric(rows, [*groups, "replicate"], name, prediction, label), groups, ["value"]
-    )
+    rows = weighed(df.select(*groups, *ids, prediction, label), groups, ids, replicates, method)
+    if name in metrics.RANKED:
+        found = replicate_metrics(rows, groups, {"": F.col(prediction)}, label, replicates)
+        found = found.withColumn("value", F.col(metrics.RANKED[name]))
+    else:
+        found = metrics.metric(exploded(rows, replicates), [*groups, "replicate"], name, prediction, label, "weight")
+    return interval(found, groups, ["value"])
 
 
 def paired_metrics(
@@ -143,6 +147,38 @@ def paired_metrics(
     )
 
 
+def paired_replicates(
+    rows: DataFrame, groups: Sequence[str], first: str, second: str, label: str, replicates: int
+) -> DataFrame:
+    """`paired_metrics` of every replicate, from rows of `weighed`."""
+    both = F.col(first).isNotNull() & F.col(second).isNotNull()
+    values = {
+        "move": F.when(both, F.signum(F.col(second) - F.col(first))).otherwise(0),
+        "both": both.cast("double"),
+    }
+    found = replicate_metrics(rows, groups, {"1": F.col(first), "2": F.col(second)}, label, replicates, values)
+
+    def of(which: int, column: str) -> Column:
+        return F.max(F.when(F.col("which") == str(which), F.col(column)))
+
+    up, down = (F.try_divide(of(1, f"move_{c}"), of(1, f"both_{c}")) for c in ("case", "control"))
+    return (
+        found.groupBy(*groups, "replicate")
+        .agg(
+            of(1, "n").alias("n"),
+            of(1, "n_case").alias("n_case"),
+            *[of(w, c).alias(f"{c}_{w}") for c in ("auc", "avg_prec") for w in (1, 2)],
+            (up - down).alias("nri"),
+        )
+        .withColumns(
+            {
+                "auc_diff": F.col("auc_2") - F.col("auc_1"),
+                "avg_prec_diff": F.col("avg_prec_2") - F.col("avg_prec_1"),
+            }
+        )
+    )
+
+
 def difference_p(values: Column, total: Column) -> Column:
     """Share of replicates at least as far from the estimate as from zero."""
     far = F.size(F.filter(values, lambda d: F.abs(total - d) >= F.abs(d)))
@@ -175,8 +211,8 @@ def bootstrap_diff(
     replicates: int = 500,
     method: str = "exact",
 ) -> DataFrame:
-    rows = resample(df, groups, ids, replicates, [first, second, label], method)
-    return paired_interval(paired_metrics(rows, [*groups, "replicate"], first, second, label), groups)
+    rows = weighed(df.select(*groups, *ids, first, second, label), groups, ids, replicates, method)
+    return paired_interval(paired_replicates(rows, groups, first, second, label, replicates), groups)
 
 
 def bootstrap_nri(
@@ -187,6 +223,11 @@ def bootstrap_nri(
     new: str,
     label: str,
     replicates: int = 500,
+    method: str = "exact",
 ) -> DataFrame:
-    rows = resample(df, groups, ids, replicates, [old, new, label])
-    return interval(metrics.nri(rows, [*groups, "replicate"], old, new, label), groups, ["nri"])
+    rows = weighed(df.select(*groups, *ids, old, new, label), groups, ids, replicates, method)
+    # sums need no order: all rows of a group share one score
+    move = {"move": F.coalesce(F.signum(F.col(new) - F.col(old)), F.lit(0.0))}
+    found = replicate_metrics(rows.where(F.col(label).isNotNull()), groups, {"": F.lit(0.0)}, label, replicates, move)
+    up, down = F.try_divide("move_case", "n_case"), F.try_divide("move_control", F.col("n") - F.col("n_case"))
+    return interval(found.withColumn("nri", up - down), groups, ["nri"])

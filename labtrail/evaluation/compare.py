@@ -160,15 +160,14 @@ def score_models(
     keys = ["model", "set_name", "filter"]
     coded = predictions.withColumn("y", recode.any_risk(F.col(goal)))
     rows = stage(evaluation_grid(coded, membership, sets, 0, keys[:1]))
-    drawn = bootstrap.resample(rows, keys, ["person_id"], replicates, ["prob", "y"], method)
-    cell = [*keys, "replicate"]
-    ranked = metrics.ranked_metrics(drawn, cell, "prob", "y")
-    y, p, w = F.col("y").cast("double"), F.col("prob"), F.lit(1)
-    plain = drawn.groupBy(*cell).agg(
-        metrics.brier(y, p, w).alias("brier"), metrics.log_loss(y, p, w).alias("logloss")
-    )
+    y, p = F.col("y").cast("double"), F.col("prob")
+    inside = F.greatest(F.least(p, F.lit(1 - metrics.EPSILON)), F.lit(metrics.EPSILON))
+    loss = {"brier": (p - y) * (p - y), "logloss": F.when(y == 1, -F.log(inside)).otherwise(-F.log(1 - inside))}
+    weighed = bootstrap.weighed(rows.select(*keys, "person_id", "prob", "y"), keys, ["person_id"], replicates, method)
+    found = bootstrap.replicate_metrics(weighed, keys, {"": p}, "y", replicates, loss)
+    found = found.withColumns({x: F.try_divide(F.col(f"{x}_case") + F.col(f"{x}_control"), F.col("n")) for x in loss})
     names = ["n", "n_case", "auc", "avg_prec", "brier", "logloss"]
-    out = bootstrap.interval(ranked.join(plain, cell), keys, names)
+    out = bootstrap.interval(found, keys, names)
     return out.drop("n_low", "n_high", "n_case_low", "n_case_high")
 
 
