@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labtrail.llm import infill, langid, line_dedup, merkle, minhash, mixing, neighbours, packing, substring_dedup, suffix_dedup, warc
+from labtrail.llm import infill, langid, line_dedup, merkle, minhash, mixing, neighbours, packing, substring_dedup, suffix_dedup, vector_dedup, warc
 from labtrail.llm import quality as quality_rules
 from labtrail.llm.common import documents, table
 
@@ -294,3 +294,8 @@ select doc_id, n, form, case when form <> 'plain' then least(x, y) end as prefix
        sha256(t) as restored_sha256
 from p
 """
+
+
+@query
+def op12_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.classes(table(spark, folder, "embeddings"))
