@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labtrail.functions import dates
-from labtrail.operators import cohort
 from labtrail.plans.evaluation import _P, interval_sql, ranked_sql
 from labtrail.plans.registry import BASE, query, u_sql
 from labtrail.sampling import recall
 
 BINS = recall.Bins(0.02, (0.12, 0.26, 0.4, 0.55, 0.8))
-TOTAL = 90
-DRAWS = 20
+TOTAL = 500
+DRAWS = 100
 SHARE = 0.25
 
 
@@ -25,11 +24,12 @@ def _sql_bins(source: str, score: str) -> str:
       from {source} s join (values {table}) b(grp, lower, cut) on b.grp = {group} where {score} <= {cuts[-1]}::double)"""
 
 
-SITED = f"""sited as (select d.person_id, y, split_set, p1, p2, case cohort when 'TAMPERE BIOBANK' then 'Tampere' when 'AURIA BIOBANK' then 'Turku' end as site,
+SITED = f"""sited as (select * from (select d.person_id, y, split_set, p1, p2, case cohort when 'TAMPERE BIOBANK' then 'Tampere' when 'AURIA BIOBANK' then 'Turku' end as site,
     floor(date_diff('day', birth_date, date '{BASE}') / cast(365.25 as double)) as event_age
-  from pred d join person p on p.person_id = d.person_id where split_set <> 0 and cohort in ('TAMPERE BIOBANK', 'AURIA BIOBANK')),
+  from pred d join person p on p.person_id = d.person_id where split_set <> 0 and cohort in ('TAMPERE BIOBANK', 'AURIA BIOBANK')) where event_age >= {recall.MIN_AGE}),
 past as {_sql_bins('sited', 'p1')}, future as {_sql_bins('sited', 'p2')},
-capacity as (select "group", case when count(*) = 2 then min(n) else 0 end as capacity from (select "group", site, count(*) as n from future group by all) group by "group"),
+capacity as (select cast(g as integer) as "group", case when count(n) = 2 then min(n) else 0 end as capacity
+  from range(1, {len(BINS.cuts) + 1}) r(g) left join (select "group", site, count(*) as n from future group by all) f on f."group" = g group by g),
 r0 as (select "group", capacity, round_even(capacity / cast(2 as double), 0) * 2 as room, {TOTAL} / cast(count(*) over () as double) as s0 from capacity),
 r1 as (select *, room < s0 as full1, least(room, s0) as s1 from r0),
 r2 as (select *, case when full1 then s1 else round_even(({TOTAL} - sum(case when full1 then s1 else 0 end) over ()) / 2 / cast(nullif(count(*) filter (not full1) over (), 0) as double), 0) * 2 end as t2 from r1),
@@ -39,20 +39,15 @@ plan as (select "group", capacity, least(room, t3) as n from r4)"""
 
 
 def sited(t, score="p1"):
-    rows = recall.site_label(t.pred.withColumn("prob", F.col(score)), t.person)
-    return cohort.with_age(rows, t.person, dates.day(BASE))
+    return recall.candidates(t.pred.withColumn("prob", F.col(score)), t.person, dates.day(BASE))
 
 
 def past(t):
     return recall.prob_bins(sited(t), BINS)
 
 
-def capacity(t):
-    return recall.capacities(recall.prob_bins(sited(t, "p2"), BINS), len(BINS.cuts))
-
-
-def sizes(t):
-    return dict(enumerate(recall.sample_plan(TOTAL, capacity(t)), start=1))
+def plan(t):
+    return recall.planned(recall.bin_capacity(recall.prob_bins(sited(t, "p2"), BINS)), BINS, TOTAL)
 
 
 @query("site_label", "person_id:i site:s event_age:i", f"with {SITED} select * from sited")
@@ -86,7 +81,7 @@ def lag_midpoint(t):
 @query(
     "bin_capacity",
     "kind:s group:i capacity:i",
-    f"""with {SITED} select 'site' as kind, "group", capacity from capacity
+    f"""with {SITED} select 'site' as kind, "group", capacity from capacity where "group" in (select "group" from future)
         union all select 'all', "group", count(*) from future group by "group" """,
 )
 def bin_capacity(t):
@@ -121,15 +116,12 @@ _FINE_CUTS = ", ".join(f"({k}, {c}::double)" for k, c in enumerate(FINE.cuts))
         select "group", lower, cut, round(lower + (cut - lower) / 2 + 1e-12, 3) as mid from low""",
 )
 def bin_merge(t):
-    fine = FINE
-    return recall.bin_merge(sited(t, "p2"), fine).table(t.spark)
+    return recall.merged_bins(sited(t, "p2"), FINE)
 
 
 @query("sample_plan", "group:i capacity:i n:f", f"with {SITED} select * from plan")
 def sample_plan(t):
-    room = capacity(t)
-    rows = [(g, room[g - 1], float(n)) for g, n in enumerate(recall.sample_plan(TOTAL, room), start=1)]
-    return t.spark.createDataFrame(rows, "group int, capacity int, n double")
+    return plan(t)
 
 
 @query(
@@ -138,9 +130,7 @@ def sample_plan(t):
     f"""with {SITED} select "group", site, n / 2 as n, capacity as max_n from plan, (values ('Tampere'), ('Turku')) v(site)""",
 )
 def plan_by_site(t):
-    room = capacity(t)
-    planned = dict(enumerate(recall.sample_plan(TOTAL, room), start=1))
-    return recall.plan_by_site(t.spark, planned, room)
+    return recall.by_site(plan(t))
 
 
 @query(
@@ -149,8 +139,7 @@ def plan_by_site(t):
     f"""with {SITED} select case when "group" <= 2 then 1 else 2 end as "group", sum(n) as n from plan group by 1""",
 )
 def plan_collapse(t):
-    coarse = recall.plan_collapse((BINS.cuts[1], BINS.cuts[-1]), BINS.cuts, sizes(t), BINS.lowest)
-    return t.spark.createDataFrame(list(coarse.items()), "group int, n double")
+    return recall.collapsed(plan(t), BINS, (BINS.cuts[1], BINS.cuts[-1]))
 
 
 _DRAW = f"""drawn as (select * from (select p.*, n, row_number() over (partition by p."group", site order by {u_sql('person_id', salt='draw')}, person_id) as k
@@ -159,7 +148,7 @@ _DRAW = f"""drawn as (select * from (select p.*, n, row_number() over (partition
 
 @query("stratified_draw", "person_id:i group:i site:s", f"with {SITED}, {_DRAW} select * from drawn")
 def stratified_draw(t):
-    return recall.stratified_draw(past(t), sizes(t))
+    return recall.stratified_draw(past(t), plan(t), most=TOTAL)
 
 
 @query(
@@ -168,8 +157,7 @@ def stratified_draw(t):
     f"""with {SITED} select person_id, p."group", site, n / 2 as n from past p join plan on plan."group" = p."group" """,
 )
 def join_multi_key(t):
-    plan = recall.plan_by_site(t.spark, sizes(t))
-    return past(t).join(F.broadcast(plan), ["group", "site"])
+    return past(t).join(F.broadcast(recall.by_site(plan(t))), ["group", "site"])
 
 
 @query(
@@ -182,9 +170,8 @@ def join_multi_key(t):
           from future p join plan on plan."group" = p."group" where prob > 0.05 and person_id not in (select person_id from a)) where k <= floor(n / 2)""",
 )
 def draw_excluding(t):
-    planned = sizes(t)
-    other = recall.prob_bins(sited(t, "p2"), BINS)
-    return recall.draw_excluding([(past(t), planned, 0.02), (other, planned, 0.05)])
+    planned, other = plan(t), recall.prob_bins(sited(t, "p2"), BINS)
+    return recall.draw_excluding([(past(t), planned, 0.02), (other, planned, 0.05)], most=TOTAL)
 
 
 @query(
@@ -194,7 +181,7 @@ def draw_excluding(t):
         where j <= floor(n * {SHARE})""",
 )
 def participation(t):
-    return recall.participation(recall.stratified_draw(past(t), sizes(t)), SHARE)
+    return recall.participation(recall.stratified_draw(past(t), plan(t), most=TOTAL), SHARE)
 
 
 _DRAWS = f"""many as (select p.*, n, replicate, row_number() over (partition by replicate, p."group", site order by {u_sql('person_id', 'replicate', salt='draw')}, person_id) as k
@@ -220,8 +207,7 @@ _MEAN_NAMES = ["auc", "avg_prec", "brier", "logloss"]
 )
 def draw_bootstrap(t):
     rows = past(t)
-    drawn, taken = recall.repeated_draws(rows, sizes(t), DRAWS, SHARE)
-    return recall.draw_metrics(rows, drawn, taken)
+    return recall.draw_metrics(rows, recall.repeated_draws(rows, plan(t), DRAWS, SHARE, TOTAL))
 
 
 @query(
@@ -236,10 +222,28 @@ def draw_bootstrap(t):
           greatest(hi - mean_rate, 0) as rate_above, mean_selected / (2 * capacity) as share_of_possible from a join plan on plan."group" = a."group" """,
 )
 def selection_stats(t):
-    room = capacity(t)
-    planned = dict(enumerate(recall.sample_plan(TOTAL, room), start=1))
-    drawn, taken = recall.repeated_draws(past(t), planned, DRAWS, SHARE)
-    return recall.selection_stats(drawn, taken, planned, room)
+    planned = plan(t)
+    return recall.selection_stats(recall.repeated_draws(past(t), planned, DRAWS, SHARE, TOTAL), planned)
+
+
+def _draw_box_sql(value: str) -> str:
+    def near(q):
+        return f"list_sort(list({value}))[cast(floor((count({value}) - 1) * {q} + 0.5) as bigint) + 1]"
+
+    return f"""select "group", mid, '{value}' as variable, avg(m) as median, avg(a) as q1, avg(b) as q3, avg(c) as whisker_low, avg(d) as whisker_high
+      from (select replicate, "group", mid, median({value}) as m, {near(0.25)} as a, {near(0.75)} as b, {near(0.025)} as c, {near(0.975)} as d
+            from taken group by all) group by all"""
+
+
+@query(
+    "draw_boxes",
+    "group:i mid:f variable:s median:f q1:f q3:f whisker_low:f whisker_high:f",
+    f"with {SITED}, {_DRAWS} {_draw_box_sql('p2')} union all {_draw_box_sql('event_age')}",
+)
+def draw_boxes(t):
+    """Boxes of value and age per draw; the second score stands for the mean value."""
+    drawn = recall.repeated_draws(past(t), plan(t), DRAWS, SHARE, TOTAL)
+    return recall.draw_boxes(drawn, ["p2", "event_age"])
 
 
 @query(
