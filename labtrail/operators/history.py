@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labtrail.functions import units
@@ -14,24 +14,29 @@ from labtrail.operators.ranking import quantiles
 from labtrail.operators.series import PERSON
 
 
-def _nearest(values: Column, share: float) -> Column:
-    place = F.floor((F.size(values) - 1) * F.lit(share) + 0.5).cast("int")
-    return F.get(values, place)
-
-
 def history_sumstats(
     series: DataFrame, labels: DataFrame, start: Column, method: str = "nearest"
 ) -> DataFrame:
     """The 21 statistics per labelled person and set, from values before `start`.
 
-    One aggregation: the sum of consecutive changes is the last value minus the
-    first, so no ordered window is needed. `series` holds at most a few rows per
-    person and day, which bounds the collected values of one person.
+    One aggregation behind one exchange: the sum of consecutive changes is the last value minus the
+    first, and nearest quartiles are the values at two ranks of the person's rows in the order of
+    the values. That sort spills; no person's values are held as an array.
     """
     rows = series.where((F.col("dt") < start) & F.col("value").isNotNull()).join(
         labels.select(PERSON, "split_set"), PERSON
     )
     v, n = F.col("value"), F.count("value")
+    points = {"QUANT_25": 0.25, "QUANT_75": 0.75}
+    if method == "nearest":
+        person = Window.partitionBy(PERSON, "split_set")
+        rows = rows.withColumns({"_rank": F.row_number().over(person.orderBy("value")), "_n": F.count(F.lit(1)).over(person)})
+        quartiles = {
+            name: F.max(F.when(F.col("_rank") - 1 == F.floor((F.col("_n") - 1) * F.lit(share) + 0.5), v))
+            for name, share in points.items()
+        }
+    else:
+        quartiles = {name: F.percentile(v, share) for name, share in points.items()}
     grouped = rows.groupBy(PERSON, "split_set").agg(
         F.avg(v).alias("MEAN"),
         F.stddev_samp(v).alias("SD"),
@@ -47,18 +52,9 @@ def history_sumstats(
         F.min(F.struct("value", "dt")).alias("_low"),
         F.min(F.struct((-v).alias("neg"), "dt")).alias("_high"),
         F.sum("abnorm_custom").cast("long").alias("ABNORM"),
-        (
-            F.sort_array(F.collect_list(v))
-            if method == "nearest"
-            else F.percentile(v, [0.25, 0.75])
-        ).alias("_q"),
+        *[q.alias(name) for name, q in quartiles.items()],
     )
     change = F.col("_last")["value"] - F.col("_first")["value"]
-    low, high = (
-        (_nearest(F.col("_q"), 0.25), _nearest(F.col("_q"), 0.75))
-        if method == "nearest"
-        else (F.col("_q")[0], F.col("_q")[1])
-    )
     return grouped.select(
         PERSON,
         "split_set",
@@ -74,8 +70,8 @@ def history_sumstats(
         change.alias("SUM_CHANGE"),
         F.try_divide(change, F.col("SEQ_LEN") - 1).alias("MEAN_CHANGE"),
         "SEQ_LEN",
-        low.alias("QUANT_25"),
-        high.alias("QUANT_75"),
+        "QUANT_25",
+        "QUANT_75",
         F.col("_first")["value"].alias("IDX_QUANT_0"),
         F.col("_last")["value"].alias("IDX_QUANT_100"),
         "ABNORM",

@@ -110,14 +110,14 @@ RESTATING["krea"] = RESTATING["egfr"]
 OWN_CONCEPT = {"hba1c": ["3004410"], "tsh": ["3009201"], "ldl": ["3001308"]}
 
 
+def restating(lab: str, strict: int = 1, single_concept: bool = False) -> list[str]:
+    """Concepts that restate a lab; `single_concept` is the release in which each lab has one concept only."""
+    drop = RESTATING[lab][int(bool(strict))]
+    return OWN_CONCEPT.get(lab, drop) if single_concept else drop
+
+
 def leakage_exclude(
     labs: DataFrame, lab: str, strict: int = 1, single_concept: bool = False, column: str = "lab"
 ) -> DataFrame:
-    """Long lab features without those that restate the predicted lab.
-
-    `single_concept` is the release in which each lab has one concept only.
-    """
-    drop = RESTATING[lab][int(bool(strict))]
-    if single_concept:
-        drop = OWN_CONCEPT.get(lab, drop)
-    return labs.where(~F.col(column).isin(drop))
+    """Long lab features without those that restate the predicted lab."""
+    return labs.where(~F.col(column).isin(restating(lab, strict, single_concept)))

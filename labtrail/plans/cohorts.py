@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from labtrail.functions import dates, recode, thresholds, units
 from labtrail.functions.uniform import uniform
-from labtrail.operators import cleaning, cohort, covariates, features, history, registry, series
+from labtrail.operators import cleaning, cohort, covariates, feature_store, features, history, registry, series
+from labtrail.operators.feature_store import Source
 from labtrail.plans.cleaning import CLEAN_CTES, RULES
 from labtrail.plans.registry import BASE, END, START, query, u_sql
 from labtrail.plans.scalars import SMOKE_NAMES, SMOKE_SQL
@@ -584,13 +585,24 @@ def code_matrix(t):
     return registry.code_matrix(chapter_counts(t), t.person, "chapter", CHAPTERS)
 
 
-def matrix(t):
+def feature_sources(t, codes, least=None, leaking=()):
+    """Covariates, history statistics, codes and other labs; `codes` are long counts by feature."""
     stats = history.days_since_last(sumstats(t), dates.day(START)).drop("split_set", "LAST_VAL_DATE")
-    codes = registry.code_matrix(chapter_counts(t), t.person, "chapter", CHAPTERS)
-    labs = history.lab_matrix(history.lab_features(short_labs(t)), _LAB_NAMES)
-    covs = t.person.select("person_id", "sex", "bmi", F.col("pc1"))
-    used = ["sex", "NO_HISTORY", "SEQ_LEN", "LAST_VAL_DIFF", *CHAPTERS]
-    return features.feature_matrix(t.pred, [covs, stats, codes, labs], used, needed=["K"])
+    labs = history.lab_features(short_labs(t))
+    lines = [F.struct(F.concat_ws("_", "lab", F.lit(s)).alias("feature"), F.col(s).alias("value")) for s in ("MEAN", "QUANT25", "QUANT75")]
+    covs = t.person.select("person_id", recode.sex_binary(F.col("sex"), True).alias("sex"), "bmi", "pc1")
+    return [
+        Source("covariate", covs),
+        Source("history", stats),
+        Source("code", codes.withColumnsRenamed({"chapter": "feature", "n": "value"}), absent=0.0, least=least),
+        Source("lab", labs.select("person_id", F.inline(F.array(*lines))), leaking=leaking),
+    ]
+
+
+def matrix(t, names=("sex", "bmi", "NO_HISTORY", "MEAN", "SD", "LAST_VAL_DIFF", *CHAPTERS, "L1_MEAN", "L5_QUANT75")):
+    """The named features of all persons as columns; codes are 0 for a person without them."""
+    rows = feature_store.store(t.pred, feature_sources(t, chapter_counts(t)), only=names)
+    return feature_store.columns(t.pred, rows, {x: 0.0 if x in CHAPTERS else None for x in names}, needed=["K"])
 
 
 @query(
@@ -605,7 +617,56 @@ def matrix(t):
       left join c on c.person_id = p.person_id left join w on w.person_id = p.person_id""",
 )
 def feature_matrix(t):
-    return matrix(t)
+    return matrix(t, ("sex", "bmi", "NO_HISTORY", "MEAN", "SD", "LAST_VAL_DIFF", "A", "J", "L1_MEAN", "L5_QUANT75"))
+
+
+#: The store's SQL: three-character codes with a sum of at least five, labs without the third, K07 added if nobody has it.
+LEAKING, RARE, ADDED = ("L3",), 5, ("K07", "B11")
+_STORED = ("NO_HISTORY", "MEAN", "SD", "SEQ_LEN", "LAST_VAL_DIFF")
+_FEATURE_SQL = f"""{CLEAN_CTES}, {STATS_CTE}, {LAB_LONG},
+  stats2 as (select *, date_diff('day', "LAST_VAL_DATE", date '{START}') as "LAST_VAL_DIFF" from stats),
+  fs as (
+    select person_id, 0 as o, 'covariate' as "group", unnest(['sex', 'bmi', 'pc1']) as feature, unnest([case when sex = 'male' then 1.0::double else 0 end, bmi, pc1]) as value from person
+    union all select person_id, 1, 'history', unnest([{', '.join(f"'{x}'" for x in _STORED)}]), unnest([{', '.join(f'cast("{x}" as double)' for x in _STORED)}]) from stats2
+    union all select person_id, 2, 'code', substr(code, 1, 3), cast(count(*) as double) from code where dt < date '{BASE}' group by person_id, substr(code, 1, 3)
+    union all select person_id, 3, 'lab', lab || '_' || s, v from (select person_id, lab, unnest(['MEAN', 'QUANT25', 'QUANT75']) as s, unnest([m, a, b]) as v from lf)),
+  rows as (select * from fs where value is not null and person_id in (select person_id from pred)),
+  kept as (select o, "group", feature, count(*) as n_person, sum(value) as total, bool_and(value in (0, 1)) as is_binary, case when "group" = 'code' then 0.0 end as absent
+    from rows group by all having not ("group" = 'code' and sum(value) < {RARE}) and not ("group" = 'lab' and split_part(feature, '_', 1) in ('L3'))),
+  catalog as (select *, row_number() over (order by o, feature) - 1 as place from (
+    select * from kept union all select 4, 'needed', f, 0, 0, true, 0 from (values ('K07'), ('B11')) v(f) where f not in (select feature from kept)))"""
+
+
+def three_character_store(t):
+    events = registry.history_window(t.code, dates.day(BASE))
+    codes = registry.code_counts(events.withColumn("chapter", registry.code_prefix(F.col("code"), 3)), "chapter")
+    sources = feature_sources(t, codes, RARE, LEAKING)
+    stored = [Source(s.group, s.rows.select("person_id", *_STORED)) if s.group == "history" else s for s in sources]
+    return feature_store.assembled(t.pred, stored, ADDED)
+
+
+@query(
+    "feature_catalog",
+    "place:i group:s feature:s n_person:i total:f is_binary:s absent:f",
+    f"with {_FEATURE_SQL} select * from catalog",
+)
+def feature_catalog(t):
+    """Which features stay, with their statistics and places."""
+    return three_character_store(t)[1]
+
+
+@query(
+    "feature_matrix_three",
+    "person_id:i y:i split_set:f place:i feature:s value:f",
+    f"""with {_FEATURE_SQL} select p.person_id, y, split_set, place, r.feature, value from pred p join rows r on r.person_id = p.person_id
+        join catalog c on c."group" = r."group" and c.feature = r.feature""",
+)
+def feature_matrix_three(t):
+    """The persons' vectors, entry by entry."""
+    _, features, found = three_character_store(t)
+    entries = F.explode(F.arrays_zip("places", "vals")).alias("e")
+    rows = found.select("person_id", "y", "split_set", entries).select("person_id", "y", "split_set", F.col("e.places").alias("place"), F.col("e.vals").alias("value"))
+    return rows.join(features.select("place", "feature"), "place")
 
 
 @query(
