@@ -85,13 +85,13 @@ def lowest(values: np.ndarray, width: int) -> np.ndarray:
     return (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
 
 
-def items_of(prints: np.ndarray, width: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Items of consecutive valid windows with one minimiser: first window, number, minimiser's place."""
+def items_of(prints: np.ndarray, width: int, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items of consecutive marked windows with one minimiser: first window, number, minimiser's place."""
     if len(prints) < width:
         none = np.zeros(0, np.int64)
         return none, none, none
     place = lowest(prints, width)
-    place[~valid] = -1
+    place[~marked] = -1
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     number = np.diff(np.append(first, len(place)))
     at = place[first]

@@ -68,8 +68,8 @@ def scan(texts: list[str]) -> list[tuple]:
         if len(starts) >= WINDOW:
             n = len(starts) - MINIMISER + 1
             prints = spans.Fingerprints(data).of(starts[:n], ends[MINIMISER - 1 :])
-            valid = text_of[: len(starts) - WINDOW + 1] == text_of[WINDOW - 1 :]
-            first, _, at = spans.items_of(prints, WINDOW - MINIMISER + 1, valid)
+            whole = text_of[: len(starts) - WINDOW + 1] == text_of[WINDOW - 1 :]
+            first, _, at = spans.items_of(prints, WINDOW - MINIMISER + 1, whole)
         else:
             prints, first, at = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         edges = np.searchsorted(first, np.append(first_word, len(starts)))

@@ -78,10 +78,10 @@ def scan(texts: list[str]) -> list[tuple]:
         sizes = np.array([len(bodies[k]) for k in inside])
         begins = np.cumsum(sizes) - sizes
         prints = spans.Fingerprints(data).of(slice(0, len(data) - ANCHOR + 1), slice(ANCHOR, None))
-        valid = np.ones(len(data) - WINDOW + 1, bool)
+        whole = np.ones(len(data) - WINDOW + 1, bool)
         for end in np.cumsum(sizes)[:-1]:
-            valid[max(0, end - WINDOW + 1) : end] = False
-        first, _, place = spans.items_of(prints, WINDOW - ANCHOR + 1, valid)
+            whole[max(0, end - WINDOW + 1) : end] = False
+        first, _, place = spans.items_of(prints, WINDOW - ANCHOR + 1, whole)
         edges = np.searchsorted(first, np.append(begins, len(data)))
         for k, text in enumerate(inside):
             part = slice(edges[k], edges[k + 1])
