@@ -28,19 +28,24 @@ def delong(df: DataFrame, groups: Sequence[str], first: str, second: str, label:
         .groupBy(*groups, label, first, second)
         .agg(F.count(F.lit(1)).alias("_k"))
     )
-    for i, score in ((1, first), (2, second)):
-        table = metrics.counted_scores(cells, groups, score, label, "_k")
-        above = F.col("cases_total") - F.col("cases_below") - F.col("cases") / 2
-        below = F.col("controls_below") + F.col("controls") / 2
-        places = table.select(
-            *groups,
-            score,
-            F.try_divide(below, F.col("controls_total")).alias(f"_case{i}"),
-            F.try_divide(above, F.col("cases_total")).alias(f"_control{i}"),
-        )
-        cells = cells.join(places, [*groups, score]).withColumn(
-            f"_v{i}", F.when(F.col(label) == 1, F.col(f"_case{i}")).otherwise(F.col(f"_control{i}"))
-        ).drop(f"_case{i}", f"_control{i}")
+    # both scores are ranked as one long table, and a cell's two components meet again by the cell
+    scores = F.array(*[F.struct(F.lit(i).alias("_which"), F.col(x).alias("_score")) for i, x in ((1, first), (2, second))])
+    long = cells.select("*", F.inline(scores))
+    table = metrics.counted_scores(long, [*groups, "_which"], "_score", label, "_k")
+    above = F.col("cases_total") - F.col("cases_below") - F.col("cases") / 2
+    below = F.col("controls_below") + F.col("controls") / 2
+    places = table.select(
+        *groups,
+        "_which",
+        "_score",
+        F.try_divide(below, F.col("controls_total")).alias("_case"),
+        F.try_divide(above, F.col("cases_total")).alias("_control"),
+    )
+    component = F.when(F.col(label) == 1, F.col("_case")).otherwise(F.col("_control"))
+    long = long.join(places, [*groups, "_which", "_score"]).withColumn("_v", component)
+    cells = long.groupBy(*groups, label, first, second).agg(
+        F.max("_k").alias("_k"), *[F.max(F.when(F.col("_which") == i, F.col("_v"))).alias(f"_v{i}") for i in (1, 2)]
+    )
     k = F.col("_k")
     a, b = F.col("_v1"), F.col("_v2")
     per_class = cells.groupBy(*groups, label).agg(

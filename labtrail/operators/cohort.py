@@ -50,8 +50,11 @@ def excluded_before(reasons: DataFrame, base: Column) -> DataFrame:
 
 
 def exclude(series: DataFrame, reasons: DataFrame, base: Column) -> DataFrame:
-    """Rows of persons without any reason before `base`; persons without events stay."""
-    return series.join(excluded_before(reasons, base), PERSON, "left_anti").distinct()
+    """Rows of persons without any reason before `base`; persons without events stay.
+
+    A cleaned series has no repeated rows, so the anti join is all it takes.
+    """
+    return series.join(excluded_before(reasons, base), PERSON, "left_anti")
 
 
 def kidney_reasons(

@@ -1,9 +1,10 @@
 """Exact ranks, quantiles and random orders without a single-task sort.
 
 A plain `rank() over (order by score)` sends a whole group to one task. Here
-every group is cut into cells that keep the order; cells are counted with a
-map-side combine, a window runs over the short table of cells, and a second
-window runs inside each cell. The results are the exact ranks.
+every group is cut into cells that keep the order, at quantiles that a mergeable sketch of its
+distinct scores estimates, so cells hold about equally many scores however narrow the band of the
+scores is. Cells are counted with a map-side combine, a window runs over the short table of cells, and a second
+window runs inside each cell. The sketch only places the cuts; the results are the exact ranks.
 """
 
 from __future__ import annotations
@@ -15,21 +16,23 @@ from pyspark.sql import functions as F
 
 from labtrail.functions.uniform import uniform
 
-MANTISSA_BITS = 10
+#: Cells of a group, and the share of its distinct scores by which a cut may be off.
+RANK_CELLS = 64
+SKETCH = 1000
 ORDER_CELLS = 4096
 
 
-def radix(x: Column, bits: int = MANTISSA_BITS) -> Column:
-    """Integer that never decreases with `x`: binary exponent and leading bits.
-
-    At most 2 * 2200 * 2**bits values exist; probabilities use about 30 * 2**bits.
-    """
-    size = F.abs(x)
-    exponent = F.floor(F.log2(size))
-    step = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * (1 << bits))
-    cell = (exponent + 1100) * (1 << bits) + step
-    signed = F.when(x > 0, cell).when(x < 0, -cell).cast("long")
-    return F.coalesce(signed, F.lit(0).cast("long"))
+def with_cell(scores: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+    """Add `_cell`, which never decreases with the score in a group; `keys` may be empty."""
+    shares = [k / RANK_CELLS for k in range(1, RANK_CELLS)]
+    sketch = F.percentile_approx(F.col(score).cast("double"), shares, SKETCH).alias("_cuts")
+    if keys:
+        # one row for each group
+        placed = scores.join(scores.groupBy(*keys).agg(sketch), list(keys))
+    else:
+        placed = scores.withColumn("_cuts", scores.agg(sketch).scalar())
+    value = F.col(score).cast("double")
+    return placed.withColumn("_cell", F.size(F.filter("_cuts", lambda c: c < value))).drop("_cuts")
 
 
 def _before(column: str, keys: Sequence[str], order: Sequence[str]) -> Column:
@@ -59,15 +62,12 @@ def score_table(
     # stating what is not null keeps both uses of `scores` alike, so that its
     # exchange is computed once and reused
     work = df.where(_known([*groups, score]))
+    scores = work.groupBy(*groups, score).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    scores = with_cell(scores, groups, score)
     keys = groups
     if not groups:
         keys = ["_all"]
-        work = work.withColumn("_all", F.lit(1))
-    scores = (
-        work.groupBy(*keys, score)
-        .agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-        .withColumn("_cell", radix(F.col(score)))
-    )
+        scores = scores.withColumn("_all", F.lit(1))
     whole = Window.partitionBy(*keys)
     cells = (
         scores.groupBy(*keys, "_cell")
