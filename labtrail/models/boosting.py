@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from labtrail.evaluation import metrics
 from labtrail.functions import recode, thresholds
+from labtrail.models.compiled import fit_quantile
 from labtrail.operators.ranking import quantiles, random_position
 from labtrail.session import stage
 
@@ -33,11 +34,12 @@ OBJECTIVES = {
     **dict.fromkeys(["tweedie", "mae", "mse", "rmse", "q50"], "cont"),
     **dict.fromkeys(["logloss", "auc", "f1", "F1", "aucpr"], "bin"),
     "mlogloss": "multi",
+    **dict.fromkeys(["q05", "q10", "q25", "q75", "q90", "q95"], "quantile"),
 }
 
 
 def objective(metric: str) -> str:
-    """cont, bin or multi; quantiles other than the median have no Spark objective."""
+    """cont, bin, multi, or quantile: a quantile other than the median, which has no Spark objective."""
     if metric not in OBJECTIVES:
         raise ValueError(f"unknown metric: {metric}")
     return OBJECTIVES[metric]
@@ -165,10 +167,17 @@ class Fitted:
 
 
 def fit_gbt(
-    train: DataFrame, metric: str, settings: Mapping | None = None, rounds: int = 50, rate: float = 0.1
+    train: DataFrame, metric: str, settings: Mapping | None = None, rounds: int = 50, rate: float = 0.1,
+    features: Sequence[str] = (),
 ) -> Fitted:
-    """Boosted trees; several classes are fitted one against the rest."""
+    """Boosted trees; several classes are fitted one against the rest.
+
+    A quantile is fitted by `compiled.fit_quantile`, which needs the names of the vector's `features`.
+    """
     kind, settings = objective(metric), dict(settings or {})
+    if kind == "quantile":
+        depth, least = settings.get("maxDepth", 3), settings.get("minInstancesPerNode", 5)
+        return Fitted(kind, {1: fit_quantile(train, features, int(metric[1:]) / 100, rounds, rate, depth, least)})
     if kind != "multi":
         return Fitted(kind, {1: _estimator(kind, settings, metric, rounds, rate, None).fit(train)})
     # the classes of a goal are a handful of label values
@@ -183,6 +192,8 @@ def fit_gbt(
 def predict(fitted: Fitted, df: DataFrame) -> DataFrame:
     """Add abnorm_probs (value for a continuous goal), or abnorm_probs_<class>."""
     drop = ["rawPrediction", "probability", "prediction"]
+    if fitted.kind == "quantile":
+        return df.withColumn("abnorm_probs", fitted.models[1].score())
     if fitted.kind == "cont":
         return fitted.models[1].transform(df).withColumnRenamed("prediction", "abnorm_probs")
     out = df
@@ -219,7 +230,7 @@ def predict_table(
     """
     rows = df if "split_set" in df.columns else df.withColumn("split_set", F.lit(3.0))
     scored = predict(fitted, rows)
-    if fitted.kind == "cont":
+    if fitted.kind in ("cont", "quantile"):
         return scored.withColumns(
             {
                 "true_value": F.col(goal),

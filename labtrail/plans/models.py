@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labtrail.evaluation import metrics
 from labtrail.functions import dates
-from labtrail.models import boosting
+from labtrail.models import boosting, compiled
+from labtrail.models.compiled import Ensemble, Node
 from labtrail.plans.registry import BASE, query, u_sql
 
 FEATURES = ["age", "male", "bmi", "mean", "last", "n_lab", "n_code"]
@@ -124,3 +126,80 @@ def importance_summary(t):
         F.when(high, 0.5).otherwise(-0.25).alias("contribution"),
     )
     return boosting.importance_summary(labs.unionByName(flags))
+
+
+# --------------------------------------------- ensembles as expressions
+
+
+def _fitted(t):
+    rows = _assembled(t)
+    fitted = boosting.fit_gbt(_train(rows), "logloss", {"maxDepth": 3}, rounds=5, rate=0.3)
+    return rows, fitted, compiled.exported(fitted.models[1], FEATURES)
+
+
+@query("compiled_scores", "person_id:i gap:f", "select person_id, 0 as gap from pred")
+def compiled_scores(t):
+    """The difference between the scores of a fitted model and of its expression, row by row: none."""
+    rows, fitted, ensemble = _fitted(t)
+    scored = boosting.predict(fitted, rows)
+    return scored.select("person_id", F.abs(F.col("abnorm_probs") - ensemble.score()).alias("gap"))
+
+
+@query(
+    "feature_contributions",
+    "person_id:i n:i gap:f",
+    f"select person_id, {len(FEATURES)} as n, 0 as gap from pred",
+)
+def feature_contributions(t):
+    """What a row's contributions and the mean leave of its raw score: nothing."""
+    rows, _, ensemble = _fitted(t)
+    parts = compiled.contributions(rows, ensemble, FEATURES, "person_id")
+    sums = parts.groupBy("row_id").agg(F.sum("contribution").alias("sum"), F.count(F.lit(1)).alias("n"))
+    raw = rows.select("person_id", F.expr(ensemble.raw_sql()).alias("raw"))
+    joined = raw.join(sums.withColumnRenamed("row_id", "person_id"), "person_id")
+    return joined.select("person_id", "n", F.abs(F.col("raw") - F.col("sum") - ensemble.mean).alias("gap"))
+
+
+#: A fixed ensemble, so that its scores have an independent SQL.
+FIXED = Ensemble(
+    [
+        (1.0, Node(0, 100, "mean", 101.5, Node(-0.75, 60), Node(0, 40, "n_code", 30.0, Node(0.25, 15), Node(0.625, 25)))),
+        (0.5, Node(0, 100, "bmi", 27.0, Node(0, 70, "mean", 88.25, Node(-0.375, 30), Node(0.125, 40)), Node(0.5, 30))),
+        (0.5, Node(0, 100, "n_lab", 6.0, Node(-0.125, 50), Node(0.25, 50))),
+    ],
+    logistic=True,
+)
+
+
+@query(
+    "predict_compiled",
+    "person_id:i split_set:f raw:f abnorm_probs:f",
+    f"""with l as (select person_id, avg(value) as mean, count(*) as n_lab from lab where dt < date '{BASE}' and value is not null group by person_id),
+          c as (select person_id, count(*) as n_code from code where dt < date '{BASE}' group by person_id),
+          f as (select d.person_id, split_set, bmi, mean, n_lab, n_code from pred d join person p on p.person_id = d.person_id
+                left join l on l.person_id = d.person_id left join c on c.person_id = d.person_id)
+        select person_id, split_set, {FIXED.raw_sql()} as raw, {FIXED.score_sql()} as abnorm_probs from f""",
+)
+def predict_compiled(t):
+    rows = training_rows(t)
+    return rows.select("person_id", "split_set", F.expr(FIXED.raw_sql()).alias("raw"), FIXED.score().alias("abnorm_probs"))
+
+
+@query(
+    "fit_quantile",
+    "metric:s below_median:s",
+    "select unnest(['q05', 'q95']) as metric, true as below_median",
+)
+def fit_quantile(t):
+    """Whether a quantile's model has a smaller pinball loss than the median's on the training rows."""
+    rows = training_rows(t).where(F.col("last").isNotNull())
+    names = ["age", "male", "mean", "n_lab"]
+    train = _train(boosting.assemble(rows, names, "last"))
+    middle = compiled.fit_quantile(train, names, 0.5, rounds=6, rate=0.3)
+    parts = []
+    for metric in ("q05", "q95"):
+        fitted = boosting.fit_gbt(train, metric, {"maxDepth": 3}, rounds=6, rate=0.3, features=names)
+        scored = boosting.predict(fitted, train).withColumn("_middle", middle.score())
+        loss = [metrics.METRICS[metric](F.col("last"), F.col(c), F.lit(1)) for c in ("abnorm_probs", "_middle")]
+        parts.append(scored.agg((loss[0] < loss[1]).alias("below_median")).withColumn("metric", F.lit(metric)))
+    return parts[0].unionByName(parts[1])
