@@ -3,12 +3,94 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labtrail.llm.common import cut
 
+#: Members, and characters of their texts, that a side of a tile has about at most.
+TILE, TILE_CHARS = 512, 1 << 22
+
+
+class Forest:
+    """Links that connect what all links given connect."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def add(self, a: int, b: int) -> None:
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.up[x] = y
+            self.links.append((a, b))
+
+
+def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A column of its component for each row and column of a matrix of links; rows without links are undefined."""
+    columns = np.arange(linked.shape[1])
+    while True:
+        row = np.where(linked, columns[None], linked.shape[1]).min(1, initial=linked.shape[1])
+        least = np.where(linked, row[:, None], linked.shape[1]).min(0, initial=linked.shape[1])
+        least = np.minimum(least, columns)
+        if (least == columns).all():
+            return row, columns
+        columns = least
+
+
+@dataclass(frozen=True)
+class Tiles:
+    """How members that no leader settles are compared inside tasks.
+
+    `texts` has (`node`, `text`). `compare` takes nodes and texts of two sides and gives links that connect
+    what the links between the sides connect.
+    """
+
+    texts: DataFrame
+    compare: Callable[[np.ndarray, list[str], np.ndarray, list[str]], list[tuple[int, int]]]
+
+    def links(self, rest: DataFrame, members: DataFrame) -> DataFrame:
+        """Links (`a`, `b`) of `rest` (`bucket`, `node`) with all `members` of their buckets.
+
+        A bucket is cut into tiles, some of its rest against some of its members. Only links that connect leave a task, so
+        the rows that are made grow with the bucket, not with its square.
+        """
+        sized = self.texts.select("node", F.length("text").cast("long").alias("chars"), "text")
+        left = rest.select("bucket", "node").distinct()
+        right = members.select("bucket", "node").join(left.select("bucket").distinct(), "bucket", "left_semi").distinct()
+        left, right = (x.join(sized, "node") for x in (left, right))
+
+        def pieces(rows: DataFrame, name: str) -> DataFrame:
+            number = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("chars") / TILE_CHARS))
+            return rows.groupBy("bucket").agg(number.cast("int").alias(name))
+
+        sizes = cut(pieces(left, "rows").join(pieces(right, "columns"), "bucket"))
+        left, right = (x.drop("chars").join(sizes, "bucket") for x in (left, right))
+        deal = lambda name, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(name)).cast("int")
+        every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+        left = left.select("bucket", deal("rows", 1).alias("i"), every("columns").alias("j"), F.lit(True).alias("left"), "node", "text")
+        right = right.select("bucket", every("rows").alias("i"), deal("columns", 2).alias("j"), F.lit(False).alias("left"), "node", "text")
+        compare = self.compare
+
+        def meet(group: pa.Table) -> pa.Table:
+            is_left = np.asarray(group["left"])
+            sides = [group.filter(pa.array(x)) for x in (is_left, ~is_left)]
+            found = compare(*[c for x in sides for c in (np.asarray(x["node"]), x["text"].to_pylist())])
+            return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+        return left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(meet, "a long, b long")
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (`node`, `label`) for every node of a link; the label is the smallest node of its component.
@@ -40,15 +122,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 
-def linked(members: DataFrame, measure: Callable[[DataFrame], DataFrame], limit: float, possible: str, rounds: int = 2) -> DataFrame:
+def linked(
+    members: DataFrame, measure: Callable[[DataFrame], DataFrame], limit: float, possible: str | Tiles, rounds: int = 2
+) -> DataFrame:
     """Links (`a`, `b`) that connect all members of a bucket that are connected within it.
 
     `members` has rows (`bucket`, `node`, `order`) and further columns; `measure` adds the `distance` to
     pairs of nodes. A bucket is not expanded into pairs: its members are compared with a leader, the
     one with the smallest `order`, and those within the limit are connected through it. The others
     are compared with a second leader out of the connected ones, and so on. Only what is left after the
-    last round is compared with all members of its bucket for which `possible` holds, an SQL condition
-    on the rows `x` and `y` that no link can fail. It may use `led`, a row's distance to the bucket's first
+    last round is compared with all members of its bucket: in tiles, or as rows for which `possible` holds, an SQL
+    condition on the rows `x` and `y` that no link can fail. It may use `led`, a row's distance to the bucket's first
     leader, and `lead`, that leader's row.
     """
     found = []
@@ -78,11 +162,14 @@ def linked(members: DataFrame, measure: Callable[[DataFrame], DataFrame], limit:
         connected = connected.join(used, ["bucket", "node"], "left_anti")
         if rest.isEmpty():
             break
-    members = cut(members.join(places, ["bucket", "node"]))
-    x, y = members.join(rest.select("bucket", "node"), ["bucket", "node"], "left_semi").alias("x"), members.alias("y")
-    pairs = x.join(y, F.expr(f"x.bucket = y.bucket and x.node <> y.node and ({possible})"))
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    found.append(measure(pairs).where(F.col("distance") <= limit).select("a", "b"))
+    if isinstance(possible, Tiles):
+        found.append(possible.links(rest, members))
+    else:
+        members = cut(members.join(places, ["bucket", "node"]))
+        x, y = members.join(rest.select("bucket", "node"), ["bucket", "node"], "left_semi").alias("x"), members.alias("y")
+        pairs = x.join(y, F.expr(f"x.bucket = y.bucket and x.node <> y.node and ({possible})"))
+        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        found.append(measure(pairs).where(F.col("distance") <= limit).select("a", "b"))
     links = found[0]
     for part in found[1:]:
         links = links.unionByName(part)

@@ -2,7 +2,7 @@
 
 A text is the weighted set of its shingles of five lower-case words. A shingle weighs its number of
 occurrences times its inverse document frequency, scaled between `FLOOR` and 1: shingles in one text of
-`COMMON` or fewer weigh 1, and a shingle that all texts hold weighs the floor, so a group of copies stays
+`COMMON` or fewer weigh 1 (in a table of fewer texts those in one text weigh what the scale says), and a shingle that all texts hold weighs the floor, so a group of copies stays
 alike however large it is. Document frequencies are counted over all documents, in two steps: counts
 of hashed cells show which cells can hold a common shingle, then the shingles of those cells are
 counted exactly. At most `COMMON` times the mean number of shingles of a text can be common, whatever the
@@ -10,9 +10,8 @@ number of texts, so their table fits every task.
 
 Consistent samples are cut into bands. Texts that agree in a band are candidates and are verified by
 their weighted Jaccard similarity. No bucket is expanded into pairs: see `components.linked`. The
-weight of the shingles that no other candidate has bounds a text's similarity to any other, and that
-of a pair: a text or pair whose bound is too small needs no comparison, and the texts with
-the smallest share lead their buckets. Classes are the connected components of the verified links.
+weight of the shingles that no other candidate has bounds a text's similarity to any other: a text whose bound is
+too small needs no comparison, and the texts with the smallest share lead their buckets. Classes are the connected components of the verified links.
 
 Equal texts are collapsed to one before. Defined cases: a text without a word is in a class of its
 own row by row; a text of fewer than five words has one shingle of all of them; a null id counts as
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from labtrail.llm import spans
 from labtrail.llm.common import cut, parts, whole_row
-from labtrail.llm.components import components, linked
+from labtrail.llm.components import Forest, Tiles, components, linked, spanning
 from labtrail.llm.substring_dedup import bounds
 
 WORDS = 5
@@ -75,10 +74,19 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[list[str]]:
         yield [x or "" for x in batch.column(column).slice(at, 1000).to_pylist()]
 
 
-def common_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints, sorted, and weights of the shingles in more than one of `COMMON` documents."""
+#: Fingerprints, sorted, and weights of common shingles, and the weight of every other shingle.
+Weights = tuple[np.ndarray, np.ndarray, float]
+
+
+def common_shingles(docs: DataFrame, text: str) -> Weights:
+    """Weights of the shingles in more than one of `COMMON` documents, and in two at least; all others weigh the same."""
     total = docs.count()
-    least = total / COMMON
+    least = max(1.0, total / COMMON)
+
+    def scaled(n: np.ndarray) -> np.ndarray:
+        idf = np.log(max(total, 1) / np.maximum(n, 1.0)) / np.log(COMMON)
+        return FLOOR + (1.0 - FLOOR) * np.clip(idf, 0.0, 1.0)
+
     texts = docs.select(text)
     width = (1 << CELL_BITS) // RANGES
 
@@ -100,7 +108,7 @@ def common_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]
 
     summed = texts.mapInArrow(cells, "range int, counts binary").groupBy("range").applyInPandas(heavy, "cell long")
     possible = np.zeros(1 << CELL_BITS, bool)
-    possible[summed.toPandas()["cell"].to_numpy(np.int64)] = True
+    possible[np.asarray(summed.toArrow()["cell"], np.int64)] = True
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,19 +119,19 @@ def common_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]
             yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(counts, pa.int64())], names=["print", "n"])
 
     counted = texts.mapInArrow(exact, "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
-    table = counted.where(F.col("n") > least).toPandas()
-    prints = table["print"].to_numpy(np.int64).astype(np.uint64)
+    table = counted.where(F.col("n") > least).toArrow()
+    prints = np.asarray(table["print"], np.int64).astype(np.uint64)
     order = np.argsort(prints)
-    idf = np.log(total / np.maximum(table["n"].to_numpy(np.float64), 1.0)) / np.log(COMMON)
-    return prints[order], (FLOOR + (1.0 - FLOOR) * np.clip(idf, 0.0, 1.0))[order]
+    return prints[order], scaled(np.asarray(table["n"], np.float64))[order], float(scaled(np.ones(1))[0])
 
 
-def weights(found: np.ndarray, counts: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def weights(found: np.ndarray, counts: np.ndarray, common: Weights) -> np.ndarray:
+    prints, scale, other = common
     out = counts.astype(np.float64)
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], found), len(common[0]) - 1)
-        out *= np.where(common[0][at] == found, common[1][at], 1.0)
-    return out
+    if len(prints):
+        at = np.minimum(np.searchsorted(prints, found), len(prints) - 1)
+        return out * np.where(prints[at] == found, scale[at], other)
+    return out * other
 
 
 @lru_cache(maxsize=1)
@@ -171,7 +179,7 @@ def signature(found: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def signed(docs: DataFrame, key: str, text: str, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def signed(docs: DataFrame, key: str, text: str, common: Weights) -> DataFrame:
     """`_key`, `_same`, `bands` of every row; no bands for a text without a word."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +201,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(shared / max(a[1].sum() + b[1].sum() - shared, 1e-30))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, common: Weights) -> DataFrame:
     """`a`, `b`, `distance` of pairs of nodes."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +219,7 @@ def verified(pairs: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.nd
     return rows.mapInArrow(measure, "a long, b long, distance double")
 
 
-def novelty(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def novelty(texts: DataFrame, common: Weights) -> DataFrame:
     """`node`, `weight` of the text, and `own`, the weight of its shingles that no other text has.
 
     Shingles travel as packed arrays; one that several texts of a task hold travels once, unnamed.
@@ -267,20 +275,51 @@ def novelty(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
     return met.groupBy("node").agg(F.sum("weight").alias("weight"), F.sum("own").alias("own"))
 
 
-def _possible(similar: float) -> str:
-    """SQL condition on two members of a bucket that similar texts cannot fail.
+def tile_links(similar: float, common: Weights):
+    """Comparison of all texts of two sides; see `components.Tiles`.
 
-    They share nothing of what is their own. And of what the bucket's leader holds, a text shares with any
-    other at most what it shares with the leader; of the rest, at most what is not its own.
+    The shared weight of two sets is an inner product: occurrence t of a shingle is a feature of its own, and a
+    feature that both texts have gives its weight. Only features that both sides have are columns.
     """
-    shares = {r: f"((1 - {r}.led) * ({r}.weight + {r}.lead.weight) / (2 - {r}.led))" for r in "xy"}
-    beyond = {r: f"greatest({r}.weight - {shares[r]} - {r}.own, 0)" for r in "xy"}
-    bounds_ = [
-        "least(x.weight - x.own, y.weight - y.own)",
-        f"(least({shares['x']}, {shares['y']}) + least({beyond['x']}, {beyond['y']}))",
-    ]
-    # sums of single-precision weights: a margin of a thousandth
-    return " and ".join(f"({b} + 0.001) * {1 + similar} >= {similar} * (x.weight + y.weight)" for b in bounds_)
+
+    def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, names and weights of the features, and the weight of each text."""
+        rows, names, sizes, whole = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0)], np.zeros(len(texts))
+        for k, (found, counts) in enumerate(shingles(texts)):
+            one = weights(found, np.ones(len(found)), common)
+            whole[k] = (one * counts).sum()
+            for t in range(int(counts.max(initial=0))):
+                part = counts > t
+                rows.append(np.full(int(part.sum()), k))
+                names.append(spans.mixed(found[part] + np.uint64(t) * np.uint64(spans.FACTOR)) if t else found[part])
+                sizes.append(one[part])
+        return np.concatenate(rows), np.concatenate(names), np.concatenate(sizes), whole
+
+    def compare(left: np.ndarray, x: list[str], right: np.ndarray, y: list[str]) -> list[tuple[int, int]]:
+        if not len(left) or not len(right):
+            return []
+        (rows, names, sizes, whole), (other_rows, other_names, _, other_whole) = features(x), features(y)
+        both = np.intersect1d(names, other_names)
+        shared = np.zeros((len(left), len(right)))
+        for at in range(0, len(both), 2048):
+            some = both[at : at + 2048]
+            a, b = np.zeros((len(left), len(some))), np.zeros((len(right), len(some)))
+            for grid, r, n, value in ((a, rows, names, sizes), (b, other_rows, other_names, None)):
+                place = np.minimum(np.searchsorted(some, n), len(some) - 1)
+                hit = some[place] == n
+                grid[r[hit], place[hit]] = 1.0 if value is None else value[hit]
+            shared += a @ b.T
+        alike = shared >= (similar - 1e-9) * (whole[:, None] + other_whole[None] - shared)
+        alike &= left[:, None] != right[None]
+        forest = Forest()
+        row, column = spanning(alike)
+        for k in np.flatnonzero(alike.any(1)):
+            forest.add(int(left[k]), int(right[row[k]]))
+        for k in np.flatnonzero(alike.any(0)):
+            forest.add(int(right[k]), int(right[column[k]]))
+        return forest.links
+
+    return compare
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
@@ -305,8 +344,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
     # a text that shares too little with all others has no link
     weight = weight.where(F.col("weight") - F.col("own") >= similar * F.col("weight") - 1e-6)
     members = spans.written(members.join(weight, "node"), "members")
-    possible = _possible(similar)
-    links = linked(members, lambda pairs: verified(pairs, texts, common), 1.0 - similar + 1e-9, possible, rounds)
+    tiles = Tiles(texts.select("node", F.col("_text").alias("text")), tile_links(similar, common))
+    links = linked(members, lambda pairs: verified(pairs, texts, common), 1.0 - similar + 1e-9, tiles, rounds)
     links = spans.written(links, "links")
     labels = components(links)
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labtrail.llm.common import cut
-from labtrail.llm.components import components
+from labtrail.llm.components import Forest, components, spanning
 
 COSINE = 0.95
 SAMPLE = 16_384
@@ -56,7 +56,7 @@ class Index:
 
 
 def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list column as doubles, filled up with zeros, and which of them are valid."""
+    """Rows of a list column as doubles, filled up with zeros, and which of them have a direction."""
     out = np.zeros((len(column), width))
     sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0), dtype=np.int64)
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -132,48 +132,15 @@ def distances(index: Index, queries: np.ndarray, centre: int, codes: np.ndarray,
     return out
 
 
-class Forest:
-    """Links that connect what all links given connect."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-        self.links: list[tuple[int, int]] = []
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def add(self, a: int, b: int) -> None:
-        x, y = self.root(a), self.root(b)
-        if x != y:
-            self.up[x] = y
-            self.links.append((a, b))
-
-
-def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A column of its component for each row and column of a matrix of links; rows without links are undefined."""
-    columns = np.arange(linked.shape[1])
-    while True:
-        row = np.where(linked, columns[None], linked.shape[1]).min(1, initial=linked.shape[1])
-        least = np.where(linked, row[:, None], linked.shape[1]).min(0, initial=linked.shape[1])
-        least = np.minimum(least, columns)
-        if (least == columns).all():
-            return row, columns
-        columns = least
-
-
 def _vectors(rows: DataFrame, key: str, vector: str, width: int) -> DataFrame:
-    """`id`, and the `code` of a valid vector: its doubles, or null."""
+    """`id`, and the `code` of a vector with a direction: its doubles; else null."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, valid = matrix(batch.column("v"), width)
+            found, usable = matrix(batch.column("v"), width)
             # a zero has one code
             found += 0.0
-            codes = [x.tobytes() if ok else None for x, ok in zip(found, valid, strict=True)]
+            codes = [x.tobytes() if ok else None for x, ok in zip(found, usable, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes, pa.binary())], ["id", "code"])
 
     plain = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
