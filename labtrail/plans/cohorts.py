@@ -12,7 +12,7 @@ from labtrail.plans.cleaning import CLEAN_CTES, RULES
 from labtrail.plans.registry import BASE, END, START, query, u_sql
 from labtrail.plans.scalars import SMOKE_NAMES, SMOKE_SQL
 from labtrail.plans.windows import MONTHS_SQL, runs_sql
-from labtrail.session import stage
+from labtrail.session import bucketed, stage
 
 
 def clean(t):
@@ -20,8 +20,8 @@ def clean(t):
 
 
 def stored(t):
-    """The cleaned series as later steps read it: written once."""
-    return stage(clean(t))
+    """The cleaned series as later steps read it: written once, in buckets of persons."""
+    return bucketed(clean(t), "person_id")
 
 
 def _lab(t, code, value, abnorm=None):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +65,20 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` as a table in the shared folder, dealt to buckets by `keys` and sorted by them in each.
+
+    Joins, windows and groups by these keys read the buckets as they are: no exchange, no sort. The exchange
+    that deals the rows out is the only one, whatever number of steps follows.
+    """
+    spark = df.sparkSession
+    name = f"labtrail_{uuid.uuid4().hex}"
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(number, *keys).write.bucketBy(number, *keys).sortBy(*keys)
+    dealt.option("path", f"{shared_folder(spark).rstrip('/')}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows over all shuffle partitions, before a step that multiplies them.
 
