@@ -1,13 +1,15 @@
 """Web archives (WARC 1.1) of individually compressed records with an embedded dictionary.
 
-A Zstandard dictionary is built from a bounded sample of the records that are archived. Every archive
+A Zstandard dictionary is always trained, on a bounded sample of the records that are archived. Every archive
 starts with a skippable frame that holds it, so an archive can be read without any other file; then
-comes a frame with a `warcinfo` record and one frame per page. Of pages with equal payloads the one
+comes a frame with a `warcinfo` record and one frame per page. An archive ends after `FRAMES` frames or about
+`ARCHIVE_BYTES`, so a task writes as many archives as its pages need and a reader holds a bounded one. Of pages with equal payloads the one
 with the largest id is written as a response, the others as revisits that refer to it.
 
 Archives are written by Spark's own text writer, one row per frame, so its commit protocol holds and
 any file system that Spark writes to will do. The writer ends each row with a separator; the separator
-used is an empty skippable frame, which readers of the format pass over.
+used is an empty skippable frame, which readers of the format pass over. The writer begins a new file after a
+number of rows; an archive that is full earlier is filled up with empty rows.
 
 Defined cases: a null payload is an empty one; a null address is left out; payloads of rows that
 repeat an id count each as a record, and every record of the response's id is a response; a null id
@@ -41,6 +43,10 @@ SAMPLE_RECORDS = 400
 SAMPLE_BYTES = 1 << 16
 DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
+#: Pieces that records are cut into for training; bytes that the trainer gets at least, and for a byte of the dictionary.
+PIECE, LEAST_BYTES, PER_BYTE = 1 << 10, 1 << 15, 8
+#: Frames of an archive, and bytes from which on it takes no further page.
+FRAMES, ARCHIVE_BYTES = 10_000, 1 << 28
 
 READ = T.StructType(
     [
@@ -97,37 +103,55 @@ def dictionary(pages: DataFrame, key: str, url: str, body: str, date: str) -> by
     taken = pages.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     rows = taken.select(key, url, F.substring(F.col(body), 1, SAMPLE_BYTES)).limit(SAMPLE_RECORDS).collect()
     records = [record(r[0], r[1], (r[2] or "").encode(), None, date) for r in rows]
-    if sum(map(len, records)) > 16 * DICTIONARY_BYTES and len(records) >= 50:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, records).as_bytes()
-    # too little to train on: the records themselves are the content that matches refer to
-    return b"".join(records)[-DICTIONARY_BYTES:]
+    return trained(records)
+
+
+def trained(records: list[bytes]) -> bytes:
+    """The dictionary of a sample: an eighth of its bytes at most, and `DICTIONARY_BYTES` at most.
+
+    The trainer looks for what several samples share and needs some; a sample of few bytes is repeated for it.
+    """
+    pieces = [r[k : k + PIECE] for r in records or [record(None, None, b"", None, "")] for k in range(0, len(r), PIECE)]
+    whole = sum(map(len, pieces))
+    pieces *= max(1, -(-LEAST_BYTES // whole))
+    size = min(DICTIONARY_BYTES, sum(map(len, pieces)) // PER_BYTE)
+    return zstandard.train_dictionary(size, pieces).as_bytes()
 
 
 def write_archives(
     pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", body: str = "html", date: str = "2000-01-01T00:00:00Z"
 ) -> None:
-    """Write one archive per partition of `pages` into `folder`."""
+    """Write archives of `pages` into `folder`, one or more per partition."""
     shared = dictionary(pages, key, url, body, date)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared) if shared else None)
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared))
         info = b"software: labtrail\r\nformat: WARC File Format 1.1\r\n"
         head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Date: {date}\r\nWARC-Record-ID: <urn:x-info:0>\r\n"
         head += f"Content-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
-        first = [struct.pack("<II", DICTIONARY_MAGIC, len(shared)) + shared] if shared else []
-        first.append(packer.compress(head.encode() + info + b"\r\n\r\n"))
-        yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary())], names=["frame"])
+        first = [struct.pack("<II", DICTIONARY_MAGIC, len(shared)) + shared, packer.compress(head.encode() + info + b"\r\n\r\n")]
+        done, used, size = list(first), len(first), sum(map(len, first))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256).to_pydict()
-                rows = zip(part["id"], part["url"], part["body"], part["refers"], strict=True)
-                done = [packer.compress(record(i, u, (b or "").encode(), r, date)) for i, u, b, r in rows]
+                for i, u, b, r in zip(part["id"], part["url"], part["body"], part["refers"], strict=True):
+                    if size > ARCHIVE_BYTES:
+                        done += [b""] * (FRAMES - used)
+                        used = FRAMES
+                    if used == FRAMES:
+                        done += first
+                        used, size = len(first), sum(map(len, first))
+                    done.append(packer.compress(record(i, u, (b or "").encode(), r, date)))
+                    used, size = used + 1, size + len(done[-1])
                 yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], names=["frame"])
+                done = []
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], names=["frame"])
 
     plain = pages.select(F.col(key).cast("long").alias("id"), F.col(url).alias("url"), F.col(body).alias("body"))
     rows = with_references(plain, "id", "body").select("id", "url", "body", F.col("_refers").alias("refers"))
     framed = rows.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    framed.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 0).text(folder)
+    framed.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", FRAMES).text(folder)
 
 
 def split_frames(data: memoryview) -> Iterator[bytes]:
@@ -181,7 +205,7 @@ def parse(content: bytes) -> dict | None:
 
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """Records of all archives in `folder`; an archive is read by one task."""
+    """Records of all archives in `folder`; an archive, which is bounded, is read by one task."""
     schema = READ if payloads else T.StructType([f for f in READ.fields if f.name != "payload"])
     names = schema.fieldNames()
 

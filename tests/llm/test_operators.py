@@ -206,6 +206,33 @@ def test_archives_round_trip(spark):
     assert all(bytes(f.content[:4]) == b"\x5d\x2a\x4d\x18" for f in files)
 
 
+@pytest.mark.parametrize(("frames", "most"), [(7, 1 << 28), (10_000, 3000)])
+def test_archives_end_and_begin_anew(spark, monkeypatch, frames, most):
+    """A task writes several archives, by frames and by bytes, each with a trained dictionary in front."""
+    monkeypatch.setattr(warc, "FRAMES", frames)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", most)
+    data = [(k, f"http://a/{k}", f"<html>{prose(k, 60)}</html>") for k in range(90)]
+    folder = scratch(spark, "warc-test")
+    warc.write_archives(pages(spark, data).repartition(2), folder)
+    files = spark.read.format("binaryFile").load(folder).where("path like '%part-%'").collect()
+    assert len(files) > 4
+    for f in files:
+        size = int.from_bytes(f.content[4:8], "little")
+        assert bytes(f.content[:4]) == b"\x5d\x2a\x4d\x18" and bytes(f.content[8:12]) == b"\x37\xa4\x30\xec"
+        assert f.length <= size + most + 10_000 * 8 + 5000
+    found = warc.read_archives(spark, folder).collect()
+    assert {r.page_id: bytes(r.payload).decode() for r in found} == {i: html for i, _, html in data}
+
+
+def test_dictionary_is_trained_for_any_sample():
+    one = warc.record(1, "u", b"hello", None, "2000-01-01T00:00:00Z")
+    samples = [[], [one], [one] * 3, [warc.record(k, f"http://a/{k}", prose(k, 400).encode(), None, "") for k in range(300)]]
+    for records in samples:
+        found = warc.trained(records)
+        assert found[:4] == b"\x37\xa4\x30\xec" and len(found) <= warc.DICTIONARY_BYTES
+    assert len(warc.trained(samples[-1])) > 10_000
+
+
 def test_archives_of_nothing(spark):
     assert warc.archived(pages(spark, [])).count() == 0
     assert warc.archived(pages(spark, [(1, None, None)])).select("payload_bytes").first()[0] == 0
