@@ -71,8 +71,14 @@ class Fingerprints:
 
 
 def lowest(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the smallest of each `width` consecutive fingerprints, the first one of equals."""
-    n = len(values)
+    """Place of the smallest of each `width` consecutive fingerprints, the first one of equals.
+
+    A key has `PLACE_BITS` for the place; longer arrays are read in overlapping pieces.
+    """
+    n, most = len(values), 1 << PLACE_BITS
+    if n > most:
+        # a piece has `most - width + 1` whole windows
+        return np.concatenate([lowest(values[k : k + most], width) + k for k in range(0, n - width + 1, most - width + 1)])
     keys = (values >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(n, dtype=np.uint64)
     blocks = -(-n // width)
     padded = np.full(blocks * width, MASK, np.uint64)

@@ -128,3 +128,27 @@ def test_lowest():
     values = np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64) << np.uint64(1)
     found = spans.lowest(values, 35)
     assert found.tolist() == [k + int(np.argmin(values[k : k + 35] >> np.uint64(24))) for k in range(466)]
+
+
+def test_lowest_beyond_the_place_bits(monkeypatch):
+    """Arrays longer than a place's bits can say: the same places as from one piece."""
+    rng = np.random.default_rng(8)
+    values = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    values[rng.integers(0, 5000, 2000)] = values[0]  # ties
+    wanted = [int(k + np.argmin(values[k : k + 35] >> np.uint64(spans.PLACE_BITS))) for k in range(5000 - 34)]
+    assert spans.lowest(values, 35).tolist() == wanted
+    bits = spans.PLACE_BITS
+    coarse = values >> np.uint64(bits) << np.uint64(bits)
+    monkeypatch.setattr(spans, "PLACE_BITS", 8)
+    assert spans.lowest(coarse, 35).tolist() == wanted
+
+
+def test_passages_of_texts_beyond_the_place_bits(spark, monkeypatch):
+    from labtrail.llm import substring_dedup
+
+    data = [(1, prose(1, 3000)), (2, prose(2, 500) + " " + prose(1, 3000)[4000:9000] + " " + prose(3, 900))]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    wanted = sorted(tuple(r) for r in substring_dedup.dedup(frame).collect())
+    assert wanted[1][2] > 300
+    monkeypatch.setattr(spans, "PLACE_BITS", 10)
+    assert sorted(tuple(r) for r in substring_dedup.dedup(frame).collect()) == wanted
