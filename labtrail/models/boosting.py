@@ -34,12 +34,13 @@ OBJECTIVES = {
     **dict.fromkeys(["tweedie", "mae", "mse", "rmse", "q50"], "cont"),
     **dict.fromkeys(["logloss", "auc", "f1", "F1", "aucpr"], "bin"),
     "mlogloss": "multi",
-    **dict.fromkeys(["q05", "q10", "q25", "q75", "q90", "q95"], "quantile"),
 }
+# fixed values: quantile goals without a Spark objective, which `compiled.fit_quantile` fits
+QUANTILES = {"q05": 0.05, "q10": 0.1, "q25": 0.25, "q75": 0.75, "q90": 0.9, "q95": 0.95}
 
 
 def objective(metric: str) -> str:
-    """cont, bin, multi, or quantile: a quantile other than the median, which has no Spark objective."""
+    """cont, bin or multi; quantiles other than the median have no Spark objective (`QUANTILES`)."""
     if metric not in OBJECTIVES:
         raise ValueError(f"unknown metric: {metric}")
     return OBJECTIVES[metric]
@@ -174,10 +175,11 @@ def fit_gbt(
 
     A quantile is fitted by `compiled.fit_quantile`, which needs the names of the vector's `features`.
     """
-    kind, settings = objective(metric), dict(settings or {})
-    if kind == "quantile":
+    settings = dict(settings or {})
+    if metric in QUANTILES:
         depth, least = settings.get("maxDepth", 3), settings.get("minInstancesPerNode", 5)
-        return Fitted(kind, {1: fit_quantile(train, features, int(metric[1:]) / 100, rounds, rate, depth, least)})
+        return Fitted("quantile", {1: fit_quantile(train, features, QUANTILES[metric], rounds, rate, depth, least)})
+    kind = objective(metric)
     if kind != "multi":
         return Fitted(kind, {1: _estimator(kind, settings, metric, rounds, rate, None).fit(train)})
     # the classes of a goal are a handful of label values
