@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labtrail.llm.common import cut
+from labtrail.llm.common import cut, parts
 
 #: Members, and characters of their texts, that a side of a tile has about at most.
 TILE, TILE_CHARS = 512, 1 << 22
+#: Rows of buckets of one tile that meet in a group.
+SMALL = 4096
 
 
 class Forest:
@@ -49,22 +51,26 @@ def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         columns = least
 
 
+#: Buckets, nodes and texts.
+Side = tuple[np.ndarray, np.ndarray, list[str]]
+
+
 @dataclass(frozen=True)
 class Tiles:
     """How members that no leader settles are compared inside tasks.
 
-    `texts` has (`node`, `text`). `compare` takes nodes and texts of two sides and gives links that connect
-    what the links between the sides connect.
+    `texts` has (`node`, `text`). `compare` takes two sides and gives links that connect
+    what the links between rows of one bucket connect.
     """
 
     texts: DataFrame
-    compare: Callable[[np.ndarray, list[str], np.ndarray, list[str]], list[tuple[int, int]]]
+    compare: Callable[[Side, Side], list[tuple[int, int]]]
 
     def links(self, rest: DataFrame, members: DataFrame) -> DataFrame:
         """Links (`a`, `b`) of `rest` (`bucket`, `node`) with all `members` of their buckets.
 
-        A bucket is cut into tiles, some of its rest against some of its members. Only links that connect leave a task, so
-        the rows that are made grow with the bucket, not with its square.
+        A bucket is cut into tiles, some of its rest against some of its members; buckets of one tile share groups. Only
+        links that connect leave a task, so the rows that are made grow with the bucket, not with its square.
         """
         sized = self.texts.select("node", F.length("text").cast("long").alias("chars"), "text")
         left = rest.select("bucket", "node").distinct()
@@ -73,23 +79,27 @@ class Tiles:
 
         def pieces(rows: DataFrame, name: str) -> DataFrame:
             number = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("chars") / TILE_CHARS))
-            return rows.groupBy("bucket").agg(number.cast("int").alias(name))
+            return rows.groupBy("bucket").agg(number.cast("int").alias(name), F.count(F.lit(1)).alias(f"{name}_all"))
 
         sizes = cut(pieces(left, "rows").join(pieces(right, "columns"), "bucket"))
+        small = (F.col("rows") == 1) & (F.col("columns") == 1)
+        few = sizes.agg(F.sum(F.when(small, F.col("rows_all") + F.col("columns_all")))).first()[0] or 0
+        groups = max(parts(rest.sparkSession), -(-few // SMALL))
+        group = F.when(small, F.pmod(F.xxhash64("bucket"), F.lit(groups))).otherwise(F.col("bucket")).alias("group")
         left, right = (x.drop("chars").join(sizes, "bucket") for x in (left, right))
-        deal = lambda name, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(name)).cast("int")
-        every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-        left = left.select("bucket", deal("rows", 1).alias("i"), every("columns").alias("j"), F.lit(True).alias("left"), "node", "text")
-        right = right.select("bucket", every("rows").alias("i"), deal("columns", 2).alias("j"), F.lit(False).alias("left"), "node", "text")
+        deal = lambda name, salt: F.when(small, -1).otherwise(F.pmod(F.xxhash64("node", F.lit(salt)), F.col(name)).cast("int"))
+        every = lambda name: F.explode(F.when(small, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col(name) - 1)))
+        left = left.select(group, deal("rows", 1).alias("i"), every("columns").alias("j"), F.lit(True).alias("left"), "bucket", "node", "text")
+        right = right.select(group, every("rows").alias("i"), deal("columns", 2).alias("j"), F.lit(False).alias("left"), "bucket", "node", "text")
         compare = self.compare
 
-        def meet(group: pa.Table) -> pa.Table:
-            is_left = np.asarray(group["left"])
-            sides = [group.filter(pa.array(x)) for x in (is_left, ~is_left)]
-            found = compare(*[c for x in sides for c in (np.asarray(x["node"]), x["text"].to_pylist())])
+        def meet(table: pa.Table) -> pa.Table:
+            is_left = np.asarray(table["left"])
+            sides = [table.filter(pa.array(x)) for x in (is_left, ~is_left)]
+            found = compare(*[(np.asarray(x["bucket"]), np.asarray(x["node"]), x["text"].to_pylist()) for x in sides])
             return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
-        return left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(meet, "a long, b long")
+        return left.unionByName(right).groupBy("group", "i", "j").applyInArrow(meet, "a long, b long")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from labtrail.llm import spans
 from labtrail.llm.common import parts, restored, whole_row
-from labtrail.llm.components import components, linked
+from labtrail.llm.components import Forest, Side, Tiles, components, linked
 
 EDITS = 2
 MIN_CHARS = 30
@@ -262,6 +262,55 @@ def measured(texts: DataFrame, edits: int):
     return measure
 
 
+def tile_links(edits: int):
+    """Comparison of all lines of two sides; see `components.Tiles`.
+
+    An edit changes the length by one at most and two of the counts of characters by one each, which
+    leaves few pairs; of these, pairs that are connected already need no distance.
+    """
+
+    def profile(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        points = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") for x in lines]
+        counts = [np.bincount(x % CLASSES, minlength=CLASSES) for x in points]
+        return np.array([len(x) for x in points]), np.array(counts, np.int32).reshape(-1, CLASSES)
+
+    def compare(one: Side, other: Side) -> list[tuple[int, int]]:
+        (bucket, left, x), (other_bucket, right, y) = one, other
+        (sizes, counts), (other_sizes, other_counts) = profile(x), profile(y)
+        order = np.argsort(other_bucket, kind="stable")
+        low, high = (np.searchsorted(other_bucket[order], bucket, side) for side in ("left", "right"))
+        forest = Forest()
+        tested: set[tuple[int, int]] = set()
+        ends = np.cumsum(high - low)
+        at = 0
+        while at < len(left):
+            # rows of about a hundred thousand pairs
+            until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 100_000, "right")))
+            number = (high - low)[at:until]
+            i = np.repeat(np.arange(at, until), number)
+            j = order[np.arange(len(i)) - np.repeat(np.cumsum(number) - number, number) + np.repeat(low[at:until], number)]
+            near = (np.abs(other_sizes[j] - sizes[i]) <= edits) & (right[j] != left[i])
+            i, j = i[near], j[near]
+            near = np.abs(other_counts[j] - counts[i]).sum(axis=1) <= 2 * edits
+            i, j = i[near], j[near]
+            for k in range(0, len(i), 2048):
+                open_ = []
+                for m, n in zip(i[k : k + 2048].tolist(), j[k : k + 2048].tolist(), strict=True):
+                    a, b = int(left[m]), int(right[n])
+                    pair = (a, b) if a < b else (b, a)
+                    if pair not in tested and forest.root(a) != forest.root(b):
+                        tested.add(pair)
+                        open_.append((a, b, x[m], y[n]))
+                found = edit_distances([p[2:] for p in open_], edits)
+                for (a, b, _, _), distance in zip(open_, found.tolist(), strict=True):
+                    if distance <= edits:
+                        forest.add(a, b)
+            at = until
+        return forest.links
+
+    return compare
+
+
 def line_texts(docs: DataFrame, key: str, text: str, places: DataFrame) -> DataFrame:
     """`node`, `line` of the lines at `places` (`_key`, `_same`, `pos`, `node`), as a written table."""
     wanted = places.groupBy("_key", "_same").agg(F.collect_list(F.struct("pos", "node")).alias("at"))
@@ -271,23 +320,6 @@ def line_texts(docs: DataFrame, key: str, text: str, places: DataFrame) -> DataF
     return spans.written(lines.dropDuplicates(["node"]), "line-texts")
 
 
-def profiles(texts: DataFrame) -> DataFrame:
-    """`node`, `length` and the number of characters of each class."""
-    names = [f"c{k}" for k in range(CLASSES)]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") for x in batch.column(1).to_pylist()]
-            counts = [np.bincount(x % CLASSES, minlength=CLASSES) for x in lines]
-            grid = np.array(counts, np.int32).reshape(-1, len(names))
-            columns = [batch.column(0), pa.array([len(x) for x in lines], pa.int32())]
-            columns += [pa.array(np.ascontiguousarray(grid[:, k])) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "length", *names])
-
-    schema = "node long, length int, " + ", ".join(f"{x} int" for x in names)
-    return texts.select("node", "line").mapInArrow(count, schema)
-
-
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, rounds: int = ROUNDS) -> DataFrame:
     """`_key`, `_same`, `gone` (numbers of the lines to remove), for the texts that lose lines."""
     rows = occurrences(docs, key, text)
@@ -298,11 +330,9 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: in
     nodes = members.select(F.col("node").alias("hi")).distinct()
     places = firsts.join(nodes, "hi").groupBy("hi").agg(F.min("first").alias("first")).select("first.*", F.col("hi").alias("node"))
     texts = line_texts(docs, key, text, places)
-    members = spans.written(members.join(profiles(texts), "node").withColumn("order", F.col("node")), "profiled")
-    # an edit changes the length by one at most, and two of the counts
-    apart = " + ".join(f"abs(x.c{k} - y.c{k})" for k in range(CLASSES))
-    possible = f"abs(x.length - y.length) <= {edits} and {apart} <= {2 * edits}"
-    links = linked(members, measured(texts, edits), float(edits), possible, rounds)
+    members = members.withColumn("order", F.col("node"))
+    tiles = Tiles(texts.withColumnRenamed("line", "text"), tile_links(edits))
+    links = spans.written(linked(members, measured(texts, edits), float(edits), tiles, rounds), "line-links")
     labels = components(links).withColumnRenamed("node", "hi")
     # the place of the line that stays, for lines that occur again or have a near twin
     near = firsts.join(labels, "hi")

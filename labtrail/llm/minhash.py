@@ -20,6 +20,7 @@ the largest; the class id is the smallest id of the class.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from labtrail.llm import spans
 from labtrail.llm.common import cut, parts, whole_row
-from labtrail.llm.components import Forest, Tiles, components, linked, spanning
+from labtrail.llm.components import Forest, Side, Tiles, components, linked, spanning
 from labtrail.llm.substring_dedup import bounds
 
 WORDS = 5
@@ -282,41 +283,59 @@ def tile_links(similar: float, common: Weights):
     feature that both texts have gives its weight. Only features that both sides have are columns.
     """
 
-    def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, names and weights of the features, and the weight of each text."""
-        rows, names, sizes, whole = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0)], np.zeros(len(texts))
-        for k, (found, counts) in enumerate(shingles(texts)):
+    def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """Names, sorted, and weights of each text's features, and the weight of the text."""
+        out = []
+        for found, counts in shingles(texts):
             one = weights(found, np.ones(len(found)), common)
-            whole[k] = (one * counts).sum()
-            for t in range(int(counts.max(initial=0))):
+            names, sizes = [found], [one]
+            for t in range(1, int(counts.max(initial=0))):
                 part = counts > t
-                rows.append(np.full(int(part.sum()), k))
-                names.append(spans.mixed(found[part] + np.uint64(t) * np.uint64(spans.FACTOR)) if t else found[part])
+                names.append(spans.mixed(found[part] + np.uint64(t) * np.uint64(spans.FACTOR)))
                 sizes.append(one[part])
-        return np.concatenate(rows), np.concatenate(names), np.concatenate(sizes), whole
-
-    def compare(left: np.ndarray, x: list[str], right: np.ndarray, y: list[str]) -> list[tuple[int, int]]:
-        if not len(left) or not len(right):
-            return []
-        (rows, names, sizes, whole), (other_rows, other_names, _, other_whole) = features(x), features(y)
+            out.append((np.concatenate(names), np.concatenate(sizes), float((one * counts).sum())))
+        return out
+
+    def shared_weight(one: list, other: list) -> np.ndarray:
+        """Weight of the features that each two texts of two lists share."""
+        out = np.zeros((len(one), len(other)))
+        names, other_names = (np.concatenate([x[0] for x in side]) for side in (one, other))
+        rows, other_rows = (np.repeat(np.arange(len(side)), [len(x[0]) for x in side]) for side in (one, other))
+        sizes = np.concatenate([x[1] for x in one])
         both = np.intersect1d(names, other_names)
-        shared = np.zeros((len(left), len(right)))
         for at in range(0, len(both), 2048):
             some = both[at : at + 2048]
-            a, b = np.zeros((len(left), len(some))), np.zeros((len(right), len(some)))
+            a, b = np.zeros((len(one), len(some))), np.zeros((len(other), len(some)))
             for grid, r, n, value in ((a, rows, names, sizes), (b, other_rows, other_names, None)):
                 place = np.minimum(np.searchsorted(some, n), len(some) - 1)
                 hit = some[place] == n
                 grid[r[hit], place[hit]] = 1.0 if value is None else value[hit]
-            shared += a @ b.T
-        alike = shared >= (similar - 1e-9) * (whole[:, None] + other_whole[None] - shared)
-        alike &= left[:, None] != right[None]
+            out += a @ b.T
+        return out
+
+    def compare(one: Side, other: Side) -> list[tuple[int, int]]:
+        (bucket, left, x), (other_bucket, right, y) = one, other
+        # a text may be in many buckets
+        texts = {int(n): t for nodes, side in ((left, x), (right, y)) for n, t in zip(nodes, side, strict=True)}
+        sets = dict(zip(texts, features(list(texts.values())), strict=True))
         forest = Forest()
-        row, column = spanning(alike)
-        for k in np.flatnonzero(alike.any(1)):
-            forest.add(int(left[k]), int(right[row[k]]))
-        for k in np.flatnonzero(alike.any(0)):
-            forest.add(int(right[k]), int(right[column[k]]))
+        places = defaultdict(lambda: ([], []))
+        for k, buckets in enumerate((bucket, other_bucket)):
+            for row, b in enumerate(buckets.tolist()):
+                places[b][k].append(row)
+        for rows, columns in places.values():
+            if not rows or not columns:
+                continue
+            a, b = left[rows], right[columns]
+            own, others = [sets[int(n)] for n in a], [sets[int(n)] for n in b]
+            shared = shared_weight(own, others)
+            whole = np.array([s[2] for s in own])[:, None] + np.array([s[2] for s in others])[None]
+            alike = (shared >= (similar - 1e-9) * (whole - shared)) & (a[:, None] != b[None])
+            row, column = spanning(alike)
+            for k in np.flatnonzero(alike.any(1)):
+                forest.add(int(a[k]), int(b[row[k]]))
+            for k in np.flatnonzero(alike.any(0)):
+                forest.add(int(b[k]), int(b[column[k]]))
         return forest.links
 
     return compare

@@ -213,3 +213,38 @@ def test_lines_keep_columns(spark):
     assert set(docs(spark).columns) <= set(kept.columns)
     assert {r._same for r in kept.collect()} == {"x"}
     assert line_dedup.dedup(empty(spark)).count() == 0
+
+
+def test_tiles_connect_what_pairs_connect(spark, monkeypatch):
+    """Many small buckets that share groups, and one that is cut into tiles: the classes of all pairs."""
+    from labtrail.llm import components as module
+    from labtrail.llm.components import Tiles
+
+    rng = random.Random(6)
+    base = "the quick brown fox jumps over the lazy dog and runs away"
+    lines = {k: "".join(c if rng.random() > 0.03 else rng.choice("xyz") for c in base) for k in range(60)}
+    for k in range(60, 90):
+        lines[k] = prose(k, 9)[:40].replace("\n", " ").ljust(40, "q")
+        lines[k + 100] = lines[k][:20] + "#" + lines[k][20:]
+    members = [(7, k) for k in range(60)] + [(1000 + k, k + d) for k in range(60, 90) for d in (0, 100)]
+    frame = spark.createDataFrame(members, "bucket long, node long")
+    texts = spark.createDataFrame(list(lines.items()), "node long, text string")
+    parent = {k: k for k in lines}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for bucket in {b for b, _ in members}:
+        inside = [n for b, n in members if b == bucket]
+        for a in inside:
+            for b in inside:
+                if a < b and edits(lines[a], lines[b]) <= 2:
+                    parent[max(find(a), find(b))] = min(find(a), find(b))
+    wanted = {k: find(k) for k in lines if any(find(k) == find(x) for x in lines if x != k)}
+    for size in (512, 16):
+        monkeypatch.setattr(module, "TILE", size)
+        found = Tiles(texts, line_dedup.tile_links(2)).links(frame, frame)
+        labels = {r.node: r.label for r in components(found).collect()}
+        assert labels == wanted, size
