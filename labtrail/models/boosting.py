@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from labtrail.evaluation import metrics
 from labtrail.functions import recode, thresholds
-from labtrail.models.compiled import fit_quantile
+from labtrail.models.compiled import Ensemble, fit_quantile
 from labtrail.operators.ranking import quantiles, random_position
 from labtrail.session import stage
 
@@ -161,7 +161,7 @@ def best_rounds(
 
 @dataclass
 class Fitted:
-    """One model, or one per class for a multi-class goal."""
+    """One model, or one per class for a multi-class goal; one model may be an ensemble of expressions."""
 
     kind: str
     models: dict
@@ -194,7 +194,7 @@ def fit_gbt(
 def predict(fitted: Fitted, df: DataFrame) -> DataFrame:
     """Add abnorm_probs (value for a continuous goal), or abnorm_probs_<class>."""
     drop = ["rawPrediction", "probability", "prediction"]
-    if fitted.kind == "quantile":
+    if all(isinstance(m, Ensemble) for m in fitted.models.values()) and fitted.kind != "multi":
         return df.withColumn("abnorm_probs", fitted.models[1].score())
     if fitted.kind == "cont":
         return fitted.models[1].transform(df).withColumnRenamed("prediction", "abnorm_probs")

@@ -171,20 +171,37 @@ FIXED = Ensemble(
 )
 
 
+_FIXED_SQL = f"""l as (select person_id, avg(value) as mean, count(*) as n_lab from lab where dt < date '{BASE}' and value is not null group by person_id),
+  c as (select person_id, count(*) as n_code from code where dt < date '{BASE}' group by person_id),
+  f as (select d.person_id, split_set, p1, bmi, mean, n_lab, n_code from pred d join person p on p.person_id = d.person_id
+        left join l on l.person_id = d.person_id left join c on c.person_id = d.person_id),
+  scored as (select *, {FIXED.raw_sql()} as raw, {FIXED.score_sql()} as prob, cast(coalesce(mean, 95) + 20 * p1 > 108 as integer) as truth from f)"""
+
+
 @query(
     "predict_compiled",
     "person_id:i split_set:f raw:f abnorm_probs:f",
-    f"""with l as (select person_id, avg(value) as mean, count(*) as n_lab from lab where dt < date '{BASE}' and value is not null group by person_id),
-          c as (select person_id, count(*) as n_code from code where dt < date '{BASE}' group by person_id),
-          f as (select d.person_id, split_set, bmi, mean, n_lab, n_code from pred d join person p on p.person_id = d.person_id
-                left join l on l.person_id = d.person_id left join c on c.person_id = d.person_id)
-        select person_id, split_set, {FIXED.raw_sql()} as raw, {FIXED.score_sql()} as abnorm_probs from f""",
+    f"with {_FIXED_SQL} select person_id, split_set, raw, prob as abnorm_probs from scored",
 )
 def predict_compiled(t):
     rows = training_rows(t)
     return rows.select("person_id", "split_set", F.expr(FIXED.raw_sql()).alias("raw"), FIXED.score().alias("abnorm_probs"))
 
 
+@query(
+    "predict_table_fixed",
+    "person_id:i split_set:f y:i abnorm_probs:f abnorm_preds:i true_abnorm:i",
+    f"""with {_FIXED_SQL},
+          k as (select prob, cast(sum(truth) as double) as c, cast(count(*) as double) as n from scored where split_set = 0 group by prob),
+          w as (select prob, sum(c) over (order by prob desc) as tp, sum(n) over (order by prob desc) as pos, sum(c) over () as m from k),
+          cut as (select prob as cutoff from w order by abs(tp / pos - tp / m), prob limit 1)
+        select person_id, split_set, truth as y, prob as abnorm_probs, cast(prob > (select cutoff from cut) as integer) as abnorm_preds, truth as true_abnorm from scored""",
+)
+def predict_table_fixed(t):
+    """The whole prediction table, cut-off included, from the fixed ensemble."""
+    return boosting.predict_table(boosting.Fitted("bin", {1: FIXED}), training_rows(t), "y")
+
+
 @query(
     "fit_quantile",
     "metric:s below_median:s",
