@@ -26,8 +26,11 @@ def text_to_parquet(
 ) -> DataFrame:
     """Delimited text (gz allowed) to Parquet with optional column types.
 
-    A gz file is read by one task, so `partitions` spreads it before writing.
+    A gz file can only be read by one task, so its rows are spread before they are written: over `partitions`, or
+    over as many as a shuffle has.
     """
+    if partitions is None and source.endswith(".gz"):
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = spark.read.options(header=True, sep=sep, inferSchema=types is None).csv(source)
     if types:
         table = table.withColumns({c: F.col(c).try_cast(t) for c, t in types.items()})
