@@ -118,8 +118,10 @@ def evaluation_grid(
 ) -> DataFrame:
     """Rows repeated per set and person filter; cells with few cases are left out."""
     names = F.array_compact(F.array(*[F.when(test, F.lit(n)) for n, test in sets.items()]))
+    # both sides grow with the persons, and size estimates do not see that rows are repeated per model and set:
+    # ask for a shuffled join, or all predictions are broadcast through the driver
     placed = rows.withColumn("set_name", F.explode(names)).join(
-        membership.select("person_id", "filter"), "person_id"
+        membership.select("person_id", "filter").hint("merge"), "person_id"
     )
     cell = [*keys, "set_name", "filter"]
     if not least_cases:
