@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labtrail.functions import dates
+from labtrail.operators import cohort
 from labtrail.plans.evaluation import _P, interval_sql, ranked_sql
 from labtrail.plans.registry import BASE, query, u_sql
 from labtrail.sampling import recall
@@ -24,10 +25,10 @@ def _sql_bins(source: str, score: str) -> str:
       from {source} s join (values {table}) b(grp, lower, cut) on b.grp = {group} where {score} <= {cuts[-1]}::double)"""
 
 
-SITED = f"""sited as (select * from (select d.person_id, y, split_set, p1, p2, case cohort when 'TAMPERE BIOBANK' then 'Tampere' when 'AURIA BIOBANK' then 'Turku' end as site,
+_LABELLED = f"""select d.person_id, y, split_set, p1, p2, case cohort when 'TAMPERE BIOBANK' then 'Tampere' when 'AURIA BIOBANK' then 'Turku' end as site,
     floor(date_diff('day', birth_date, date '{BASE}') / cast(365.25 as double)) as event_age
-  from pred d join person p on p.person_id = d.person_id where split_set <> 0 and cohort in ('TAMPERE BIOBANK', 'AURIA BIOBANK')) where event_age >= {recall.MIN_AGE}),
-past as {_sql_bins('sited', 'p1')}, future as {_sql_bins('sited', 'p2')},
+  from pred d join person p on p.person_id = d.person_id where split_set <> 0 and cohort in ('TAMPERE BIOBANK', 'AURIA BIOBANK')"""
+_PLANNED = f"""past as {_sql_bins('sited', 'p1')}, future as {_sql_bins('sited', 'p2')},
 capacity as (select cast(g as integer) as "group", case when count(n) = 2 then min(n) else 0 end as capacity
   from range(1, {len(BINS.cuts) + 1}) r(g) left join (select "group", site, count(*) as n from future group by all) f on f."group" = g group by g),
 r0 as (select "group", capacity, round_even(capacity / cast(2 as double), 0) * 2 as room, {TOTAL} / cast(count(*) over () as double) as s0 from capacity),
@@ -36,56 +37,70 @@ r2 as (select *, case when full1 then s1 else round_even(({TOTAL} - sum(case whe
 r3 as (select *, full1 or room < t2 as full2, least(room, t2) as s2 from r2),
 r4 as (select *, case when full2 then s2 else round_even(({TOTAL} - sum(case when full2 then s2 else 0 end) over ()) / 2 / cast(nullif(count(*) filter (not full2) over (), 0) as double), 0) * 2 end as t3 from r3),
 plan as (select "group", capacity, least(room, t3) as n from r4)"""
+#: All labelled predictions, and those of persons old enough to be drawn.
+EVERYONE = f"""sited as ({_LABELLED}),
+{_PLANNED}"""
+SITED = f"""sited as (select * from ({_LABELLED}) where event_age >= {recall.MIN_AGE}),
+{_PLANNED}"""
+
+
+def everyone(t, score="p1"):
+    rows = recall.site_label(t.pred.withColumn("prob", F.col(score)), t.person)
+    return cohort.with_age(rows, t.person, dates.day(BASE))
 
 
 def sited(t, score="p1"):
     return recall.candidates(t.pred.withColumn("prob", F.col(score)), t.person, dates.day(BASE))
 
 
-def past(t):
-    return recall.prob_bins(sited(t), BINS)
+def past(t, rows=sited):
+    return recall.prob_bins(rows(t), BINS)
+
+
+def future(t, rows=sited):
+    return recall.prob_bins(rows(t, "p2"), BINS)
 
 
-def plan(t):
-    return recall.planned(recall.bin_capacity(recall.prob_bins(sited(t, "p2"), BINS)), BINS, TOTAL)
+def plan(t, rows=sited):
+    return recall.planned(recall.bin_capacity(future(t, rows)), BINS, TOTAL)
 
 
-@query("site_label", "person_id:i site:s event_age:i", f"with {SITED} select * from sited")
+@query("site_label", "person_id:i site:s event_age:i", f"with {EVERYONE} select * from sited")
 def site_label(t):
-    return sited(t)
+    return everyone(t)
 
 
 _BINNED = "person_id:i prob:f group:i lower:f cut:f mid:f"
 
 
-@query("prob_bins", _BINNED, f"with {SITED} select * from past")
+@query("prob_bins", _BINNED, f"with {EVERYONE} select * from past")
 def prob_bins(t):
-    return past(t)
+    return past(t, everyone)
 
 
-@query("join_left_bins", "person_id:i group:i mid:f site:s", f"with {SITED} select * from future")
+@query("join_left_bins", "person_id:i group:i mid:f site:s", f"with {EVERYONE} select * from future")
 def join_left_bins(t):
-    return recall.prob_bins(sited(t, "p2"), BINS)
+    return future(t, everyone)
 
 
 @query(
     "lag_midpoint",
     "group:i cut:f mid:f n:i",
-    f"""with {SITED}, c as (select "group", cut, count(*) as n from past group by all)
+    f"""with {EVERYONE}, c as (select "group", cut, count(*) as n from past group by all)
         select "group", cut, round(coalesce(lag(cut) over (order by cut), {BINS.lowest}) + (cut - coalesce(lag(cut) over (order by cut), {BINS.lowest})) / 2, 3) as mid, n from c""",
 )
 def lag_midpoint(t):
-    return recall.bin_group_stats(past(t))
+    return recall.bin_group_stats(past(t, everyone))
 
 
 @query(
     "bin_capacity",
     "kind:s group:i capacity:i",
-    f"""with {SITED} select 'site' as kind, "group", capacity from capacity where "group" in (select "group" from future)
+    f"""with {EVERYONE} select 'site' as kind, "group", capacity from capacity where "group" in (select "group" from future)
         union all select 'all', "group", count(*) from future group by "group" """,
 )
 def bin_capacity(t):
-    rows = recall.prob_bins(sited(t, "p2"), BINS)
+    rows = future(t, everyone)
     return recall.bin_capacity(rows).withColumn("kind", F.lit("site")).unionByName(
         recall.bin_capacity(rows, per_site=False).withColumn("kind", F.lit("all"))
     )
@@ -98,7 +113,7 @@ _FINE_CUTS = ", ".join(f"({k}, {c}::double)" for k, c in enumerate(FINE.cuts))
 @query(
     "bin_merge",
     "group:i lower:f cut:f mid:f",
-    f"""with recursive {SITED},
+    f"""with recursive {EVERYONE},
         cuts as (select k, c, coalesce(lag(c) over (order by k), -1) as before from (values {_FINE_CUTS}) v(k, c)),
         fine as (select k, c, count(*) filter (site = 'Tampere') as a, count(*) filter (site = 'Turku') as b
                  from cuts left join sited on p2 >= before and p2 < c group by k, c),
@@ -116,7 +131,7 @@ _FINE_CUTS = ", ".join(f"({k}, {c}::double)" for k, c in enumerate(FINE.cuts))
         select "group", lower, cut, round(lower + (cut - lower) / 2 + 1e-12, 3) as mid from low""",
 )
 def bin_merge(t):
-    return recall.merged_bins(sited(t, "p2"), FINE)
+    return recall.merged_bins(everyone(t, "p2"), FINE)
 
 
 @query("sample_plan", "group:i capacity:i n:f", f"with {SITED} select * from plan")
@@ -154,10 +169,10 @@ def stratified_draw(t):
 @query(
     "join_multi_key",
     "person_id:i group:i site:s n:f",
-    f"""with {SITED} select person_id, p."group", site, n / 2 as n from past p join plan on plan."group" = p."group" """,
+    f"""with {EVERYONE} select person_id, p."group", site, n / 2 as n from past p join plan on plan."group" = p."group" """,
 )
 def join_multi_key(t):
-    return past(t).join(F.broadcast(recall.by_site(plan(t))), ["group", "site"])
+    return past(t, everyone).join(F.broadcast(recall.by_site(plan(t, everyone))), ["group", "site"])
 
 
 @query(
@@ -170,7 +185,7 @@ def join_multi_key(t):
           from future p join plan on plan."group" = p."group" where prob > 0.05 and person_id not in (select person_id from a)) where k <= floor(n / 2)""",
 )
 def draw_excluding(t):
-    planned, other = plan(t), recall.prob_bins(sited(t, "p2"), BINS)
+    planned, other = plan(t), future(t)
     return recall.draw_excluding([(past(t), planned, 0.02), (other, planned, 0.05)], most=TOTAL)
 
 
@@ -249,10 +264,10 @@ def draw_boxes(t):
 @query(
     "bin_group_stats",
     "group:i cut:f mid:f n:i n_abnormal:i share:f",
-    f"""with {SITED} select "group", cut, mid, count(*) as n, sum(y) as n_abnormal, sum(y) / cast(count(*) as double) as share from past group by all""",
+    f"""with {EVERYONE} select "group", cut, mid, count(*) as n, sum(y) as n_abnormal, sum(y) / cast(count(*) as double) as share from past group by all""",
 )
 def bin_group_stats(t):
-    return recall.bin_group_stats(past(t))
+    return recall.bin_group_stats(past(t, everyone))
 
 
 def _box_sql(value: str) -> str:
@@ -266,10 +281,10 @@ def _box_sql(value: str) -> str:
 @query(
     "box_stats",
     "group:i variable:s median:f q1:f q3:f whisker_low:f whisker_high:f",
-    f"with {SITED} {_box_sql('p2')} union all {_box_sql('event_age')}",
+    f"with {EVERYONE} {_box_sql('p2')} union all {_box_sql('event_age')}",
 )
 def box_stats(t):
-    rows = past(t).withColumn("event_age", F.col("event_age").cast("double"))
+    rows = past(t, everyone).withColumn("event_age", F.col("event_age").cast("double"))
     parts = [
         recall.box_stats(rows, ["group"], v).withColumn("variable", F.lit(v)) for v in ("p2", "event_age")
     ]
