@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WELL_FORMED = "^[A-Z][0-9]"
 
@@ -127,9 +128,25 @@ def code_matrix(
     `codes` is the sorted value list of an earlier prevalence query, so the
     schema is stable and no extra job looks for it.
     """
-    wide = counts.groupBy("person_id").pivot(column, list(codes)).agg(F.sum("n"))
+    codes = list(codes)
+    number = T.StructType([T.StructField("_place", T.IntegerType()), T.StructField(column, counts.schema[column].dataType)])
+    places = F.broadcast(counts.sparkSession.createDataFrame(list(enumerate(codes)), number))  # at most a schema's size
+    # groups, exchanges and the join carry a person's own codes; a row gets its width after them
+    each = counts.join(places, column, "left").groupBy("person_id", column, "_place").agg(F.sum("n").alias("_n"))
+    own = F.when(F.col("_place").isNotNull(), F.struct("_place", "_n"))
+    lines = each.groupBy("person_id").agg(F.sort_array(F.collect_list(own)).alias("_own"))
+    zero = F.lit(0).cast(each.schema["_n"].dataType)
+
+    def filled(entry: Column, k: Column) -> Column:
+        before = F.coalesce(F.get("_own", k - 1)["_place"], F.lit(-1))
+        return F.concat(F.array_repeat(zero, entry["_place"] - before - 1), F.array(entry["_n"]))
+
+    last = F.coalesce(F.get("_own", F.size("_own") - 1)["_place"], F.lit(-1))
+    every = F.concat(F.flatten(F.transform("_own", filled)), F.array_repeat(zero, F.lit(len(codes) - 1) - last))
     spine = persons.select("person_id").distinct()
-    return spine.join(wide, "person_id", "full").fillna(0, subset=list(codes))
+    # who has no codes gets zeros below
+    wide = spine.join(lines, "person_id", "full").withColumn("_all", every)
+    return wide.select("person_id", *[F.get("_all", F.lit(k)).alias(c) for k, c in enumerate(codes)]).fillna(0, subset=codes)
 
 
 def frequent_code_matrix(
