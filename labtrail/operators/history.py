@@ -144,8 +144,7 @@ def days_since_last(stats: DataFrame, start: Column) -> DataFrame:
 def monthly_interpolated(series: DataFrame, start: Column) -> DataFrame:
     """Monthly creatinine filled between known months, as rate with flag."""
     months = runs.monthly_mean(series.where((F.col("dt") < start) & F.col("value").isNotNull()))
-    every = months.join(runs.month_calendar(months), [PERSON, "dt"], "right")
-    full = runs.carried(runs.interpolate(every, ["value", "event_age"]), ["sex"])
+    full = runs.filled_months(months, ["value", "event_age"], ["sex"])
     rate = units.egfr_2021(F.col("value"), F.col("sex"), F.col("event_age"))
     return full.withColumn("value", rate).withColumn(
         "abnorm_custom", F.when(F.col("value") < 60, 1.0).otherwise(0.0)

@@ -140,6 +140,12 @@ def month_calendar(months: DataFrame) -> DataFrame:
     return span.select(PERSON, F.explode(every).alias("dt"))
 
 
+def _on_line(a: Column, b: Column, place: Column) -> Column:
+    """Value at `place` between the points (`i`, `v`) before and after it."""
+    share = F.try_divide(place - a["i"], b["i"] - a["i"])
+    return a["v"] + (b["v"] - a["v"]) * share
+
+
 def interpolate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Linear fill between known months; gaps outside stay empty."""
     place = F.year("dt") * 12 + F.month("dt")
@@ -149,13 +155,39 @@ def interpolate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         before = F.last(known, ignorenulls=True).over(_until_now())
         after = F.last(known, ignorenulls=True).over(_back_to_now())
         out = out.withColumns({f"_{c}_a": before, f"_{c}_b": after})
-        a, b = F.col(f"_{c}_a"), F.col(f"_{c}_b")
-        share = F.try_divide(F.col("_i") - a["i"], b["i"] - a["i"])
-        filled = a["v"] + (b["v"] - a["v"]) * share
+        filled = _on_line(F.col(f"_{c}_a"), F.col(f"_{c}_b"), F.col("_i"))
         out = out.withColumn(c, F.coalesce(F.col(c), filled)).drop(f"_{c}_a", f"_{c}_b")
     return out.drop("_i")
 
 
+def filled_months(months: DataFrame, columns: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """`interpolate` on the calendar of `month_calendar`, with `carried` attributes.
+
+    `months` has one row per person and month, as `monthly_mean` makes them. The windows run over these rows alone; each
+    row then becomes the months until the next one, so that no exchange, sort or window holds the filled calendar.
+    """
+    others = [c for c in months.columns if c not in (PERSON, "dt")]
+    # an unknown person has a calendar, but no row meets it
+    out = months.where(F.col("dt").isNotNull()).withColumns({c: F.when(F.col(PERSON).isNotNull(), F.col(c)) for c in others})
+    out = carried(out, carry).withColumn("_i", F.year("dt") * 12 + F.month("dt"))
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(c).alias("v"))) for c in columns}
+    backwards = Window.partitionBy(PERSON).orderBy(F.desc("dt"))
+    later = backwards.rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumns({f"_{c}_a": F.last(k, ignorenulls=True).over(_until_now()) for c, k in known.items()})
+    out = out.withColumns(
+        {f"_{c}_b": F.last(k, ignorenulls=True).over(later) for c, k in known.items()} | {"_next": F.lag("_i").over(backwards)}
+    )
+    more = F.greatest(F.coalesce(F.col("_next") - F.col("_i") - 1, F.lit(0)), F.lit(0))
+    out = out.withColumn("_k", F.explode(F.sequence(F.lit(0), more)))
+    here = F.col("_k") == 0
+    cells = {}
+    for c in others:
+        own = F.col(c) if c in carry else F.when(here, F.col(c))
+        line = _on_line(F.col(f"_{c}_a"), F.col(f"_{c}_b"), F.col("_i") + F.col("_k")) if c in columns else None
+        cells[c] = own if line is None else F.coalesce(own, line)
+    return out.select(PERSON, F.add_months("dt", F.col("_k")).alias("dt"), *[x.alias(c) for c, x in cells.items()])
+
+
 def carried(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """First known attribute of the person on every row."""
     person = Window.partitionBy(PERSON)

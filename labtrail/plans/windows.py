@@ -177,9 +177,7 @@ def join_right_calendar(t):
     f"with {MONTHS_SQL} select * from linear",
 )
 def interpolate_linear(t):
-    months = _months(t)
-    every = months.join(series.month_calendar(months), ["person_id", "dt"], "right")
-    return series.carried(series.interpolate(every, ["value", "event_age"]), ["sex"])
+    return series.filled_months(_months(t), ["value", "event_age"], ["sex"])
 
 
 @query(
