@@ -29,8 +29,9 @@ from labtrail.operators.ranking import random_position
 from labtrail.session import stage
 
 METHODS = ("exact", "poisson")
-#: Slots that a task draws at once, and places that a block has.
-BLOCK = 1 << 16
+#: Slots that a task draws at once, and places that a block has: a block's counts are 8 bytes a place and replicate.
+BLOCK_BITS = 14
+BLOCK = 1 << BLOCK_BITS
 #: Rows of a batch that agree in group, score and class are summed from this number on.
 MANY = 64
 #: Rows whose weights are made at once.
@@ -77,9 +78,9 @@ def drawn(df: DataFrame, groups: Sequence[str], ids: Sequence[str], replicates:
     if replicates >= 1 << 16:
         raise ValueError("at most 65,535 replicates")
     groups, columns = list(groups), df.columns
-    placed = random_position(df, groups, ids, "row", "_pos", "_size").withColumn("_block", F.shiftright("_pos", 16))
+    placed = random_position(df, groups, ids, "row", "_pos", "_size").withColumn("_block", F.shiftright("_pos", BLOCK_BITS))
     sizes = placed.select(*groups, "_pos", "_size").where("_pos % " + str(BLOCK) + " = 0").select(
-        *groups, F.shiftright("_pos", 16).alias("_slots"), "_size"
+        *groups, F.shiftright("_pos", BLOCK_BITS).alias("_slots"), "_size"
     )
     # a block of slots becomes draws for many places, which size estimates do not see
     sizes = sizes.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *groups, "_slots")
@@ -94,11 +95,14 @@ def drawn(df: DataFrame, groups: Sequence[str], ids: Sequence[str], replicates:
                 # so many replicates at once that a step's arrays stay small
                 for r in range(1, replicates + 1, 16):
                     some = np.arange(r, min(r + 16, replicates + 1))
-                    places = draws(slots, some) % size
-                    blocks = places >> 16
-                    codes = ((places & (BLOCK - 1)) << 16 | some[None]).astype(np.uint32)
-                    for b in np.unique(blocks):
-                        found.setdefault(int(b), []).append(codes[blocks == b])
+                    places = (draws(slots, some) % size).ravel()
+                    codes = ((places & (BLOCK - 1)) << 16 | np.tile(some, len(slots))).astype(np.uint32)
+                    blocks = places >> BLOCK_BITS
+                    order = np.argsort(blocks, kind="stable")
+                    codes, blocks = codes[order], blocks[order]
+                    firsts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
+                    for b, part in zip(blocks[firsts], np.split(codes, firsts[1:]), strict=True):
+                        found.setdefault(int(b), []).append(part)
                 n = len(found)
                 same = [pa.array([row[g][0].as_py()] * n, row.schema.field(g).type) for g in groups]
                 yield pa.RecordBatch.from_arrays(
@@ -111,10 +115,9 @@ def drawn(df: DataFrame, groups: Sequence[str], ids: Sequence[str], replicates:
 
     def meet(rows: pa.Table, found: pa.Table) -> pa.Table:
         places = np.asarray(rows["_pos"]) & (BLOCK - 1)
-        counts = np.zeros((int(places.max(initial=0)) + 1, replicates + 1), dtype=np.int64)
-        for blob in found["codes"]:
-            code = np.frombuffer(blob.as_py(), dtype=np.uint32)
-            counts += np.bincount((code >> 16).astype(np.int64) * (replicates + 1) + (code & 0xFFFF), minlength=counts.size).reshape(counts.shape)
+        shape = int(places.max(initial=0)) + 1, replicates + 1
+        code = np.frombuffer(b"".join(found["codes"].to_pylist()), dtype=np.uint32)
+        counts = np.bincount((code >> 16).astype(np.int64) * shape[1] + (code & 0xFFFF), minlength=shape[0] * shape[1]).reshape(shape)
         counts[:, 0] = 1
         if counts.max(initial=0) > 255:
             raise ValueError("a row was drawn more than 255 times by one replicate")
@@ -217,7 +220,7 @@ def replicate_metrics(
             same = same.aggregate([("_at", "list")])
             many = [x.as_py() for x in same["_at_list"] if len(x) >= MANY]
             if many:
-                sums = [_sums(table.take(pa.array(x)), replicates, names).sum(0) for x in many]
+                sums = [sum(_sums(table.take(pa.array(x[k : k + CHUNK])), replicates, names).sum(0) for k in range(0, len(x), CHUNK)) for x in many]
                 first = table.take(pa.array([x[0] for x in many]))
                 first = first.set_column(first.schema.get_field_index("_packed"), "_packed", pa.array([x.tobytes() for x in sums], pa.binary()))
                 alone = np.ones(table.num_rows, dtype=bool)
@@ -269,22 +272,25 @@ def replicate_metrics(
         score, case = np.asarray(table["_score"]), np.asarray(table["_case"])
         below = before.copy()
         auc, prec = np.zeros(wide), np.zeros(wide)
-        ends = np.flatnonzero(np.append(score[1:] != score[:-1], True)) + 1
-        first = 0
-        while first < len(score):
-            # whole scores, about CHUNK rows of them; a score of many rows comes in packed rows
-            last = int(ends[min(np.searchsorted(ends, first + CHUNK), len(ends) - 1)])
+        # sums of a score that goes on in the next chunk: however many rows share a score, a step holds CHUNK of them
+        held = np.zeros((2, 0, wide))
+        for first in range(0, len(score), CHUNK):
+            last = min(first + CHUNK, len(score))
             part = _sums(table.slice(first, last - first), replicates, names, weights_only=True)[:, 0]
             runs = np.flatnonzero(np.append(True, score[first + 1 : last] != score[first : last - 1]))
-            cases = np.add.reduceat(part * case[first:last, None], runs)
-            controls = np.add.reduceat(part * ~case[first:last, None], runs)
+            both = np.stack([np.add.reduceat(part * mask[first:last, None], runs) for mask in (~case, case)])
+            if held.shape[1] and score[first] == score[first - 1]:
+                both[:, 0] += held[:, 0]
+            else:
+                both = np.concatenate([held, both], axis=1)
+            whole_scores = both.shape[1] - (last < len(score))
+            (controls, cases), held = both[:, :whole_scores], both[:, whole_scores:]
             cases_below, controls_below = np.cumsum(cases, axis=0) - cases + below[1], np.cumsum(controls, axis=0) - controls + below[0]
             auc += (cases * (controls_below + controls / 2)).sum(0)
             hits, false = whole[1] - cases_below, whole[0] - controls_below
             prec += (cases * np.divide(hits, hits + false, out=np.zeros_like(hits), where=hits + false > 0)).sum(0)
             below[1] += cases.sum(0)
             below[0] += controls.sum(0)
-            first = last
         columns = [own[1, 0], own[0, 0], auc, prec, *[own[c, k + 1] for k in range(len(names)) for c in (0, 1)]]
         same = [pa.array([start[k][0].as_py()] * wide, start.schema.field(k).type) for k in keys]
         return pa.table([*same, pa.array(np.arange(wide, dtype=np.int32)), *[pa.array(x) for x in columns]], names=[x.name for x in result])
