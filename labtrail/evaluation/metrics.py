@@ -196,8 +196,13 @@ EQUAL_EDGES = [i * 0.1 for i in range(11)]
 
 def _bin(p: Column, edges: Sequence[Column]) -> Column:
     """1-based bin (lo, hi]; null outside the edges."""
-    place = sum(((e < p).cast("int") for e in edges), F.lit(0))
-    return F.when((place >= 1) & (place < len(edges)), place)
+
+    def place(x: Column) -> Column:
+        return sum(((e < x).cast("int") for e in edges), F.lit(0))
+
+    # lambda variables are computed once; a score that is an expression would be pasted into every comparison
+    found = F.transform(F.transform(F.array(p), place), lambda k: F.when((k >= 1) & (k < len(edges)), k))
+    return F.get(found, F.lit(0))
 
 
 def calibration_bins(
