@@ -223,7 +223,8 @@ def labels_per_year(
 
 def with_age(df: DataFrame, persons: DataFrame, date: Column) -> DataFrame:
     """Add `event_age` at `date` from the birth date; unknown persons get null."""
-    births = persons.select(PERSON, "birth_date")
+    # persons grow with the input: a shuffled join, or they are broadcast through the driver
+    births = persons.select(PERSON, "birth_date").hint("merge")
     return (
         df.join(births, PERSON, "left")
         .withColumn("event_age", dates.age_at(date, F.col("birth_date")))

@@ -46,10 +46,11 @@ class Tables:
         day = F.col("o_orderdate").cast("date")
         price = F.floor("o_totalprice").cast("long")
         order = F.col("o_orderkey")
+        # persons grow with the input: a shuffled join, or they are broadcast through the driver
         return (
             self.raw("orders")
             .join(
-                self.person.select("person_id", "sex", "birth_date"),
+                self.person.select("person_id", "sex", "birth_date").hint("merge"),
                 F.col("o_custkey") == F.col("person_id"),
             )
             .select(
