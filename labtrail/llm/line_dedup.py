@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ from labtrail.llm.components import Forest, Side, Tiles, components, linked
 EDITS = 2
 MIN_CHARS = 30
 ROUNDS = 2
+#: Bytes of texts whose lines are filed at once, about; a task holds a few numbers for each.
+FILED = 1 << 20
 #: Classes that characters are counted in, by their code; lines within `EDITS` edits have like counts.
 CLASSES = 12
 
@@ -116,8 +119,8 @@ def candidates(docs: DataFrame, text: str) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                lines = {x for body in batch.column(0).slice(at, 1000).to_pylist() for x in body.split("\n") if len(x) >= MIN_CHARS}
+            for low, high in spans.chunks(pc.binary_length(batch.column(0)).to_pylist(), FILED):
+                lines = {x for body in batch.column(0).slice(low, high - low).to_pylist() for x in body.split("\n") if len(x) >= MIN_CHARS}
                 lines = sorted(x for x in lines if _worded(x))
                 if not lines:
                     continue
@@ -353,9 +356,10 @@ def _kept_text() -> Column:
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of `docs`, with the text that is left, and `n_lines` and `n_removed`."""
     gone = removals(docs, key, text).withColumnRenamed("gone", "_gone")
-    rows = whole_row(docs, F.col(text).alias("_text"), spans.keyed(key), spans.digest(text).alias("_same"), F.split(F.col(text), "\n").alias("_lines"))
-    rows = rows.join(gone, ["_key", "_same"], "left")
-    rows = rows.withColumns(
+    rows = whole_row(docs, spans.keyed(key), spans.digest(text).alias("_same"))
+    # a text travels once, in its row; its lines are made behind the join
+    rows = rows.join(gone, ["_key", "_same"], "left").withColumn("_text", F.col("_row").getField(text))
+    rows = rows.withColumn("_lines", F.split("_text", "\n")).withColumns(
         {
             text: F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(_kept_text()),
             "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from labtrail.llm import line_dedup, minhash, queries
+from labtrail.llm import line_dedup, minhash, queries, spans
 from labtrail.llm.components import components, linked
 from tests.llm.common import FOLDER, docs, empty, prose, rows, words
 
@@ -248,3 +248,18 @@ def test_tiles_connect_what_pairs_connect(spark, monkeypatch):
         found = Tiles(texts, line_dedup.tile_links(2)).links(frame, frame)
         labels = {r.node: r.label for r in components(found).collect()}
         assert labels == wanted, size
+
+
+def test_a_text_travels_once_to_its_lines(spark):
+    table = spark.createDataFrame([(1, "a line that is long enough to be compared\nb"), (2, "a line that is long enough to be compared\nc"), (3, None), (None, "")], "doc_id long, text string")
+    kept = line_dedup.dedup(table)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join LeftOuter", 1)
+    assert "split(" in above and "split(" not in below
+    found = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in kept.collect()}
+    assert found == {1: ("a line that is long enough to be compared\nb", 2, 0), 2: ("c", 2, 1), 3: (None, 0, 0), None: ("", 1, 0)}
+
+
+def test_lines_are_filed_in_slices_of_bounded_size():
+    assert list(spans.chunks([5, 5, 1, 20, 1], 10)) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+    assert line_dedup.FILED <= spans.CHUNK // 2
