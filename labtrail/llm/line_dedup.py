@@ -34,7 +34,9 @@ EDITS = 2
 MIN_CHARS = 30
 ROUNDS = 2
 #: Bytes of texts whose lines are filed at once, about; a task holds a few numbers for each.
-FILED = 1 << 20
+FILED = 1 << 19
+#: Characters of lines that are fingerprinted at once, about; a task holds some hundred bytes for each.
+PRINTED = 1 << 18
 #: Classes that characters are counted in, by their code; lines within `EDITS` edits have like counts.
 CLASSES = 12
 
@@ -68,6 +70,15 @@ def filings(start: np.ndarray, length: np.ndarray, edits: int = EDITS) -> Iterat
 
 def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of all files that each line meets, and the line's row."""
+    prints, rows_of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for low, high in spans.chunks([len(x) for x in lines], PRINTED):
+        found, rows = _signatures(lines[low:high])
+        prints.append(found)
+        rows_of.append(rows + low)
+    return np.concatenate(prints), np.concatenate(rows_of)
+
+
+def _signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     length = np.array([len(x) for x in lines], np.int64)
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     sums = np.zeros(len(points) + 1, np.uint64)

@@ -96,7 +96,8 @@ def common_shingles(docs: DataFrame, text: str) -> Weights:
         for batch in batches:
             for part in _texts(batch, 0):
                 held = [(found >> np.uint64(64 - CELL_BITS)).astype(np.int32) for found, _ in shingles(part)]
-                counts += np.bincount(np.concatenate(held), minlength=1 << CELL_BITS).astype(np.int32)
+                # in place: counts of this part alone would be as long as all cells
+                np.add.at(counts, np.concatenate(held), 1)
         blobs = [counts[k * width : (k + 1) * width] for k in range(RANGES)]
         blobs = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in blobs]
         yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(blobs, pa.binary())], names=["range", "counts"])

@@ -21,7 +21,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -56,7 +56,6 @@ class Encoder:
     def __init__(self, path: str) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -65,7 +64,14 @@ class Encoder:
         vocabulary = spec["model"]["vocab"]
         ranks = {bytes(letters[c] for c in x): i for x, i in vocabulary.items() if x not in self.added}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(path)
+        self.path = path
+
+    @cached_property
+    def exact(self):
+        """The vocabulary in `tokenizers`, loaded for the first text that needs it: few do, and it stays in memory."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def __call__(self, text: str) -> np.ndarray:
         if OTHER.search(text) or any(x in text for x in self.added):

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -263,3 +264,22 @@ def test_a_text_travels_once_to_its_lines(spark):
 def test_lines_are_filed_in_slices_of_bounded_size():
     assert list(spans.chunks([5, 5, 1, 20, 1], 10)) == [(0, 2), (2, 3), (3, 4), (4, 5)]
     assert line_dedup.FILED <= spans.CHUNK // 2
+
+
+def test_signatures_are_made_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    lines = ["".join(rng.choice(list("abcdefgh é"), rng.integers(30, 90))) for _ in range(300)] + ["x" * 900]
+    whole = {(int(p), int(r)) for p, r in zip(*line_dedup.signatures(lines), strict=True)}
+    monkeypatch.setattr(line_dedup, "PRINTED", 500)
+    assert {(int(p), int(r)) for p, r in zip(*line_dedup.signatures(lines), strict=True)} == whole
+    assert [len(x) for x in line_dedup.signatures([])] == [0, 0]
+
+
+def test_memory_of_signatures_is_bounded_by_a_piece():
+    lines = [f"{k:07d}" * 20_000 for k in range(14)]  # 2 million characters, few fingerprints
+    line_dedup.signatures(lines[:1])
+    tracemalloc.start()
+    line_dedup.signatures(lines)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000

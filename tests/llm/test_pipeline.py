@@ -4,7 +4,8 @@ import hashlib
 from collections import defaultdict
 
 import corpus_pipeline
-from labtrail.llm import langid
+from labtrail.llm import langid, packing
+from labtrail.llm.queries import tokenizer_path
 from tests.llm.common import FOLDER, words
 from tests.llm.test_duplicates import classes_of, lines_left
 from tests.llm.test_operators import check_packed
@@ -86,3 +87,21 @@ def test_stages(spark):
     packed = stages["best_fit_packing"](spark, mix, FOLDER).collect()
     bins, least = check_packed(packed, {r.doc_id: [r.text] for r in mix.collect()}, 2048)
     assert bins <= least * 1.02 + 1
+
+
+def test_stages_send_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(k, f"words of text {k} " * 40, "en", "web-00", 600) for k in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(name)
+        try:
+            stage(spark, docs, FOLDER)
+            assert spark.conf.get(name) == corpus_pipeline.BATCH_BYTES
+        finally:
+            spark.conf.unset(name)
+
+
+def test_slow_tokenizer_is_loaded_when_a_text_needs_it():
+    encode = packing.Encoder(tokenizer_path())
+    assert len(encode("plain text")) and "exact" not in vars(encode)
+    assert len(encode("текст")) and "exact" in vars(encode)
