@@ -349,10 +349,11 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: in
     links = spans.written(linked(members, measured(texts, edits), float(edits), tiles, rounds), "line-links")
     labels = components(links).withColumnRenamed("node", "hi")
     # the place of the line that stays, for lines that occur again or have a near twin
-    near = firsts.join(labels, "hi")
-    stays = near.groupBy("label").agg(F.min("first").alias("stays"))
-    near = near.join(stays, "label").select("hi", "lo", "stays")
-    again = firsts.join(labels, "hi", "left_anti").where("n > 1").select("hi", "lo", F.col("first").alias("stays"))
+    named = firsts.join(labels, "hi", "left").where("label is not null or n > 1").select("hi", "lo", "first", "label")
+    named = spans.written(named, "repeated-lines")
+    stays = named.where("label is not null").groupBy("label").agg(F.min("first").alias("stays"))
+    near = named.join(stays, "label").select("hi", "lo", "stays")
+    again = named.where("label is null").select("hi", "lo", F.col("first").alias("stays"))
     judged = lines.join(near.unionByName(again), ["hi", "lo"])
     other = (F.col("_key") != F.col("stays._key")) | (F.col("_same") != F.col("stays._same")) | (F.col("pos") != F.col("stays.pos"))
     return judged.where(other).groupBy("_key", "_same").agg(F.collect_set("pos").alias("gone"))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from labtrail.llm import line_dedup, minhash, queries, spans
+from labtrail.llm import components as components_module
 from labtrail.llm.components import components, linked
 from tests.llm.common import FOLDER, docs, empty, prose, rows, words
 
@@ -131,6 +132,47 @@ def test_links_connect_a_bucket(spark):
         assert found == {0: 0, 1: 0, 3: 0, 4: 0, 10: 10, 11: 10, 20: 20, 22: 20, 24: 20, 26: 20}, rounds
 
 
+def tasks_of(spark, name, work):
+    """What `work` returns, and the number of tasks that its jobs have run."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup(name) if (job := status.getJobInfo(j)) for s in job.stageIds}
+    return out, sum(i.numCompletedTasks for s in stages if (i := status.getStageInfo(s)))
+
+
+def test_small_tables_of_links_take_few_tasks(spark, monkeypatch):
+    """Few links and members, many shuffle partitions: the tasks follow the rows. Many partitions give the same."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    links = spark.createDataFrame([(k, k + 1) for k in range(300) if k % 10 != 9], "a long, b long")
+    members = spark.createDataFrame([(k // 30, k, k) for k in range(300) if k % 10 != 9], "bucket long, node long, `order` long")
+    texts = spark.createDataFrame([(k, f"{'x' * 30}{k // 10:03}{'y' * 40}") for k in range(300)], "node long, line string")
+    tiles = components_module.Tiles(texts.withColumnRenamed("line", "text"), line_dedup.tile_links(2))
+
+    def joined():
+        found = linked(members, line_dedup.measured(texts, 2), 2.0, tiles)
+        return {(r.a, r.b) for r in found.collect()}, {r.node: r.label for r in components(links).collect()}
+
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "50")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        (pairs, labels), tasks = tasks_of(spark, "small-links", joined)
+        assert tasks < 50 * 40
+        assert labels == {k: k // 10 * 10 for k in range(300)}
+        # lines of one bucket are within two edits
+        classes = {r.node: r.label for r in components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+        assert classes == {k: k // 30 * 30 for k in range(300) if k % 10 != 9}
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        monkeypatch.setattr(components_module, "NARROW", 64)
+        assert joined() == (pairs, labels)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def edits(a, b):
     return line_dedup._plain_distance(a, b)
 
